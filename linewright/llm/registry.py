@@ -17,8 +17,20 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media_columns import media_columns
+
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
+def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_bundles import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_sentencepiece,)}
+    return {f.__name__: f for f in (op4_warc_bundles, op5_media_columns, op6_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
