@@ -29,8 +29,14 @@ def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_warc_bundles, op5_media_columns, op6_sentencepiece)}
+    return {f.__name__: f for f in (op4_warc_bundles, op5_media_columns, op6_sentencepiece, op7_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
