@@ -17,6 +17,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_duplicates import near_duplicates
 
@@ -48,7 +54,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_near_duplicates, op4_warc_bundles, op5_media_columns, op6_sentencepiece, op7_toxicity, op10_quality)}
+    return {f.__name__: f for f in (op2_decontamination, op3_near_duplicates, op4_warc_bundles, op5_media_columns, op6_sentencepiece, op7_toxicity, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
