@@ -17,6 +17,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import find_leaks
 
@@ -66,7 +72,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op3_near_duplicates, op4_warc_bundles, op5_media_columns, op6_sentencepiece, op7_toxicity, op8_repeated_passages, op9_surrogates, op10_quality)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_near_duplicates, op4_warc_bundles, op5_media_columns, op6_sentencepiece, op7_toxicity, op8_repeated_passages, op9_surrogates, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
