@@ -130,9 +130,36 @@ def _chunks(items: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, least_score: float = LEAST_SCORE) -> DataFrame:
     """doc_id, item_id, score, first_word and last_word of every leak."""
-    spark = docs.sparkSession
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("text is not null")
-    total, out = None, None
+    texts = _texts(docs)
+    out = None
+    for shared in _prepared(texts, items):
+        found = _aligned(texts, shared, least_score)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, *, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no item leaked."""
+    out, text = docs, docs.columns.index("text")
+    for shared in _prepared(_texts(docs), items):
+
+        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            rare, places, own, _ = shared.value
+            for batch in batches:
+                clean = [x is None or not leaks_in(words(x), rare, places, own, least_score) for x in batch.column(text).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("text is not null")
+
+
+def _prepared(texts: DataFrame, items: DataFrame) -> Iterator:
+    """For each chunk of items a broadcast of its rare seeds, their places, the items' words and ids."""
+    spark, total = texts.sparkSession, None
     for chunk in _chunks(items):
         owners: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, own) in enumerate(chunk):
@@ -150,10 +177,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, least_score: float = LEAST_
             for rank, (offset, g) in enumerate(listed):
                 if counts.get(g, 0) <= limit or rank <= len(listed) // 4:
                     rare[g].append((k, offset))
-        shared = spark.sparkContext.broadcast((Seeds(np.array(list(rare), np.uint64), lengths), dict(rare), dict(enumerate(own for _, own in chunk)), [i for i, _ in chunk]))
-        found = _aligned(texts, shared, least_score)
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield spark.sparkContext.broadcast((Seeds(np.array(list(rare), np.uint64), lengths), dict(rare), dict(enumerate(own for _, own in chunk)), [i for i, _ in chunk]))
 
 
 def _counts(texts: DataFrame, every) -> dict[int, int]:

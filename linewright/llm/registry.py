@@ -71,9 +71,40 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_near_duplicates, op4_warc_bundles, op5_media_columns, op6_sentencepiece, op7_toxicity, op8_repeated_passages, op9_surrogates, op10_quality)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_near_duplicates, op4_warc_bundles, op5_media_columns, op6_sentencepiece, op7_toxicity, op8_repeated_passages, op9_surrogates, op10_quality, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_warc_bundles": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+            q AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+            r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS owner FROM q)
+            SELECT page_id, payload_bytes, payload_digest,
+                   CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM owner AND owner IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM owner THEN owner END AS refers_to
+            FROM r
+        """,
+        "op8_repeated_passages": """
+            WITH w AS (
+                SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+            s AS (
+                SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+            r AS (SELECT doc_id, i FROM s QUALIFY count(*) OVER (PARTITION BY win) > 1),
+            c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM r),
+            d AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
+            k AS (
+                SELECT doc_id, ws, coalesce(len(gone), 0) AS n, list_filter(range(1, len(ws) + 1), lambda x: gone IS NULL OR NOT list_contains(gone, x)) AS stay
+                FROM w LEFT JOIN d USING (doc_id))
+            SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed,
+                   sha256(array_to_string(list_transform(stay, lambda x: ws[x]), ' ')) AS kept_sha256
+            FROM k
+        """,
+    }

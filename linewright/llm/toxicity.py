@@ -239,6 +239,18 @@ def score_documents(docs: DataFrame, model: Model, *, passages: bool = False, th
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(["passages"] if passages else []))
 
 
+def keep_clean(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score stays below the threshold."""
+    shared, text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(x or "") < threshold for x in batch.column(text).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Train on the labelled rows outside the held-out part and score every row."""
     return score_documents(docs, train(docs, labels), **options)
