@@ -9,9 +9,10 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_html(texts: pd.Series) -> pd.Series:
     """All named and numbered entities of HTML."""
     return texts.map(html.unescape, na_action="ignore")
@@ -39,7 +40,7 @@ def without_inner_repeats(text: str, least_words: int = 6, least_run: int = 3) -
     return " ".join(kept)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def drop_inner_repeats(texts: pd.Series) -> pd.Series:
     return texts.map(without_inner_repeats, na_action="ignore")
 
@@ -60,7 +61,7 @@ def converter(table: dict[str, str]) -> Callable[[Column], Column]:
     """A column function that replaces the longest entries of a mapping table, from left to right."""
     pattern = re.compile("|".join(map(re.escape, sorted(table, key=len, reverse=True)))) if table else None
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def convert(texts: pd.Series) -> pd.Series:
         return texts if pattern is None else texts.map(lambda x: pattern.sub(lambda m: table[m[0]], x), na_action="ignore")
 

@@ -1,10 +1,17 @@
-"""Named queries over the test tables, each with its SQL."""
+"""Named queries over the test tables, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import align, captions, checks, replies
+from ..operators import sequences as S
+from ..sources import html, sinks, specs, subtitles
+from .tables import CUES, LINES, cues, lines, read
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -16,3 +23,468 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def _query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_ORDER = ["start_ms", "event_id"]
+#: A run's number by the difference of two row numbers would mix runs: a running sum of changes is used.
+_RUNS = f"""WITH {LINES},
+    c AS (SELECT *, CASE WHEN lag(pos) OVER w IS NULL OR line IS DISTINCT FROM lag(line) OVER w THEN 1 ELSE 0 END AS c FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    r AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM c),
+    n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS size, row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) AS place FROM r)"""
+
+
+@_query(f"""{_RUNS}
+    SELECT doc_id, count(*) AS lines_in, count(*) FILTER (size < 3 OR place = 1) AS lines_out, count(*) FILTER (size >= 3 AND place > 1) AS removed,
+           round(100.0 * count(*) FILTER (size >= 3 AND place > 1) / count(*), 4) AS removed_pct, 1.0 * count(*) FILTER (size >= 3 AND place > 1) / count(*) >= 0.3 AS alarm
+    FROM n GROUP BY doc_id""")
+def run_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = lines(spark, sf_dir)
+    kept = S.collapse_runs(every, ["doc_id"], ["pos"], "line").groupBy("doc_id").agg(F.count("*").alias("lines_out"))
+    both = every.groupBy("doc_id").agg(F.count("*").alias("lines_in")).join(kept, "doc_id")
+    removed = F.col("lines_in") - F.col("lines_out")
+    return both.select("doc_id", "lines_in", "lines_out", removed.alias("removed"), F.round(100 * removed / F.col("lines_in"), 4).alias("removed_pct"), checks.removed_alarm(F.col("lines_in"), F.col("lines_out")).alias("alarm"))
+
+
+@_query(f"{_RUNS} SELECT doc_id, pos, line FROM n WHERE size < 3 OR place = 1")
+def run_collapse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.collapse_runs(lines(spark, sf_dir), ["doc_id"], ["pos"], "line")
+
+
+@_query(f"{_RUNS} SELECT doc_id, pos, line FROM n WHERE c = 1")
+def adjacent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.drop_adjacent_repeats(lines(spark, sf_dir), ["doc_id"], ["pos"], "line")
+
+
+@_query(f"""WITH {LINES}, s AS (SELECT *, length(trim(line)) <= 30 AS short FROM lines),
+    c AS (SELECT *, CASE WHEN short IS DISTINCT FROM lag(short) OVER (PARTITION BY doc_id ORDER BY pos) THEN 1 ELSE 0 END AS c FROM s),
+    r AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM c),
+    n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS size, row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) AS place FROM r)
+    SELECT doc_id, pos, line FROM n WHERE NOT short OR size < 3 OR place = 1""")
+def short_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.collapse_short_streaks(lines(spark, sf_dir), ["doc_id"], ["pos"], "line", most_chars=30, least=3)
+
+
+@_query(f"""WITH {CUES}, g AS (SELECT *, lag(end_ms) OVER (PARTITION BY track_id ORDER BY start_ms, event_id) AS gap_start FROM cues)
+    SELECT track_id, gap_start, start_ms AS gap_end, 'time jump' AS reason FROM g WHERE start_ms - gap_start > 1800000""")
+def time_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.time_jumps(cues(spark, sf_dir), ["track_id"], _ORDER, 1_800_000)
+
+
+@_query(f"""WITH {LINES} SELECT doc_id, pos, 'repeated character' AS reason FROM lines
+    WHERE len(list_filter(list_distinct(string_split(line, '')), lambda c: c <> '' AND contains(line, repeat(c, 5)))) > 0""")
+def repeated_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = lines(spark, sf_dir).withColumns({"start_ms": F.col("pos") * 1000, "end_ms": F.col("pos") * 1000 + 999})
+    return S.repeated_characters(placed, ["doc_id", "pos"], "line").select("doc_id", "pos", "reason")
+
+
+@_query(f"""WITH {LINES}, b AS (SELECT *, length(trim(line)) < 12 AS blank FROM lines),
+    c AS (SELECT *, CASE WHEN blank IS DISTINCT FROM lag(blank) OVER (PARTITION BY doc_id ORDER BY pos) THEN 1 ELSE 0 END AS c FROM b),
+    r AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM c)
+    SELECT doc_id, min(pos) * 1000 AS gap_start, max(pos) * 1000 + 999 AS gap_end, 'blank block' AS reason FROM r WHERE blank GROUP BY doc_id, run HAVING count(*) >= 2""")
+def blank_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # lines of under twelve characters stand in for blank cues, of which the tables have none
+    blank = F.when(F.length(F.trim("line")) < 12, "").otherwise(F.col("line"))
+    placed = lines(spark, sf_dir).withColumns({"line": blank, "start_ms": F.col("pos") * 1000, "end_ms": F.col("pos") * 1000 + 999})
+    return S.blank_blocks(placed, ["doc_id"], ["pos"], "line")
+
+
+@_query(f"""WITH {CUES}, m AS (SELECT *, max(end_ms) OVER (PARTITION BY track_id ORDER BY start_ms, end_ms, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM cues),
+    i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_ms > reach + 5000 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY start_ms, end_ms, text ROWS UNBOUNDED PRECEDING) AS island FROM m)
+    SELECT track_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_merged, string_agg(text, ';' ORDER BY start_ms, end_ms, text) AS reasons FROM i GROUP BY track_id, island""")
+def merge_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = S.merge_intervals(cues(spark, sf_dir), ["track_id"], "start_ms", "end_ms", 5000, "text")
+    return merged.withColumn("reasons", F.array_join("reasons", ";"))
+
+
+_HOURS = "hours AS (SELECT DISTINCT track_id, start_ms // 86400000 * 86400000 + h * 3600000 AS win_start, start_ms // 86400000 * 86400000 + (h + 1) * 3600000 AS win_end FROM cues, range(24) t(h))"
+
+
+def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = (F.floor(F.col("start_ms") / 86_400_000) * 86_400_000).alias("day")
+    days = cues(spark, sf_dir).select("track_id", day).distinct()
+    hours = days.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    return hours.select("track_id", (F.col("day") + F.col("h") * 3_600_000).alias("win_start"), (F.col("day") + (F.col("h") + 1) * 3_600_000).alias("win_end"))
+
+
+@_query(f"WITH {CUES}, {_HOURS} SELECT h.track_id, win_start, win_end, count(c.event_id) AS n FROM hours h LEFT JOIN cues c ON c.track_id = h.track_id AND c.start_ms >= win_start AND c.start_ms < win_end GROUP BY ALL")
+def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.window_counts(_hours(spark, sf_dir), cues(spark, sf_dir), ["track_id"])
+
+
+@_query(f"""WITH {CUES}, {_HOURS}, n AS (SELECT h.track_id, win_start, win_end, count(c.event_id) AS n FROM hours h LEFT JOIN cues c ON c.track_id = h.track_id AND c.start_ms >= win_start AND c.start_ms < win_end GROUP BY ALL)
+    SELECT track_id, win_start AS gap_start, win_end AS gap_end, 'low density' AS reason FROM n WHERE n < 3""")
+def density_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.density_gaps(_hours(spark, sf_dir), cues(spark, sf_dir), ["track_id"], 0.05)
+
+
+_DAYS = "d AS (SELECT *, start_ms // 86400000 AS day FROM cues)"
+
+
+def _days(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return cues(spark, sf_dir).where(F.col("event_type") == kind).select(F.floor(F.col("start_ms") / 86_400_000).alias("day"), F.col("event_id").alias("pos"), "start_ms", "end_ms", "text")
+
+
+@_query(f"""WITH {CUES}, {_DAYS},
+    p AS (SELECT m.event_id AS pos, o.text, row_number() OVER (PARTITION BY m.event_id ORDER BY least(m.end_ms, o.end_ms) - greatest(m.start_ms, o.start_ms) DESC, o.event_id) AS r
+          FROM d m JOIN d o ON m.day = o.day AND m.event_type = 'view' AND o.event_type = 'click' AND o.start_ms < m.end_ms AND m.start_ms < o.end_ms)
+    SELECT m.day, m.event_id AS pos, m.start_ms, m.end_ms, m.text, coalesce(p.text, '(none)') AS other_text FROM d m LEFT JOIN p ON p.pos = m.event_id AND p.r = 1 WHERE m.event_type = 'view'""")
+def overlap_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = align.overlap_join(_days(spark, sf_dir, "view"), _days(spark, sf_dir, "click"), ["day"], placeholder="(none)")
+    return out.select("day", "pos", "start_ms", "end_ms", "text", "other_text")
+
+
+@_query("""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id, role) AS n FROM conversations)
+    SELECT u.conv_id, u.turn, u.text, a.text AS other_text FROM t u JOIN t a ON u.conv_id = a.conv_id AND u.role = 'user' AND a.role = 'assistant' AND u.i = a.i AND u.n = a.n""")
+def positional_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return align.positional_join(turns.where("role = 'user'"), turns.where("role = 'assistant'"), ["conv_id"], ["turn"]).select("conv_id", "turn", "text", "other_text")
+
+
+@_query(f"""WITH {CUES}, {_DAYS}, p AS (SELECT * FROM d WHERE event_type = 'click' AND user_id % 5 = 0),
+    r AS (SELECT day, user_id, min(start_ms) AS lo, max(end_ms) AS hi FROM p WHERE user_id % 10 = 0 GROUP BY ALL)
+    SELECT day, event_id AS pos, start_ms, end_ms, text FROM d WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM r WHERE r.day = d.day AND d.start_ms >= lo AND d.start_ms < hi)
+    UNION ALL SELECT day, event_id, start_ms, end_ms, text FROM p WHERE user_id % 10 = 0""")
+def range_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    patch = cues(spark, sf_dir).where("event_type = 'click' and user_id % 10 = 0").select(F.floor(F.col("start_ms") / 86_400_000).alias("day"), F.col("event_id").alias("pos"), "start_ms", "end_ms", "text", "user_id")
+    return align.patch_ranges(_days(spark, sf_dir, "view"), patch, ["day"], "user_id")
+
+
+_BROKEN = "b AS (SELECT * REPLACE (CASE WHEN event_id % 7 = 0 THEN start_ms - 1000 ELSE end_ms END AS end_ms) FROM cues)"
+
+
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cues(spark, sf_dir).withColumn("end_ms", F.when(F.col("event_id") % 7 == 0, F.col("start_ms") - 1000).otherwise(F.col("end_ms")))
+
+
+@_query(f"""WITH {CUES}, {_BROKEN} SELECT track_id, event_id, start_ms,
+    CASE WHEN end_ms < start_ms THEN coalesce(lead(start_ms) OVER (PARTITION BY track_id ORDER BY start_ms, event_id), start_ms + 3000) ELSE end_ms END AS end_ms FROM b""")
+def repair_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.repair_ends(_broken(spark, sf_dir), ["track_id"], _ORDER).select("track_id", "event_id", "start_ms", "end_ms")
+
+
+@_query(f"""WITH {CUES}, {_BROKEN}, r AS (SELECT *, max(end_ms) OVER (PARTITION BY track_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b),
+    f AS (SELECT track_id, CASE WHEN end_ms < start_ms THEN 'bad_end' WHEN reach > 0 AND start_ms + 600000 < reach THEN 'backward' ELSE 'none' END AS fault FROM r)
+    SELECT track_id, fault, count(*) AS n FROM f GROUP BY ALL""")
+def stamp_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S.stamp_faults(_broken(spark, sf_dir), ["track_id"], ["event_id"])
+    return found.groupBy("track_id", F.coalesce("fault", F.lit("none")).alias("fault")).agg(F.count("*").alias("n"))
+
+
+_PLACED = f"WITH {CUES}, p AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY track_id) AS total, last_value(end_ms) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS length FROM cues WINDOW w AS (PARTITION BY track_id ORDER BY start_ms, event_id))"
+
+
+@_query(f"""{_PLACED}, b AS (SELECT track_id, event_id, (place - 1) // CAST(ceil(total / 4) AS BIGINT) + 1 AS batch_num FROM p)
+    SELECT track_id, event_id, CAST(batch_num AS INT) AS batch_num, batch_num = max(batch_num) OVER (PARTITION BY track_id) AS is_last FROM b""")
+def batch_by_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.mark_last_batch(S.batch_by_entry(cues(spark, sf_dir), ["track_id"], _ORDER, 4), ["track_id"]).select("track_id", "event_id", "batch_num", "is_last")
+
+
+@_query(f"""{_PLACED}, q AS (SELECT *, start_ms - start_ms // 86400000 * 86400000 AS s, length - start_ms // 86400000 * 86400000 AS l FROM p)
+    SELECT track_id, event_id, CAST(least(s * 4 // l, 3) + 1 AS INT) AS batch_num FROM q""")
+def batch_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.floor(F.col("start_ms") / 86_400_000) * 86_400_000
+    clock = cues(spark, sf_dir).withColumns({"start_ms": F.col("start_ms") - day, "end_ms": F.col("end_ms") - day})
+    return S.batch_by_time(clock, ["track_id"], _ORDER, 4).select("track_id", "event_id", "batch_num")
+
+
+@_query(f"""WITH {LINES}, n AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id)
+    SELECT doc_id, n, CAST(CASE WHEN n <= 450 THEN greatest(2, ceil(n / 150)) WHEN n <= 1200 THEN ceil(n / 200) ELSE ceil(n / 250) END AS INT) AS batches FROM n""")
+def auto_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = lines(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return counted.withColumn("batches", S.auto_batches(F.col("n")))
+
+
+@_query(f"""WITH {CUES}, s AS (SELECT track_id, start_ms // 3600000 AS seg_no, sum(end_ms - start_ms) AS duration_ms FROM cues GROUP BY ALL)
+    SELECT track_id, seg_no, CAST(duration_ms AS BIGINT) AS duration_ms, CAST(coalesce(sum(duration_ms) OVER (PARTITION BY track_id ORDER BY seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_ms FROM s""")
+def segment_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = cues(spark, sf_dir).groupBy("track_id", F.floor(F.col("start_ms") / 3_600_000).alias("seg_no")).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("duration_ms"))
+    return S.segment_offsets(segments, ["track_id"], ["seg_no"])
+
+
+@_query(f"""WITH {CUES} SELECT track_id, event_id, start_ms - 500 AS start_ms, end_ms - 500 AS end_ms FROM cues WHERE end_ms > start_ms // 86400000 * 86400000 + 43200000""")
+def shift_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noon = F.floor(F.col("start_ms") / 86_400_000) * 86_400_000 + 43_200_000
+    return S.shift_patch(cues(spark, sf_dir), -500, noon).select("track_id", "event_id", "start_ms", "end_ms")
+
+
+_NORMAL = r"trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))"
+_FOUND = f"WITH q AS (SELECT item_id, {_NORMAL} AS t FROM benchmark), s AS (SELECT {_NORMAL} AS t FROM documents)"
+
+
+def _quotes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    quotes = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), "text")
+    found, lost = checks.verify_quotes(quotes, read(spark, sf_dir, "documents"))
+    return tuple(x.select(F.col("quote_id").alias("item_id")) for x in (found, lost))
+
+
+@_query(f"{_FOUND} SELECT item_id FROM q WHERE EXISTS (SELECT 1 FROM s WHERE contains(s.t, q.t))")
+def quotes_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quotes(spark, sf_dir)[0]
+
+
+@_query(f"{_FOUND} SELECT item_id FROM q WHERE NOT EXISTS (SELECT 1 FROM s WHERE contains(s.t, q.t))")
+def quotes_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quotes(spark, sf_dir)[1]
+
+
+_PAIRS = [("the", "THE"), ("THEr", "ther"), ("of the", "o/t"), ("zzzz", "y")]
+_PAIR_SQL = "p AS (SELECT * FROM (VALUES (0, 'the', 'THE'), (1, 'THEr', 'ther'), (2, 'of the', 'o/t'), (3, 'zzzz', 'y')) t(ord, wrong, correct))"
+_COUNT = "CAST((length(text) - length(replace(text, wrong, ''))) // length(wrong) AS BIGINT)"
+
+
+def _pairs(spark: SparkSession) -> DataFrame:
+    spec = spark.createDataFrame([(";".join(f"{a} = {b}" for a, b in _PAIRS),)], "spec string")
+    return specs.parse_pairs(spec)
+
+
+@_query(f"WITH {_PAIR_SQL} SELECT ord, wrong, CAST(sum({_COUNT}) AS BIGINT) AS n FROM documents, p GROUP BY ALL")
+def pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.pattern_counts(read(spark, sf_dir, "documents"), _pairs(spark))
+
+
+@_query("SELECT doc_id, replace(replace(replace(replace(text, 'the', 'THE'), 'THEr', 'ther'), 'of the', 'o/t'), 'zzzz', 'y') AS text FROM documents")
+def ordered_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", T.replace_pairs(F.col("text"), _PAIRS).alias("text"))
+
+
+@_query(f"""WITH {_PAIR_SQL}, d AS (SELECT text, replace(replace(replace(replace(text, 'the', 'THE'), 'THEr', 'ther'), 'of the', 'o/t'), 'zzzz', 'y') AS after FROM documents),
+    n AS (SELECT ord, wrong, CAST(sum({_COUNT}) AS BIGINT) AS n_before, CAST(sum((length(after) - length(replace(after, wrong, ''))) // length(wrong)) AS BIGINT) AS n_after FROM d, p GROUP BY ALL)
+    SELECT ord, wrong, n_before, n_after, CASE WHEN n_before > 0 THEN round(1 - n_after / n_before, 9) END AS restored, n_after > 0 AS leaked FROM n""")
+def restoration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pairs = read(spark, sf_dir, "documents"), _pairs(spark)
+    after = docs.select(T.replace_pairs(F.col("text"), _PAIRS).alias("text"))
+    out = checks.restoration(checks.pattern_counts(docs, pairs), checks.pattern_counts(after, pairs))
+    return out.withColumn("restored", F.round("restored", 9))
+
+
+def _ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English texts of ASCII characters: the engines agree on word boundaries there."""
+    return read(spark, sf_dir, "documents").where("lang = 'en'").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+
+
+_TERM = r"regexp_extract_all(text, '\b[A-Z][a-zA-Z]{3,}\b')"
+
+
+@_query(rf"""WITH t AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 's' ELSE 't' END AS side, unnest({_TERM}) AS term FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\x00-\x7F]*$')),
+    n AS (SELECT term, count(*) FILTER (side = 's') AS n_source, count(*) FILTER (side = 't') AS n_target FROM t GROUP BY term)
+    SELECT term, n_source, n_target FROM n WHERE n_source >= 3 AND n_target < 0.3 * n_source AND NOT (term LIKE '%s' AND n_target = 0)""")
+def lost_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-zA-Z]{3,}\b"), F.lit(0))).alias("term")
+    terms = _ascii(spark, sf_dir).select((F.col("doc_id") % 2 == 0).alias("source"), found)
+    counts = terms.groupBy("term").agg(F.count_if("source").alias("n_source"), F.count_if(~F.col("source")).alias("n_target"))
+    return checks.lost_terms(counts.withColumn("n_singular", F.lit(None).cast("long"))).where("not (endswith(term, 's') and n_target = 0)").select("term", "n_source", "n_target")
+
+
+@_query(r"""WITH d AS (SELECT text, string_split(text, chr(10))[1] AS title FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\x00-\x7F]*$')),
+    a AS (SELECT unnest(regexp_extract_all(title, '\b[A-Z][a-zA-Z]{3,}\b')) AS term FROM d),
+    b AS (SELECT term FROM (SELECT unnest(regexp_extract_all(text, '\b[A-Z][a-zA-Z]{3,}\b')) AS term FROM d) GROUP BY term HAVING count(*) >= 2)
+    SELECT term FROM (SELECT term FROM a UNION SELECT term FROM b) WHERE term NOT IN ('This', 'That', 'With')""")
+def term_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _ascii(spark, sf_dir).select("text", F.substring_index("text", "\n", 1).alias("title"))
+    return checks.term_candidates(docs, "title", "text", spark.createDataFrame([("This",), ("That",), ("With",)], "term string"))
+
+
+@_query("SELECT conv_id, role, arg_max(text, turn) AS text FROM conversations GROUP BY ALL")
+def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replies.last_wins(read(spark, sf_dir, "conversations"), ["conv_id", "role"], ["turn"], ["text"])
+
+
+@_query("SELECT conv_id, role, arg_min(text, turn) AS text FROM conversations GROUP BY ALL")
+def fill_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replies.fill_missing(read(spark, sf_dir, "conversations"), ["conv_id", "role"], ["turn"], ["text"])
+
+
+@_query("SELECT conv_id, turn, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) = 1")
+def longest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replies.longest_wins(read(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text", ["turn", "text"])
+
+
+@_query("SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS first_user, arg_max(text, turn) FILTER (role = 'assistant') AS last_assistant, count(*) FILTER (role = 'assistant') AS n_assistant FROM conversations GROUP BY conv_id")
+def first_user_last_assistant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replies.first_and_last(read(spark, sf_dir, "conversations"))
+
+
+@_query(f"""WITH {LINES}, s AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^The') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM lines)
+    SELECT doc_id, CAST(section AS INT) AS section, CASE WHEN section > 0 THEN arg_min(line, pos) END AS heading, CAST(count(*) AS INT) AS n_lines, string_agg(line, chr(10) ORDER BY pos) AS text FROM s GROUP BY doc_id, section""")
+def section_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.section_texts(lines(spark, sf_dir), ["doc_id"], ["pos"], "line", "^The")
+
+
+@_query(f"""WITH {LINES}, s AS (SELECT doc_id, pos, length(line) AS size, sum(CASE WHEN regexp_matches(line, '^The') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM lines)
+    SELECT doc_id, CAST(g AS INT) AS chapter_group, CAST(sum(size) AS BIGINT) AS total_size, string_agg(pos, ',' ORDER BY pos) AS indices FROM s GROUP BY doc_id, g""")
+def group_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = lines(spark, sf_dir).select("doc_id", "pos", F.col("line").alias("file"), F.length("line").alias("size"))
+    grouped = S.group_chapters(parts, ["doc_id"], "pos", F.col("file").rlike("^The"))
+    return grouped.select("doc_id", "chapter_group", "total_size", F.array_join("indices", ",").alias("indices"))
+
+
+_PLAIN = r"regexp_replace(line, '[\s\p{Z}]+', '', 'g')"
+
+
+@_query(f"""WITH {LINES}, p AS (SELECT doc_id, pos, {_PLAIN} AS t FROM lines),
+    h AS (SELECT doc_id, pos, t, list_max(list_transform(list_distinct(string_split(t, '')), lambda c: length(t) - length(replace(t, c, '')))) AS most FROM p WHERE length(t) > 0)
+    SELECT doc_id, pos, round(most / length(t), 6) AS share, length(t) >= 20 AND most / length(t) >= 0.15 AS stuck FROM h""")
+def dominant_character(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = T.dominant_share(F.col("line"))
+    return lines(spark, sf_dir).where(r"length(regexp_replace(line, r'(?U)\s+', '')) > 0").select("doc_id", "pos", F.round(share, 6).alias("share"), T.is_stuck_line(F.col("line"), 20, 0.15).alias("stuck"))
+
+
+@_query(r"""SELECT page_id, trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)) AS heading, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, left(md5(html), 8) AS digest, url FROM pages""")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = F.col("html")
+    return read(spark, sf_dir, "pages").select("page_id", html.grab(page, r"(?is)<h1[^>]*>(.*?)</h1>").alias("heading"), html.grab(page, r"(?is)<title[^>]*>(.*?)</title>").alias("title"), T.short_digest(page).alias("digest"), "url")
+
+
+_BLOCK = r"(?is)<(?:h[1-4]|blockquote|p|li)\b[^>]*>.*?</(?:h[1-4]|blockquote|p|li)\s*>"
+
+
+@_query(rf"""WITH b AS (SELECT page_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS block FROM (SELECT page_id, regexp_extract_all(html, '{_BLOCK}') AS l FROM pages)),
+    t AS (SELECT page_id, pos, lower(regexp_extract(block, '^<(\w+)', 1)) AS tag, trim(regexp_replace(regexp_replace(block, '(?s)<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS text FROM b)
+    SELECT page_id, pos, CASE WHEN tag LIKE 'h%' THEN 'heading' WHEN tag = 'blockquote' THEN 'quote' ELSE 'text' END AS kind,
+           replace(replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&') AS text FROM t WHERE text <> ''""")
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.body_blocks(read(spark, sf_dir, "pages"), ["page_id"])
+
+
+@_query()
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", html.text_of(F.col("html")).alias("text"))
+
+
+@_query("""SELECT page_id, CASE WHEN contains(url, 'example.org') THEN 'org' WHEN regexp_matches(html, '[A-Za-z]') THEN 'en' ELSE 'unknown' END AS hint,
+    CASE WHEN octet_length(encode(html)) < 15360 THEN 'main' ELSE 'sub' END AS route FROM pages""")
+def page_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hint = T.language_hint(F.col("url"), F.lit(None).cast("string"), F.col("html"), {"example.org": "org"})
+    return read(spark, sf_dir, "pages").select("page_id", hint.alias("hint"), T.size_route(F.octet_length("html")).alias("route"))
+
+
+_WORDS = r"list_filter(regexp_split_to_array(line, '\s+'), lambda w: w <> '')"
+
+
+@_query(f"""WITH {LINES}, w AS (SELECT doc_id, pos, line, {_WORDS} AS w FROM lines), b AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM w),
+    k AS (SELECT *, coalesce(list_max(list_filter(range(1, least(len(w), len(p)) + 1), lambda k: p[len(p) - k + 1:len(p)] = w[1:k])), 0) AS k FROM b),
+    r AS (SELECT doc_id, pos, line, array_to_string(w[k + 1:len(w)], ' ') AS rest FROM k),
+    f AS (SELECT *, bool_or(rest <> '') OVER (PARTITION BY doc_id) AS any_left FROM r)
+    SELECT doc_id, pos, CASE WHEN any_left THEN rest ELSE line END AS text FROM f WHERE NOT any_left OR rest <> ''""")
+def overlap_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captions.trim_overlaps(lines(spark, sf_dir).withColumnRenamed("line", "text"), ["doc_id"], ["pos"])
+
+
+@_query()
+def caption_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).select("doc_id", F.col("pos").alias("line_no"), (F.col("pos") * 1000).cast("long").alias("start_ms"), (F.col("pos") * 1000 + 1000).cast("long").alias("end_ms"), F.col("line").alias("text"))
+    return captions.collapse_progressive(rows, ["doc_id"], ["line_no"])
+
+
+@_query("""WITH RECURSIVE t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn) * 1000 - 1000 AS s FROM conversations),
+    f AS (
+        SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS start, '' AS buf, CAST(NULL AS BIGINT) AS o_start, CAST(NULL AS BIGINT) AS o_end, CAST(NULL AS VARCHAR) AS o_text FROM (SELECT DISTINCT conv_id FROM t)
+        UNION ALL
+        SELECT g.conv_id, g.i, CASE WHEN full_ THEN g.s + 1000 ELSE begin END, CASE WHEN full_ THEN '' ELSE txt END, CASE WHEN full_ THEN begin END, CASE WHEN full_ THEN g.s + 1000 END, CASE WHEN full_ THEN txt END
+        FROM (SELECT *, (len >= 2000 AND regexp_matches(txt, '[.!?]["''’”)\\]]?$')) OR len >= 6000 OR (len >= 3500 AND regexp_matches(txt, '[,;:–—-]$')) OR (len >= 4000 AND n >= 12) OR n >= 25 AS full_
+              FROM (SELECT *, s + 1000 - begin AS len, len(list_filter(regexp_split_to_array(txt, '\\s+'), lambda w: w <> '')) AS n
+                    FROM (SELECT t.conv_id, t.i, t.s, coalesce(f.start, t.s) AS begin, CASE WHEN f.buf = '' THEN t.text ELSE f.buf || ' ' || t.text END AS txt FROM f JOIN t ON t.conv_id = f.conv_id AND t.i = f.i + 1))) g),
+    o AS (SELECT conv_id, o_start AS start_ms, o_end AS end_ms, o_text AS text FROM f WHERE o_text IS NOT NULL
+          UNION ALL SELECT conv_id, start, i * 1000, buf FROM f WHERE buf <> '' AND i = (SELECT max(i) FROM t WHERE t.conv_id = f.conv_id))
+    SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY end_ms) AS INT) AS pos, start_ms, end_ms, text FROM o""")
+def sentence_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", place.alias("i"), "text").withColumns({"start_ms": (F.col("i") * 1000 - 1000).cast("long"), "end_ms": (F.col("i") * 1000).cast("long")})
+    return captions.sentence_segments(rows, ["conv_id"], ["i"])
+
+
+_CLOCK = "lpad(CAST({0} // 3600000 AS VARCHAR), CAST(greatest(2, length(CAST({0} // 3600000 AS VARCHAR))) AS INT), '0') || ':' || lpad(CAST({0} // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} // 1000 % 60 AS VARCHAR), 2, '0') || ',' || lpad(CAST({0} % 1000 AS VARCHAR), 3, '0')"
+_STAMPS = f"{_CLOCK.format('s')} || ' --> ' || {_CLOCK.format('e')}"
+
+
+def _clocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.floor(F.col("start_ms") / 86_400_000) * 86_400_000
+    return cues(spark, sf_dir).withColumns({"start_ms": F.col("start_ms") - day, "end_ms": F.col("end_ms") - day})
+
+
+_CLOCKED = "k AS (SELECT *, start_ms - start_ms // 86400000 * 86400000 AS s, end_ms - start_ms // 86400000 * 86400000 AS e, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, event_id) AS no FROM cues)"
+
+
+@_query(f"WITH {CUES}, {_CLOCKED} SELECT track_id, string_agg(no || chr(10) || {_STAMPS} || chr(10) || text, chr(10) || chr(10) ORDER BY no) || chr(10) AS text, count(*) AS n_cues FROM k GROUP BY track_id")
+def format_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subtitles.format_tracks(_clocked(spark, sf_dir), ["track_id"], _ORDER)
+
+
+@_query(f"WITH {CUES}, {_CLOCKED} SELECT track_id, CAST(no AS INT) AS pos, CAST(no AS INT) AS idx, s AS start_ms, e AS end_ms, text FROM k")
+def parse_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = subtitles.format_tracks(_clocked(spark, sf_dir), ["track_id"], _ORDER)
+    return subtitles.parse(written, ["track_id"], dialect="gaps").drop("lines")
+
+
+@_query(f"WITH {CUES} SELECT track_id, count(*) AS arrows, CAST(count(*) AS INT) AS blocks, CAST(count(*) AS INT) AS numbered, CAST(count(*) AS INT) AS numbers, CAST(count(*) AS BIGINT) AS by_lines FROM cues GROUP BY track_id")
+def entry_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.entry_counts(subtitles.format_tracks(_clocked(spark, sf_dir), ["track_id"], _ORDER), ["track_id"])
+
+
+@_query(f"""{_PLACED}, b AS (SELECT track_id, event_id, (place - 1) // CAST(ceil(total / 4) AS BIGINT) + 1 AS batch_num FROM p),
+    n AS (SELECT track_id, CAST(batch_num AS INT) AS batch_num, count(*) AS n_source, count(*) FILTER (event_id % 5 > 0) AS n_target FROM b GROUP BY ALL)
+    SELECT *, n_source - n_target AS lost, CASE WHEN n_source = n_target THEN 'equal' WHEN n_source > 0 AND abs(n_source - n_target) <= 5 THEN 'tolerable' ELSE 'fail' END AS verdict FROM n""")
+def batch_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = S.batch_by_entry(cues(spark, sf_dir), ["track_id"], _ORDER, 4)
+    found = checks.batch_losses(source, source.where("event_id % 5 > 0"), ["track_id"])
+    return found.withColumn("verdict", checks.verdict(F.col("n_source"), F.col("n_target")))
+
+
+@_query(f"""WITH {LINES}, n AS (SELECT doc_id, count(*) AS n_lines, sum(octet_length(encode(line))) AS n_bytes FROM lines GROUP BY doc_id),
+    l AS (SELECT *, CAST(least(150, greatest(10, floor(6000 / greatest(n_bytes / n_lines, 1)))) AS BIGINT) AS lim FROM n)
+    SELECT doc_id, f AS first, least(f + lim - 1, n_lines) AS last FROM (SELECT *, unnest(range(1, n_lines + 1, lim)) AS f FROM l)""")
+def read_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = lines(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("line")).alias("n_bytes"))
+    return S.read_batches(sizes).select("doc_id", "first", "last")
+
+
+@_query(f"""WITH {LINES}, n AS (SELECT doc_id, length(line) AS size, count(*) AS n FROM lines GROUP BY ALL),
+    t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, size) AS r, sum(n) OVER (PARTITION BY doc_id) AS total FROM n)
+    SELECT doc_id, CAST(size AS INT) AS top_length, size <= 40 AND n / total > 0.5 AS stuck FROM t WHERE r = 1""")
+def stuck_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.stuck_head(lines(spark, sf_dir), ["doc_id"], "line", most_chars=40)
+
+
+@_query("SELECT conv_id, string_agg('## ' || role || chr(10) || chr(10) || CASE WHEN trim(text) = '' THEN '(no captions)' ELSE trim(text) END, chr(10) || chr(10) ORDER BY turn) AS text, count(*) FILTER (trim(text) <> '') AS n_filled, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY conv_id")
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.transcript(read(spark, sf_dir, "conversations"), ["conv_id"], "turn", "role", "text")
+
+
+@_query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.missing') AS missing FROM events")
+def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    props = F.col("props")
+    return read(spark, sf_dir, "events").select("event_id", replies.json_field(props, "$.k").alias("k"), replies.json_field(props, "$.missing").alias("missing"))
+
+
+@_query("""SELECT doc_id, regexp_replace(left(regexp_replace(regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40), '-+$', '') AS slug FROM documents""")
+def title_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", T.slug(F.substring_index("text", "\n", 1)).alias("slug"))
+
+
+@_query(f"""WITH {LINES} SELECT doc_id, pos, '[' || {_NORMAL.replace('text', 'line')} || ']' AS line FROM lines""")
+def collapsed_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select("doc_id", "pos", F.concat(F.lit("["), T.collapse_space(F.col("line")), F.lit("]")).alias("line"))
+
+
+@_query("""WITH w AS (SELECT vec_id, '0;' || (vec_id % 50 + 1) || ';01:' || lpad(CAST(vec_id % 60 AS VARCHAR), 2, '0') AS spec, 100000 + vec_id * 1000 AS total_ms FROM embeddings),
+    p AS (SELECT vec_id, 1 AS win_no, 0 AS win_start, total_ms FROM w UNION ALL SELECT vec_id, 2, (vec_id % 50 + 1) * 1000, total_ms FROM w UNION ALL SELECT vec_id, 3, 60000 + vec_id % 60 * 1000, total_ms FROM w)
+    SELECT vec_id, CAST(win_no AS INT) AS win_no, CAST(win_start AS BIGINT) AS win_start, CAST(coalesce(lead(win_start) OVER (PARTITION BY vec_id ORDER BY win_no), total_ms) AS BIGINT) AS win_end FROM p""")
+def timeline_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec = F.col("vec_id")
+    spec = F.concat(F.lit("0; "), (vec % 50 + 1).cast("string"), F.lit(";01:"), F.lpad((vec % 60).cast("string"), 2, "0"))
+    return S.timeline_windows(read(spark, sf_dir, "embeddings").select("vec_id", spec.alias("spec"), (100_000 + vec * 1000).alias("total_ms")), ["vec_id"])
+
+
+@_query("SELECT d.doc_id, d.lang FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
+def already_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", "lang").join(read(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi")
