@@ -26,7 +26,7 @@ def parse_pairs(df: DataFrame, spec: str = "spec", separators: str = r"[,|;\n]",
     parts = each.withColumns({"_at": at, "_sign": sign}).withColumns({"wrong": F.when(F.col("_at") > 0, F.trim(F.substr("pair", F.lit(1), F.col("_at") - 1))), "correct": F.when(F.col("_at") > 0, F.trim(F.substr("pair", F.col("_at") + 1)))})
     good = F.coalesce((F.col("wrong") != "") & (F.lit(empty_correct) | (F.col("correct") != "")), F.lit(False))
     if strict:
-        parts = parts.withColumn("ord", F.when(good, F.col("ord")).otherwise(F.raise_error(F.concat(F.lit("malformed pair: "), "pair")).cast("int")))
+        good = F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("malformed pair: "), "pair")).cast("boolean"))
     return parts.where(good).select("ord", "wrong", "correct")
 
 
