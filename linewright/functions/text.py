@@ -56,6 +56,11 @@ def replace_pairs(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), pairs, text)
 
 
+def pairs_with_slugs(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The pairs, those of several words followed by their hyphenated forms."""
+    return [q for w, c in pairs for q in ([(w, c), (w.replace(" ", "-"), c.replace(" ", "-"))] if " " in w else [(w, c)])]
+
+
 def decode_entities_once(text: Column) -> Column:
     """Six entities, the ampersand last, so that nothing is decoded twice."""
     return replace_pairs(text, ENTITIES_AMP_LAST)

@@ -127,9 +127,10 @@ def tail_drift(pairs: DataFrame, by: list[str], pos: str = "pos", tail: int = 5,
     ``pairs`` has source and target texts by position.  A record is abnormal if
     its target has over 1.2 or under 0.1 times the source's characters (an empty
     source is normal).  If one of the last ``tail`` records is abnormal, the
-    drift begins after the last stretch of ``calm`` normal records among the
-    last ``most``: two places after that stretch's first record, counted from
-    zero, as far as one is found; else at the first abnormal record of the tail.
+    records before them are walked back, ``most`` from the end at the farthest,
+    until ``calm`` in a row are normal: the drift begins two places after the
+    last of these, counted from zero.  Without such a stretch it begins at the
+    first abnormal record on the way.
     """
     ratio = F.length(F.coalesce("target", F.lit(""))) / F.length("source")
     odd = F.coalesce((F.length("source") > 0) & ((ratio > 1.2) | (ratio < 0.1)), F.lit(False))
@@ -138,19 +139,32 @@ def tail_drift(pairs: DataFrame, by: list[str], pos: str = "pos", tail: int = 5,
     rows = pairs.withColumns({"_odd": odd, "_back": F.row_number().over(back), "_n": F.count("*").over(every)}).where(F.col("_back") <= most)
     stretch = F.sum(F.when(F.col("_odd"), 0).otherwise(1)).over(back.rowsBetween(-(calm - 1), 0))
     rows = rows.withColumn("_calm", (stretch == calm) & (F.col("_back") >= calm))
-    first_odd = F.min(F.when(F.col("_odd"), F.col("_back"))).over(every)
-    rows = rows.withColumn("_first", first_odd)
     found = rows.groupBy(*by).agg(
         F.max("_n").alias("total"),
         F.count_if(F.col("_odd") & (F.col("_back") <= tail)).alias("_flagged"),
-        F.min(F.when(F.col("_calm") & (F.col("_back") > F.col("_first")), F.col("_back"))).alias("_at"),
-        F.max(F.when(F.col("_odd") & (F.col("_back") <= tail), F.col("_back"))).alias("_odd_back"),
+        F.min(F.when(F.col("_calm") & (F.col("_back") >= tail + calm), F.col("_back"))).alias("_at"),
+        F.max(F.when(F.col("_odd"), F.col("_back"))).alias("_odd_back"),
     )
     # a stretch ends (walking back) at its calm-th record, whose index from zero is total - _at
     begin = F.when(F.col("_at").isNotNull(), F.col("total") - F.col("_at") + 2).otherwise(F.col("total") - F.col("_odd_back") + 1)
     return found.withColumn("drift_start", F.when(F.col("_flagged") > 0, begin)).select(*by, "total", "drift_start", F.coalesce(F.col("total") - F.col("drift_start") + 1, F.lit(0)).alias("drift_range"))
 
 
+def track_drift(source: DataFrame, target: DataFrame, by: list[str], pos: str = "pos", text: str = "text") -> DataFrame:
+    """``drift_range`` of two tracks: the difference of their numbers of records, or else that of :func:`tail_drift`."""
+    count = lambda df, name: df.groupBy(*by).agg(F.count("*").alias(name))
+    sizes = count(source, "n_source").join(count(target, "n_target"), by, "full").fillna(0, ["n_source", "n_target"])
+    other = sizes.where("n_source <> n_target").select(*by, F.abs(F.col("n_source") - F.col("n_target")).alias("drift_range"))
+    equal = sizes.where("n_source = n_target").select(*by)
+    both = source.select(*by, pos, F.col(text).alias("source")).join(target.select(*by, pos, F.col(text).alias("target")), [*by, pos]).join(equal, by, "left_semi")
+    return other.unionByName(tail_drift(both, by, pos).select(*by, "drift_range"))
+
+
+def enough_items(df: DataFrame, by: list[str], qualifies: Column, least: int = 2) -> DataFrame:
+    """Sections with at least ``least`` items that qualify; the others are left out."""
+    return df.groupBy(*by).agg(F.count_if(qualifies).alias("n")).where(F.col("n") >= least)
+
+
 def removed_alarm(lines_in: Column, lines_out: Column, share: float = 0.3) -> Column:
     """Whether at least ``share`` of the lines was removed."""
     return F.when(lines_in > 0, (lines_in - lines_out) / lines_in >= share).otherwise(F.lit(False))

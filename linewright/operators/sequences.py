@@ -197,17 +197,3 @@ def read_batches(df: DataFrame, lines: str = "n_lines", n_bytes: str = "n_bytes"
     limit = F.least(most, F.greatest(F.lit(10), F.floor(F.lit(6000) / F.greatest(average, F.lit(1))))).cast("long")
     starts = F.sequence(F.lit(1).cast("long"), F.col(lines).cast("long"), F.col("_limit"))
     return df.where(F.col(lines) > 0).withColumn("_limit", limit).withColumn("first", F.explode(starts)).withColumn("last", F.least(F.col("first") + F.col("_limit") - 1, F.col(lines))).drop("_limit")
-
-
-def sampling_plan(df: DataFrame, entries: str = "entries", lines: str = "n_lines") -> DataFrame:
-    """Which lines to sample (offset, length, label), by the size of a track.
-
-    Below 400 entries all is read; then head, middle and tail; from 800 on also
-    the quarters, from 1500 on six places.
-    """
-    n, total = F.col(entries), F.col(lines)
-    places = F.when(n < 400, F.array(F.lit(0.0))).when(n < 800, F.array(*map(F.lit, (0.0, 0.45, 0.9)))).when(n < 1500, F.array(*map(F.lit, (0.0, 0.3, 0.6, 0.9)))).otherwise(F.array(*map(F.lit, (0.0, 0.2, 0.4, 0.6, 0.75, 0.9))))
-    each = df.select("*", F.posexplode(places).alias("part", "_share"))
-    offset = F.bround(F.col("_share") * total).cast("long")
-    length = F.when(n < 400, total).otherwise(F.least(F.lit(200), total - offset)).cast("long")
-    return each.withColumns({"offset": offset, "length": length}).drop("_share")

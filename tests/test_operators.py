@@ -129,7 +129,11 @@ def test_checks(spark):
     calm = checks.tail_drift(track([12, 1, 10, 10, 10, 10, 10]), ["track"]).first()
     assert calm.drift_start is None and calm.drift_range == 0
     drift = checks.tail_drift(track([10] * 6 + [50] * 4), ["track"]).first()
-    assert drift.drift_start == 3 and drift.drift_range == 8
+    assert drift.drift_start == 2 and drift.drift_range == 9
+    odd = checks.tail_drift(track([10, 50, 10, 10, 10, 10, 50]), ["track"]).first()
+    assert odd.drift_start == 2
+    short = checks.track_drift(track([1] * 3).withColumnRenamed("source", "text"), track([1] * 5).withColumnRenamed("source", "text"), ["track"]).first()
+    assert short.drift_range == 2
     samples = spark.createDataFrame([("t", [0, 0]), ("t", [1000, 1000])], "track string, samples array<int>")
     assert checks.silent_share(samples, ["track"]).first()["threshold"] == 2.0
     config = spark.createDataFrame([(1, "a"), (1, None)], "num int, title string")
@@ -167,3 +171,21 @@ def test_strict_pairs(spark):
     assert sorted(spark.range(1).select(specs.selected_numbers(F.lit("1, 3,7-9"))).first()[0]) == [1, 3, 7, 8, 9]
     patches = spark.createDataFrame([("a:b.srt:12.5:3",), ("c.srt:-2",), ("bad",)], "spec string")
     assert {tuple(r) for r in specs.parse_patches(patches).collect()} == {("a:b.srt", 12_500, 3000), ("c.srt", -2000, 0)}
+
+
+def test_reading_plans(spark):
+    from linewright.operators import reading_plans as P
+
+    plan = lambda entries, lines, preset: [(r.offset, r.length) for r in P.sampling_plan(spark.createDataFrame([(entries, lines)], "entries int, n_lines int"), preset).orderBy("part").collect()]
+    assert plan(399, 600, "podcast") == [(0, 500), (500, 200)]
+    assert plan(400, 1605, "podcast") == [(0, 400), (482, 400), (963, 400), (1405, 200)]
+    assert plan(800, 3200, "podcast") == [(0, 300), (640, 400), (1344, 400), (2080, 400), (2964, 236)]
+    assert [x[0] for x in plan(1500, 6000, "podcast")] == [0, 900, 1740, 2580, 3420, 4260, 5764]
+    assert plan(399, 450, "reading") == [(0, 450), (250, 200)]
+    assert plan(400, 1603, "reading") == [(0, 400), (400, 400), (800, 400), (1403, 200)]
+    assert plan(800, 3200, "reading") == [(0, 300), (966, 400), (1632, 400), (2298, 400), (2964, 236)]
+    assert [x[0] for x in plan(1500, 6000, "reading")] == [0, 1210, 2120, 3030, 3940, 4850, 5764]
+    assert plan(400, 1605, "translation") == [(0, 500), (1405, 200)]
+    spec = spark.createDataFrame([("t", 1000, [100.0, 500.0], 1000.0)], "track string, n_lines int, points array<double>, total_sec double")
+    found = P.timeline_reads(spec, 3).orderBy("part").collect()
+    assert [(r.offset, r.length, r.label) for r in found] == [(0, 400, "0:00~6:40 (covers TL: 1:40)"), (300, 400, "5:00~11:40 (covers TL: 8:20)"), (600, 400, "10:00~16:40")]
