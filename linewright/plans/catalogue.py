@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import align, captions, checks, replies
+from ..operators import align, captions, checks, reading_plans, replies
 from ..operators import sequences as S
 from ..sources import html, sinks, specs, subtitles
 from .tables import CUES, LINES, cues, lines, read
@@ -488,3 +488,82 @@ def timeline_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT d.doc_id, d.lang FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
 def already_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", "lang").join(read(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi")
+
+
+@_query("""SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&') AS once,
+    replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot;', '"'), '&#39;', '''') AS early FROM pages""")
+def decoded_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = F.col("html")
+    return read(spark, sf_dir, "pages").select("page_id", T.decode_entities_once(page).alias("once"), T.decode_entities_amp_early(page).alias("early"))
+
+
+@_query(f"""WITH {LINES}, n AS (SELECT doc_id, count(*) * 20 AS n_lines FROM lines GROUP BY doc_id), e AS (SELECT *, n_lines // 4 AS entries FROM n),
+    p AS (
+        SELECT doc_id, 0 AS part, 0 AS o, CASE WHEN entries < 400 THEN 500 ELSE 500 END AS l, 'head' AS label FROM e
+        UNION ALL SELECT doc_id, 1, greatest(n_lines - 200, CASE WHEN entries < 400 THEN 500 ELSE 0 END), 200, 'tail' FROM e)
+    SELECT doc_id, CAST(part AS INT) AS part, CAST(o AS BIGINT) AS "offset", CAST(l AS BIGINT) AS length, label FROM p""")
+def sampling_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = lines(spark, sf_dir).groupBy("doc_id").agg((F.count("*") * 20).alias("n_lines")).withColumn("entries", F.floor(F.col("n_lines") / 4))
+    return reading_plans.sampling_plan(sizes, "translation").select("doc_id", "part", "offset", "length", "label")
+
+
+_TURNS = "t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id, role) AS n, role, text FROM conversations)"
+
+
+@_query(f"""WITH {_TURNS}, p AS (SELECT u.conv_id, u.i, u.n, length(a.text) / length(u.text) AS ratio, length(u.text) AS c FROM t u JOIN t a ON u.conv_id = a.conv_id AND u.role = 'user' AND a.role = 'assistant' AND u.i = a.i AND u.n = a.n),
+    o AS (SELECT conv_id, n, i, c > 0 AND (ratio > 1.2 OR ratio < 0.1) AS odd FROM p)
+    SELECT conv_id, n AS total, CASE WHEN bool_or(odd) THEN min(i) FILTER (odd) END AS drift_start, coalesce(n - min(i) FILTER (odd) + 1, 0) AS drift_range FROM o GROUP BY conv_id, n""")
+def tail_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # conversations here have fewer turns than the tail, so the SQL needs no walk back; tests cover it
+    paired = positional_align(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    return checks.tail_drift(paired.select("conv_id", place.alias("pos"), F.col("text").alias("source"), F.col("other_text").alias("target")), ["conv_id"])
+
+
+@_query("""SELECT l.doc_id, l.quality, l.toxic, list_filter([CASE WHEN l.toxic = 1 THEN 'missing note' END, CASE WHEN count(*) OVER (PARTITION BY l.doc_id % 50) > 1 THEN 'duplicate number ' || l.doc_id % 50 END], lambda x: x IS NOT NULL) AS errors FROM labels l""")
+def config_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "labels").withColumns({"num": F.col("doc_id") % 50, "note": F.when(F.col("toxic") == 0, "x")})
+    return checks.config_errors(rows, [], ["note"]).select("doc_id", "quality", "toxic", "errors")
+
+
+@_query("SELECT lang, source, count(*) FILTER (n_chars > 2000) AS n FROM documents GROUP BY ALL HAVING count(*) FILTER (n_chars > 2000) >= 2")
+def enough_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.enough_items(read(spark, sf_dir, "documents"), ["lang", "source"], F.col("n_chars") > 2000)
+
+
+@_query("SELECT doc_id, n_chars > 60000 OR len(string_split(text, chr(10))) > 20 AS large, CASE WHEN source IN ('small', 'medium', 'large') THEN source ELSE 'medium' END AS class FROM documents")
+def content_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n_lines = F.size(F.split("text", "\n")) * 100  # lines of documents are long: a hundred stand for one
+    none = F.lit(None).cast("int")
+    return read(spark, sf_dir, "documents").select("doc_id", T.large_content(none, none, n_lines, F.col("n_chars")).alias("large"), T.size_class(F.col("source")).alias("class"))
+
+
+@_query(f"WITH {CUES}, {_CLOCKED} SELECT event_id, {_CLOCK.format('s')} AS stamp, s AS parsed, CAST(to_timestamp(start_ms // 1000) AT TIME ZONE 'UTC' AS DATE) AS day FROM k")
+def stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = cues(spark, sf_dir).select("event_id", T.epoch_date(F.floor(F.col("start_ms") / 1000)).alias("day"))
+    clock = _clocked(spark, sf_dir).select("event_id", T.ms_to_stamp(F.col("start_ms")).alias("stamp"))
+    return clock.join(days, "event_id").select("event_id", "stamp", T.stamp_to_ms(F.col("stamp")).alias("parsed"), "day")
+
+
+@_query("SELECT doc_id, lang FROM documents WHERE doc_id % 100 IN (1, 3, 7, 8, 9)")
+def selected_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = read(spark, sf_dir, "documents").withColumn("label", (F.col("doc_id") % 100).cast("string"))
+    return specs.select_chapters(labelled, "1, 3,7-9").select("doc_id", "lang")
+
+
+@_query(f"""WITH {CUES}, s AS (SELECT track_id, h AS seg_no, 3600000 AS duration_ms FROM (SELECT DISTINCT track_id FROM cues), range(24) t(h)),
+    c AS (SELECT track_id, event_id, start_ms // 3600000 % 24 AS seg_no, start_ms % 3600000 AS s, end_ms - start_ms AS l FROM cues)
+    SELECT track_id, event_id, seg_no * 3600000 + s AS start_ms, seg_no * 3600000 + s + l AS end_ms FROM c""")
+def merge_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = cues(spark, sf_dir)
+    segments = day.select("track_id").distinct().withColumn("seg_no", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("duration_ms", F.lit(3_600_000).cast("long"))
+    start = F.col("start_ms") % 3_600_000
+    parts = day.select("track_id", "event_id", (F.floor(F.col("start_ms") / 3_600_000) % 24).cast("int").alias("seg_no"), start.alias("s"), (start + F.col("end_ms") - F.col("start_ms")).alias("end_ms")).withColumnRenamed("s", "start_ms")
+    return S.merge_segments(parts, segments, ["track_id"]).select("track_id", "event_id", "start_ms", "end_ms")
+
+
+@_query("""SELECT doc_id, replace(replace(text, 'of the', 'o/t'), 'of-the', 'o/t') AS text, regexp_replace(text, '\\bthe\\b', 'THE', 'g') AS bounded FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\\x00-\\x7F]*$') AND NOT contains(text, '_')""")
+def careful_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = F.array(F.struct(F.lit("the").alias("wrong"), F.lit("THE").alias("correct")))
+    docs = _ascii(spark, sf_dir).where(~F.col("text").contains("_"))
+    return docs.select("doc_id", T.replace_pairs(F.col("text"), T.pairs_with_slugs([("of the", "o/t")])).alias("text"), T.replace_pairs_column(F.col("text"), pairs, True).alias("bounded"))
