@@ -102,6 +102,13 @@ def test_surrogates(spark):
     assert S.rewrite(docs, "k").columns == docs.columns
 
 
+def test_neighbours(spark):
+    """Entities side by side stay two."""
+    text = "4785380592391139 152.143.123.131 +1 (855) 555-4208 416 and +33 1 23 45 67 89"
+    df = spark.createDataFrame([(text,)], "t string").select(F.regexp_extract_all("t", F.lit(S.PATTERN), F.lit(0)))
+    assert df.first()[0] == ["4785380592391139", "152.143.123.131", "+1 (855) 555-4208", "+33 1 23 45 67 89"]
+
+
 def test_collisions(spark):
     """A drawing that often collides, and that draws entities of the input, still keeps entities apart."""
     entities = spark.createDataFrame([("ip", f"10.0.0.{i}", "any") for i in range(60)], "kind string, entity string, gender string")
