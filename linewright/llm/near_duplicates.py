@@ -46,8 +46,9 @@ MANTISSA = 10
 #: Pairs whose estimate falls short of 0.75 by more than this are not verified (three and a half standard errors).
 LEAST, SLACK = 0.75, 0.14
 #: Classes that one block comparison holds on either side.
-BLOCK = 1024
+BLOCK = 512
 
+_BAND = (np.arange(BUCKETS // ROWS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
 _A = np.random.default_rng(7).integers(1, 1 << 32, BUCKETS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = np.random.default_rng(11).integers(0, 1 << 32, BUCKETS, dtype=np.uint64).astype(np.uint32)
 
@@ -125,11 +126,10 @@ def bands(classes: DataFrame) -> DataFrame:
     n = BUCKETS // ROWS
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = (np.arange(n, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
             if batch.num_rows:
                 regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, n)
-                keys = mix(regs ^ number).view(np.int64)
+                keys = mix(regs ^ _BAND).view(np.int64)
                 yield pa.record_batch([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(keys.ravel())], names=["short", "bucket"])
 
     return classes.select("short", "regs").mapInArrow(run, "short long, bucket long")
@@ -195,11 +195,13 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Candidate pairs of different components within a bucket, those included that no star compared.
+def _rest(members: DataFrame, classes: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links between different components that share a bucket, one for each two components of a group.
 
     Of an open bucket, every class outside its largest component meets all
     others: blocks of the former by blocks of all, in groups of bounded size.
+    Signatures come first; the texts of classes that have candidates follow,
+    and no pair leaves a group unless it is a link.
     """
     named = members.join(classes.select("short", "cls"), "short").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", F.coalesce("root", "cls").alias("root"))
     by_root = named.groupBy("bucket", "root").agg(F.count("*").alias("c"))
@@ -213,22 +215,61 @@ def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
     every = rows.withColumn("j", hashed(all_blocks)).withColumn("i", F.explode(F.sequence(F.lit(0), own_blocks - 1))).withColumn("queried", F.lit(False))
     queried = rows.where("root <> main").withColumn("i", hashed(own_blocks)).withColumn("j", F.explode(F.sequence(F.lit(0), all_blocks - 1))).withColumn("queried", F.lit(True))
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
+    carried = "bucket long, i int, j int, cls binary, root binary, regs binary, n_shingles long, queried boolean"
+
+    def screen(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = group[group["queried"]], group[~group["queried"]]
+        used, seen = np.zeros(len(left), bool), np.zeros(len(right), bool)
+        for k, near in _near(left, right):
+            used[k] = True
+            seen[near] = True
+        return pd.concat([left[used], right[seen]])
+
+    def confirm(group: pd.DataFrame) -> pd.DataFrame:
         left, right = group[group["queried"]], group[~group["queried"]]
-        found: list[tuple[bytes, bytes]] = []
-        if len(left) and len(right):
-            x, y = (np.frombuffer(b"".join(s["regs"]), np.uint16).reshape(-1, BUCKETS) for s in (left, right))
-            n, m = left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy()
-            chance = (_density(n) * _WIDTH) @ _density(m).T
-            own, other = left["root"].to_numpy(), right["root"].to_numpy()
-            a, b = left["cls"].to_numpy(), right["cls"].to_numpy()
-            for k in range(len(left)):
-                near = np.flatnonzero((own[k] != other) & (100 * np.minimum(n[k], m) >= 75 * np.maximum(n[k], m)))
-                near = near[estimate(x[k], y[near], chance[k, near]) >= LEAST - SLACK]
-                found += [(min(a[k], b[p]), max(a[k], b[p])) for p in near]
+        own, other = left["root"].tolist(), right["root"].tolist()
+        a, b = left["cls"].tolist(), right["cls"].tolist()
+        sets = {c: word_shingles(t) for c, t in zip(group["cls"], group["text"], strict=True)}
+        joined: dict[bytes, bytes] = {}
+
+        def top(x: bytes) -> bytes:
+            while x in joined:
+                x = joined[x]
+            return x
+
+        found = []
+        for k, near in _near(left, right):
+            for p in near.tolist():
+                x, y = top(own[k]), top(other[p])
+                if x != y:  # one link joins two components
+                    common = len(sets[a[k]] & sets[b[p]])
+                    if 100 * common >= 75 * (len(sets[a[k]]) + len(sets[b[p]]) - common):
+                        joined[x] = y
+                        found.append((a[k], b[p]))
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return every.select(columns).unionByName(queried.select(columns)).groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
+    keys = ("bucket", "i", "j")
+    close = staged(every.select(columns).unionByName(queried.select(columns)).groupBy(*keys).applyInPandas(screen, carried), "close")
+    return close.join(texts, "cls").groupBy(*keys).applyInPandas(confirm, "a binary, b binary").distinct()
+
+
+def _near(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of ``left`` with its candidates in ``right``: other components, in the first bucket that both share."""
+    if not len(left) or not len(right):
+        return
+    x, y = (np.frombuffer(b"".join(s["regs"]), np.uint16).reshape(-1, BUCKETS) for s in (left, right))
+    p, q = x.view(np.uint64), y.view(np.uint64)
+    band = int(np.flatnonzero(mix(p[0] ^ _BAND).view(np.int64) == left["bucket"].iloc[0])[0])
+    n, m = left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy()
+    chance = (_density(n) * _WIDTH) @ _density(m).T
+    own, other = left["root"].to_numpy(), right["root"].to_numpy()
+    for k in range(len(left)):
+        near = np.flatnonzero((own[k] != other) & (100 * np.minimum(n[k], m) >= 75 * np.maximum(n[k], m)))
+        if band:
+            near = near[~(p[k, :band] == q[near, :band]).any(axis=1)]
+        near = near[estimate(x[k], y[near], chance[k, near]) >= LEAST - SLACK]
+        if len(near):
+            yield k, near
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -252,8 +293,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             more = pairs.join(first, ["a", "b"], "left_anti").join(name("a"), "a", "left").join(name("b"), "b", "left")
             more = more.where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
         else:
-            more = _rest(members.select("bucket", "short"), classes, roots)
-        more = staged(_verified(more, texts), f"links_{step}")
+            more = _rest(members.select("bucket", "short"), classes, texts, roots)
+        more = staged(_verified(more, texts) if step == "others" else more, f"links_{step}")
         if more.limit(1).count():
             links = links.unionByName(more)
             roots = components(links)
