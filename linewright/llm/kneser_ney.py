@@ -38,7 +38,7 @@ BITS = 21
 BEGIN = (1 << BITS) - 1
 _MASK = (1 << BITS) - 1
 #: Rows of the model that are broadcast at once (some 25 bytes each).
-SHARD_ROWS = 1_500_000
+SHARD_ROWS = 800_000
 QUANTILE, SLACK = 0.995, 1.15
 _CHUNK = 4 << 20
 _PRIME = 1_000_003
@@ -226,13 +226,13 @@ def _shard(model: DataFrame, number: int, of: int) -> Table:
     """The rows that one reading of the texts needs: at most about ``SHARD_ROWS``."""
     middle = F.when(F.col("level") > 0, F.shiftright("low", BITS)).otherwise(F.col("low")).bitwiseAND((1 << 2 * BITS) - 1)
     mine = (F.col("level").between(-2, 2)) | (F.pmod(middle % _PRIME, F.lit(of)) == number)
-    rows = model.where(mine).toPandas()
-    keys = np.empty(len(rows), np.uint64)
-    level, high, low = (rows[c].to_numpy() for c in ("level", "high", "low"))
+    rows = model.where(mine).toArrow()
+    level, high, low, value = (rows[c].to_numpy() for c in ("level", "high", "low", "value"))
+    keys = np.empty(len(level), np.uint64)
     for k in np.unique(level):
         at = level == k
         keys[at] = key(int(k), high[at], low[at])
-    return Table.of(keys, rows["value"].to_numpy(np.float32))
+    return Table.of(keys, value.astype(np.float32))
 
 
 def perplexities(docs: DataFrame, model: DataFrame, unknown: float, *, shard_rows: int = SHARD_ROWS) -> DataFrame:
