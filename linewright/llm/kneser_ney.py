@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,8 @@ _MASK = (1 << BITS) - 1
 #: Rows of the model that are broadcast at once (some 25 bytes each).
 SHARD_ROWS = 800_000
 QUANTILE, SLACK = 0.995, 1.15
-_CHUNK = 4 << 20
+#: Characters that are counted, and scored, at a time.
+_COUNTED, _SCORED = 1 << 20, 1 << 18
 _PRIME = 1_000_003
 
 
@@ -133,7 +135,7 @@ def log_probabilities(model: Table, unknown: float, high: np.ndarray, low: np.nd
 
 
 def count_runs(texts: DataFrame) -> DataFrame:
-    """(high, low, n) of every run of five characters in the column ``text``."""
+    """(high, low, a) of every run of five characters in the Zstandard frames of the column ``packed``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -147,22 +149,22 @@ def count_runs(texts: DataFrame) -> DataFrame:
             merge()
             return pa.record_batch([pa.array(x, pa.int64()) for x in held.pop()], names=["high", "low", "n"])
 
-        waiting = 0
+        waiting, unpack = 0, zstandard.ZstdDecompressor()
         for batch in batches:
             some: list[str] = []
             size = 0
-            for text in [*batch.column(0).to_pylist(), None]:
-                if text:
-                    some.append(text)
-                    size += len(text)
-                if some and (text is None or size >= _CHUNK):
+            for data in [*batch.column(0), None]:
+                if data is not None:
+                    some.append(unpack.decompress(data.as_buffer()).decode())
+                    size += len(some[-1])
+                if some and (data is None or size >= _COUNTED):
                     high, low = runs(codes(some)[0])
                     real = low & _MASK != BEGIN  # a run ends in a character
                     high, low = high[real], low[real]
                     held.append((high, low, np.ones(len(high), np.int64)))
                     waiting += len(high)
                     some, size = [], 0
-                    if waiting >= 2 * _CHUNK:
+                    if waiting >= 2 * _COUNTED:
                         merge()
                         waiting = 0
                         if len(held[0][0]) > 2_000_000:
@@ -170,11 +172,25 @@ def count_runs(texts: DataFrame) -> DataFrame:
         if held:
             yield emit()
 
-    return texts.select("text").mapInArrow(run, "high long, low long, n long").groupBy("high", "low").agg(F.sum("n").alias("a"))
+    return texts.select("packed").mapInArrow(run, "high long, low long, n long").groupBy("high", "low").agg(F.sum("n").alias("a"))
+
+
+def packed(texts: DataFrame) -> DataFrame:
+    """doc_id and text as a Zstandard frame, which a shuffle carries at less than half its size."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([pack.compress(x.encode()) for x in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "packed"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, packed binary")
 
 
 def train(texts: DataFrame) -> tuple[DataFrame, float] | None:
-    """The model as rows (level, high, low, value), contexts at negative levels, and an unknown character's log probability."""
+    """The model as rows (level, high, low, value), contexts at negative levels, and an unknown character's log probability.
+
+    ``texts`` are those of :func:`packed`.
+    """
     top = staged(count_runs(texts), "runs")
     tables = {5: top.select("high", "low", "a")}
     tables[4] = tables[5].groupBy(F.col("high").bitwiseAND(_MASK).alias("high"), "low").agg(F.count("*").alias("a"))
@@ -253,7 +269,7 @@ def perplexities(docs: DataFrame, model: DataFrame, unknown: float, *, shard_row
                 i = 0
                 while i < len(texts):
                     j, size = i, 0
-                    while j < len(texts) and size < _CHUNK // 8:
+                    while j < len(texts) and size < _SCORED:
                         size += len(texts[j])
                         j += 1
                     c, starts = codes(texts[i:j])
@@ -289,7 +305,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE,
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     apart = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    trained = train(texts.join(trusted.where(~apart), "doc_id", "left_semi"))
+    # hashed at every size: a plan that broadcasts small sets of labels would not show what a large set costs
+    trained = train(packed(texts).join(trusted.where(~apart).hint("shuffle_hash"), "doc_id", "left_semi"))
     names = ["doc_id", "lang", "n_tokens", "perplexity"]
     if trained is None:
         empty = F.lit(None).cast("double")

@@ -151,7 +151,7 @@ def test_language_model(spark):
     random.seed(8)
     texts = ["".join(random.choice("abcde é") for _ in range(random.randint(1, 30))) for _ in range(40)]
     p = kneser_ney(texts)
-    model, unknown = K.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    model, unknown = K.train(K.packed(spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")))
     tries = [*texts[:5], "abc zz é", "日", ""]
     docs = spark.createDataFrame([(i, "x", t) for i, t in enumerate(tries)] + [(0, "x", tries[0]), (99, None, None)], "doc_id long, lang string, text string")
     for shard_rows in (10**6, 400):
