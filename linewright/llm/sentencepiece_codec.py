@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-#: Most chunks kept by a worker (some 150 bytes each).
-CACHE = 1_000_000
+#: Most chunks, and judged pairs of pieces, that a worker keeps (some 250 and 120 bytes each).
+CACHE, PAIRS = 300_000, 500_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -140,9 +140,8 @@ class PieceCodec:
                 limit, a = ra, split[a][1]
             else:
                 limit, b = rb + 1, split[b][0]
-        if len(self._fits) > 4_000_000:
-            self._fits.clear()
-        self._fits[key] = answer
+        if len(self._fits) < PAIRS:
+            self._fits[key] = answer
         return answer
 
     def _ids(self, text: str) -> list[int]:

@@ -45,7 +45,7 @@ LEAST_WEIGHT = 1.5
 DRIFT = -1.0
 THRESHOLD = 0.3
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_«»¿¡"
-_CACHE = 500_000
+_CACHE = 200_000
 
 
 def token_features(token: str) -> tuple[str, ...]:
