@@ -2,12 +2,15 @@
 
 Words are runs of letters and digits of the lower-cased text (every byte beyond
 ASCII counts as a letter).  The seeds are the runs of three words of the test
-items.  One pass counts in how many texts each seed occurs; a seed is rare if
-that is at most ``RARE_SHARE`` of all texts, and the rarest quarter of an item's
-seeds counts as rare in any case, so that no item goes without, however often
-it leaked.  A second pass finds rare seeds in the texts, cuts the passage around
-them and aligns it with the item, word by word.  An alignment's score is its
-share of the greatest possible one; from ``LEAST_SCORE`` on it is a leak.
+items.  A seed in a text is paired if another seed of its item stands beside it
+on nearly the same diagonal, and lone otherwise.  One pass counts in how many
+texts each seed is lone; a seed is rare if that is at most ``RARE_SHARE`` of all
+texts.  Copies of an item, whole or edited, hold its seeds in pairs, so they
+don't make its seeds common, however often it leaked; the rarest quarter of an
+item's seeds counts as rare in any case.  A second pass takes the rare seeds and
+all paired ones in the texts, cuts the passage around them and aligns it with
+the item, word by word.  An alignment's score is its share of the greatest
+possible one; from ``LEAST_SCORE`` on it is a leak.
 
 Test items are collected in chunks of bounded size, each of which is broadcast
 for two readings of the texts; nothing is shuffled but the counts of the seeds.
@@ -19,7 +22,8 @@ text gives a row for each place.  Further columns don't matter.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from bisect import bisect
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -89,33 +93,92 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def leaks_in(own: np.ndarray, rare: Seeds, places: dict[int, list[tuple[int, int]]], items: dict[int, np.ndarray], least: float) -> list[tuple[int, float, int, int]]:
+class Items:
+    """A chunk of items, and where each of its seeds stands in them."""
+
+    def __init__(self, chunk: list[tuple[int, np.ndarray]]) -> None:
+        self.names = [i for i, _ in chunk]
+        self.words = [own for _, own in chunk]
+        parts = [seeds(own) for own in self.words]
+        sizes = [len(x) for x in parts]
+        hashes = np.concatenate([*parts, np.empty(0, np.uint64)])
+        order = np.argsort(hashes, kind="stable")
+        self.item = np.repeat(np.arange(len(parts)), sizes)[order]
+        self.offset = np.concatenate([*map(np.arange, sizes), np.empty(0, np.int64)])[order]
+        self.seeds = Seeds(hashes, [min(SEED_WORDS, len(own)) for own in self.words])
+        self.first = np.append(np.searchsorted(hashes[order], self.seeds.hashes), len(hashes))
+        #: By how many words the diagonals of a pair may differ.
+        self.near = np.array([max(1, len(own) // 8) for own in self.words], np.int64)
+
+    def hits(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every seed in a text's words: its number, where its item would begin, and whether it is paired."""
+        at, found = self.seeds.find(own)
+        place = np.searchsorted(self.seeds.hashes, found)
+        n = self.first[place + 1] - self.first[place] if len(at) else np.empty(0, np.int64)
+        seed = np.repeat(self.first[place] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        begin = np.repeat(at, n) - self.offset[seed]
+        if not len(seed):
+            return seed, begin, np.empty(0, bool)
+        order = np.lexsort((begin, self.item[seed]))
+        seed, begin = seed[order], begin[order]
+        item, offset = self.item[seed], self.offset[seed]
+        new = np.append(True, (np.diff(item) != 0) | (np.diff(begin) != 0))
+        # the least and the greatest offset on each diagonal, then on those near it
+        head, group = np.flatnonzero(new), np.cumsum(new) - 1
+        item, diagonal = item[head], begin[head]
+        least, most = np.minimum.reduceat(offset, head), np.maximum.reduceat(offset, head)
+        low, high = least.copy(), most.copy()
+        for k in range(1, len(head)):
+            near = np.flatnonzero((item[k:] == item[:-k]) & (diagonal[k:] - diagonal[:-k] <= self.near[item[k:]]))
+            if not len(near):
+                break
+            low[near], high[near] = np.minimum(low[near], least[near + k]), np.maximum(high[near], most[near + k])
+            low[near + k], high[near + k] = np.minimum(low[near + k], least[near]), np.maximum(high[near + k], most[near])
+        return seed, begin, (low[group] != offset) | (high[group] != offset)
+
+
+def _aligned_in(word: np.ndarray, passage: np.ndarray, least: float) -> Iterator[tuple[float, int, int]]:
+    """Score, first and last word of every leak in a passage: the best one, then those on either side of it."""
+    n, parts = len(word), [(0, len(passage))]
+    while parts:
+        low, high = parts.pop()
+        if high - low < least * n:
+            continue
+        score, end_item, end = align(word, passage[low:high])
+        if score < least * MATCH * n or not score:
+            continue
+        _, _, back = align(word[:end_item][::-1], passage[low : low + end][::-1])
+        yield score / (MATCH * n), low + end - back, low + end - 1
+        parts += [(low, low + end - back), (low + end, high)]
+
+
+def leaks_in(own: np.ndarray, items: Items, rare: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
     """Item, score, first and last word of every leak in a text's words."""
-    at, found = rare.find(own)
-    if not len(at):
-        return []
+    seed, begin, paired = items.hits(own)
+    use = paired | rare[seed]
     begins: dict[int, list[int]] = defaultdict(list)
-    for p, g in zip(at.tolist(), found.tolist(), strict=True):
-        for item, offset in places[g]:
-            begins[item].append(p - offset)
+    for item, start in zip(items.item[seed[use]].tolist(), begin[use].tolist(), strict=True):
+        begins[item].append(start)
     out = []
     for item, starts in begins.items():
-        word = items[item]
+        word, found = items.words[item], set()
         n = len(word)
-        starts.sort()
         i = 0
         while i < len(starts):
             j = i
             while j + 1 < len(starts) and starts[j + 1] - starts[j] <= n // 2 + 2:
                 j += 1
             low, high = max(0, starts[i] - n // 2 - 2), min(len(own), starts[j] + n + n // 2 + 2)
-            passage = own[low:high]
-            score, end_item, end = align(word, passage)
-            if score >= least * MATCH * n:
-                _, _, back = align(word[:end_item][::-1], passage[:end][::-1])
-                out.append((item, score / (MATCH * n), low + end - back, low + end - 1))
+            found |= {(-score, low + a, low + b) for score, a, b in _aligned_in(word, own[low:high], least)}
             i = j + 1
-    return sorted(set(out))
+        # a passage may have cut a neighbour: of overlapping leaks the fullest, then the first, stays
+        stay: list[tuple[int, int]] = []
+        for score, a, b in sorted(found):
+            k = bisect(stay, (a, b))
+            if (not k or stay[k - 1][1] < a) and (k == len(stay) or b < stay[k][0]):
+                stay.insert(k, (a, b))
+                out.append((item, -score, a, b))
+    return sorted(out)
 
 
 def _chunks(items: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -144,9 +207,9 @@ def drop_leaks(docs: DataFrame, items: DataFrame, *, least_score: float = LEAST_
     for shared in _prepared(_texts(docs), items):
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            rare, places, own, _ = shared.value
+            own, rare = shared.value
             for batch in batches:
-                clean = [x is None or not leaks_in(words(x), rare, places, own, least_score) for x in batch.column(text).to_pylist()]
+                clean = [x is None or not leaks_in(words(x), own, rare, least_score) for x in batch.column(text).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
@@ -158,49 +221,47 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _prepared(texts: DataFrame, items: DataFrame) -> Iterator:
-    """For each chunk of items a broadcast of its rare seeds, their places, the items' words and ids."""
+    """For each chunk of items a broadcast of it and of which of its seeds are rare."""
     spark, total = texts.sparkSession, None
     for chunk in _chunks(items):
-        owners: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, own) in enumerate(chunk):
-            for offset, g in enumerate(seeds(own).tolist()):
-                owners[g].append((k, offset))
-        lengths = [min(SEED_WORDS, len(own)) for _, own in chunk]
-        every = spark.sparkContext.broadcast(Seeds(np.array(list(owners), np.uint64), lengths))
+        own = Items(chunk)
         if total is None:
             total = texts.count()
-        counts = _counts(texts, every) if chunk else {}
-        limit = max(RARE_LEAST, RARE_SHARE * total)
-        rare: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, own) in enumerate(chunk):
-            listed = sorted(enumerate(seeds(own).tolist()), key=lambda x: (counts.get(x[1], 0), x[0]))
-            for rank, (offset, g) in enumerate(listed):
-                if counts.get(g, 0) <= limit or rank <= len(listed) // 4:
-                    rare[g].append((k, offset))
-        yield spark.sparkContext.broadcast((Seeds(np.array(list(rare), np.uint64), lengths), dict(rare), dict(enumerate(own for _, own in chunk)), [i for i, _ in chunk]))
+        counts = _counts(texts, spark.sparkContext.broadcast(own)) if chunk else np.empty(0, np.int64)
+        rare = counts <= max(RARE_LEAST, RARE_SHARE * total)
+        order = np.lexsort((own.offset, counts, own.item))
+        sizes = np.bincount(own.item, minlength=len(chunk))
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        rare[order[rank <= np.repeat(sizes, sizes) // 4]] = True
+        yield spark.sparkContext.broadcast((own, rare))
 
 
-def _counts(texts: DataFrame, every) -> dict[int, int]:
-    """In how many texts each seed of a chunk occurs; as many rows as the chunk has seeds at most."""
+def _counts(texts: DataFrame, shared) -> np.ndarray:
+    """In how many texts each seed of a chunk is lone; as many rows as the chunk has seeds at most."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, tally = every.value, Counter()
+        own = shared.value
+        tally = np.zeros(len(own.item), np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                tally.update(np.unique(own.find(words(text))[1]).view(np.int64).tolist())
-        yield pa.record_batch([pa.array(list(tally), pa.int64()), pa.array(list(tally.values()), pa.int64())], names=["seed", "n"])
-
-    rows = texts.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    return {x["seed"] % (1 << 64): x["n"] for x in rows}
+                seed, _, paired = own.hits(words(text))
+                tally[np.unique(seed[~paired])] += 1
+        some = np.flatnonzero(tally)
+        yield pa.record_batch([pa.array(some, pa.int64()), pa.array(tally[some], pa.int64())], names=["seed", "n"])
+
+    out = np.zeros(len(shared.value.item), np.int64)
+    found = texts.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
+    out[found["seed"].to_numpy()] = found["n"].to_numpy()
+    return out
 
 
 def _aligned(texts: DataFrame, shared, least: float) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare, places, items, names = shared.value
+        items, rare = shared.value
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(doc, names[i], score, a, b) for i, score, a, b in leaks_in(words(text), rare, places, items, least)]
+                rows += [(doc, items.names[i], score, a, b) for i, score, a, b in leaks_in(words(text), items, rare, least)]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "score", "first_word", "last_word"])

@@ -61,6 +61,23 @@ def test_leaks(spark):
     assert D.find_leaks(docs, items.limit(0)).count() == 0 and D.find_leaks(docs.limit(0), items).count() == 0
 
 
+def test_edited_copies_of_frequent_leaks(spark):
+    """However often an item leaked, copies that lost or changed a part of it are found, wherever the part is."""
+    random.seed(3)
+    item = lambda k: [f"w{k}x{i}" for i in range(45)]
+    filler = lambda n: [f"f{random.randint(0, 10**6)}" for _ in range(n)]
+    edits = [lambda x: x[15:], lambda x: x[:30], lambda x: filler(15) + x[15:], lambda x: x[:30] + filler(15), lambda x: x[:15] + filler(12) + x[27:], lambda x: [w if i % 4 else "z" for i, w in enumerate(x)]]
+    texts = [[w for k in range(len(edits)) for w in filler(30) + item(k)] for _ in range(1000)]
+    texts += [filler(40) + edit(item(k)) + filler(40) for k, edit in enumerate(edits) for _ in range(2)]
+    texts += [filler(40) + item(0)[:12] + filler(60), item(1) + filler(30) + item(1)[3:6] + filler(28) + item(1)]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, " ".join(item(k))) for k in range(len(edits))] + [(99, " ".join(filler(20)))], "item_id long, text string")
+    found = [(r.doc_id, r.item_id) for r in D.find_leaks(docs, items).collect()]
+    want = [(d, k) for d in range(1000) for k in range(len(edits))] + [(1000 + d, d // 2) for d in range(2 * len(edits))]
+    assert sorted(found) == want + [(1013, 1), (1013, 1)]
+    assert [r.doc_id for r in D.drop_leaks(docs, items).collect()] == [1012]
+
+
 def smith_waterman(a, b):
     h, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
     for i in range(1, len(a) + 1):
