@@ -11,7 +11,10 @@ the title's gender and the script of the name.
 Surrogates depend on key and entity alone, so one entity has one surrogate in
 all texts.  A check over all distinct entities gives the later ones of equal
 surrogates, and those that equal an entity of the input, another attempt, until
-none is left: distinct entities stay distinct.
+none is left: distinct entities stay distinct.  Surnames grow by a syllable with
+each attempt, and from the third attempt on all but card numbers, IP addresses,
+access keys and IBANs (whose formats have 10**9 values and more) by a letter or
+digit, so that a type can't run out of surrogates.
 
 Null texts stay null and have no entities; an empty table gives an empty
 result; rows that repeat are each rewritten alike.  Further columns don't
@@ -42,7 +45,7 @@ PATTERNS = {
     "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}[ .-]?\d{1,2}(?:[ .-]?\d{2}){4}|\+\d{7,15}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\p{N})",
     "key": r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{L}\p{N}])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "secret": r"(?i:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+-]{8,}",
+    "secret": r"(?i:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[_/+-]*+[A-Za-z0-9])[A-Za-z0-9_/+-]{8,}",
     "hex": r"[0-9a-fA-F]{32,}(?![\p{L}\p{N}])",
     "name": rf"{_TITLE}{_NAME}(?: {_NAME})?",
 }
@@ -65,6 +68,25 @@ SYLLABLES = {
     "greek": ["βα", "δεν", "κορ", "λιν", "μαρ", "νεσ", "ολ", "περ", "ραν", "σελ", "τορ", "βικ", "φεν", "ζαν", "φαλ", "γρο"],
 }
 
+#: Ranges of code points and what stands for a letter or digit from them, of scripts without case; other letters become Latin ones.
+ALPHABETS = [
+    (0x530, 0x58F, "աբգդեզէթժիլխծկհձղճմյնշոչպջռսվտրցփքօֆ"),
+    (0x590, 0x5FF, "אבגדהוזחטיכלמנסעפצקרשת"),
+    (0x660, 0x669, "٠١٢٣٤٥٦٧٨٩"),
+    (0x6F0, 0x6F9, "۰۱۲۳۴۵۶۷۸۹"),
+    (0x600, 0x77F, "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"),
+    (0x966, 0x96F, "०१२३४५६७८९"),
+    (0x900, 0x97F, "अआइईउऊएऐओऔकखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह"),
+    (0x980, 0x9FF, "অআইঈউঊএঐওঔকখগঘচছজঝটঠডঢণতথদধনপফবভমযরলশষসহ"),
+    (0xB80, 0xBFF, "அஆஇஈஉஊஎஏஐஒஓகஙசஞடணதநபமயரலவழளறன"),
+    (0xE00, 0xE7F, "กขคงจฉชซญฐณดตถทธนบปผฝพฟภมยรลวศษสหอฮ"),
+    (0x10A0, 0x10FF, "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ"),
+    (0x3040, 0x309F, "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ"),
+    (0x30A0, 0x30FF, "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ"),
+    (0x3400, 0x9FFF, "一丁七三上下中丹主之九也于云五井亦交人仁今介代以仲任伊休众会佳来依光先全公六兰共兴冬冰初利力加北千南卡双口古可同名向和周回因国土圣地坚城夏大天太夫"),
+    (0xAC00, 0xD7A3, "가나다라마바사아자차카타파하고노도로모보소오조초코토포호구누두루무부수우주추쿠투푸후기니디리미비시이지치키티피히"),
+]
+
 
 def kind_of(match: Column) -> Column:
     """The type of a match: that of the first alternative that takes all of it."""
@@ -85,7 +107,7 @@ def _pick(values: list[str], number: Column) -> Column:
 
 
 def _alike(text: Column, digest: Column, letters: int = 26) -> Column:
-    """Every digit becomes a digit and every letter a letter of its case and script; the rest stays."""
+    """Every digit becomes a digit and every letter a letter of its case and script; signs stay."""
 
     def one(c: Column, i: Column) -> Column:
         n = _byte(digest, i)
@@ -95,15 +117,19 @@ def _alike(text: Column, digest: Column, letters: int = 26) -> Column:
         cyrillic, greek, latin = "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω", "éèàùâêîôûäöüñç"
         chosen = lambda alphabet: F.substring(F.lit(alphabet), F.pmod(n, F.lit(len(alphabet))) + 1, F.lit(1))
         cased = lambda x: F.when(F.upper(c) == c, F.upper(x)).otherwise(x)
-        return (
+        drawn = (
             F.when(code.between(48, 57), shift(48, 10))
             .when(code.between(97, 122), shift(97, letters))
             .when(code.between(65, 90), shift(65, letters))
-            .when(code.between(0x400, 0x4FF), cased(chosen(cyrillic)))
-            .when(code.between(0x370, 0x3FF), cased(chosen(greek)))
-            .when(code.between(0xC0, 0x24F), cased(chosen(latin)))
-            .otherwise(c)
+            .when(code < 128, c)
+            .when(code.between(0x400, 0x52F), cased(chosen(cyrillic)))
+            .when(code.between(0x370, 0x3FF) | code.between(0x1F00, 0x1FFF), cased(chosen(greek)))
+            .when(code.between(0xC0, 0x24F) | code.between(0x1E00, 0x1EFF), cased(chosen(latin)))
+            .when(~c.rlike(r"[\p{L}\p{N}]"), c)
         )
+        for first, last, alphabet in ALPHABETS:
+            drawn = drawn.when(code.between(first, last), chosen(alphabet))
+        return drawn.when(c.rlike(r"\p{N}"), shift(48, 10)).otherwise(cased(shift(97, letters)))
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
@@ -128,13 +154,13 @@ def _card(text: Column, digest: Column) -> Column:
     return F.concat(F.substr(draft, F.lit(1), F.length(draft) - 1), wanted.cast("string"))
 
 
-def _name(text: Column, gender: Column, digest: Column) -> Column:
+def _name(text: Column, gender: Column, digest: Column, attempt: Column) -> Column:
     script = F.when(text.rlike(r"\p{IsCyrillic}"), "cyrillic").when(text.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     given = surname = None
     for kind, parts in SYLLABLES.items():
         male, female = GIVEN[kind, "male"], GIVEN[kind, "female"]
         first = F.when(gender == "male", _pick(male, _byte(digest, F.lit(0)))).when(gender == "female", _pick(female, _byte(digest, F.lit(0)))).otherwise(_pick(male + female, _byte(digest, F.lit(0))))
-        last = F.initcap(F.concat(*(_pick(parts, _byte(digest, F.lit(i))) for i in range(1, 5))))
+        last = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4) + attempt), lambda i: _pick(parts, _byte(digest, i))), ""))  # noqa: B023
         given = F.when(script == kind, first) if given is None else given.when(script == kind, first)
         surname = F.when(script == kind, last) if surname is None else surname.when(script == kind, last)
     return F.when(text.contains(" "), F.concat_ws(" ", given, surname)).otherwise(surname)
@@ -143,22 +169,24 @@ def _name(text: Column, gender: Column, digest: Column) -> Column:
 def surrogate(kind: Column, text: Column, gender: Column, attempt: Column, key: str) -> Column:
     """The keyed surrogate of an entity at an attempt."""
     digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, text, attempt.cast("string")), 512)
+    longer = F.greatest(attempt - 2, F.lit(0)).cast("int")
     local = F.substring_index(text, "@", 1)
     domain = F.substr(text, F.length(local) + 1)
+    more = F.concat(text, F.repeat(F.lit("0"), longer))
     top = F.concat(F.lit("."), F.substring_index(text, ".", -1))
     host = F.substr(domain, F.lit(1), F.length(domain) - F.length(top))
     octets = F.array_join(F.transform(F.split(text, r"\."), lambda _, i: (F.pmod(_byte(digest, i), F.lit(254)) + 1).cast("string")), ".")
-    hexadecimal = F.when(text.rlike("^(?=.*[0-9])[0-9a-fA-F]+$"), _alike(text, digest, 6)).otherwise(_alike(text, digest))
+    hexadecimal = F.when(text.rlike("^(?=.*[0-9])[0-9a-fA-F]+$"), _alike(more, digest, 6)).otherwise(_alike(more, digest))
     code = F.regexp_extract(text, r"^(\+\d{1,3}[ .-]?(?=\())?", 1)  # a country code that a bracket follows
     return (
-        F.when(kind == "email", F.concat(_alike(local, digest), _alike(host, F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("host"), host), 512)), top))
+        F.when(kind == "email", F.concat(_alike(F.concat(local, F.repeat(F.lit("a"), longer)), digest), _alike(host, F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("host"), host), 512)), top))
         .when(kind == "ip", octets)
         .when(kind == "card", _card(text, digest))
-        .when(kind == "phone", F.concat(code, _alike(F.substr(text, F.length(code) + 1), digest)))
+        .when(kind == "phone", F.concat(code, _alike(F.substr(more, F.length(code) + 1), digest)))
         .when(kind.isin("key", "iban"), F.concat(F.substring(text, 1, 4), _alike(F.substr(text, F.lit(5)), digest)))
         .when(kind.isin("secret", "hex"), hexadecimal)
-        .when(kind == "name", _name(text, gender, digest))
-        .otherwise(_alike(text, digest))
+        .when(kind == "name", _name(text, gender, digest, attempt))
+        .otherwise(_alike(more, digest))
     )
 
 
@@ -177,7 +205,7 @@ def _described(match: Column) -> Column:
 def assign(entities: DataFrame, key: str, *, draw=surrogate) -> DataFrame:
     """kind, entity and surrogate of every distinct entity; no two surrogates of a type are equal."""
     drawn = lambda df: df.withColumn("surrogate", draw(F.col("kind"), F.col("entity"), F.col("gender"), F.col("attempt"), key))
-    current = staged(drawn(entities.groupBy("kind", "entity").agg(F.min("gender").alias("gender")).withColumn("attempt", F.lit(0))), "surrogates")
+    current = staged(drawn(entities.groupBy("kind", "entity").agg(F.coalesce(F.min(F.when(F.col("gender") != "any", F.col("gender"))), F.lit("any")).alias("gender")).withColumn("attempt", F.lit(0))), "surrogates")
     names = current.columns
     while True:
         taken = current.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))

@@ -117,6 +117,30 @@ def test_collisions(spark):
     assert len({r.surrogate for r in found}) == 60 and not {r.surrogate for r in found} & {r.entity for r in found}
 
 
+def test_signs_and_scripts(spark):
+    """Signs alone are no secret, letters of every script change, and a specific title decides the gender."""
+    signs = "password: ________ token = -------- _@-.--"
+    mails = ["张伟@例子.中国", "محمد@مثال.السعودية", "דוד@example.org", "สมชาย@example.org", "ễ@example.org", "ꀀꀁꀂ@example.org", "٣٤٥@example.org"]
+    rows = [signs, *mails, "secret=a_______ secret=b_______", "Dr Anna Schmidt met Frau Anna Schmidt", "Mr. Vik Maier saw Prof Vik Maier"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    new = [r.text for r in S.surrogate_texts(docs, "k").orderBy("doc_id").collect()]
+    assert new[0].startswith(signs[:35]) and len(set(new)) == len(rows)
+    for old, drawn in zip(mails, new[1:], strict=False):
+        local = old.split("@")[0]
+        assert drawn.count("@") == 1 and old.rsplit(".")[-1] == drawn.rsplit(".")[-1]
+        assert local not in drawn and (len(local) < 3 or sum(a == b for a, b in zip(local, drawn, strict=False)) < len(local))
+    assert all("א" <= c <= "ת" for c in new[3].split("@")[0]) and all("一" <= c <= "鿿" for c in new[1].split("@")[0])
+    assert "a_______" not in new[8] and "b_______" not in new[8]
+    assert sum(new[9].count(n + " ") for n in S.GIVEN["latin", "female"]) == 2 and sum(new[10].count(n + " ") for n in S.GIVEN["latin", "male"]) == 2
+
+
+def test_more_entities_than_short_surrogates(spark, monkeypatch):
+    monkeypatch.setitem(S.SYLLABLES, "latin", ["ba", "den"])
+    rows = [("name", f"Name{chr(97 + i % 26)}{chr(97 + i // 26)}", "any") for i in range(200)] + [("email", f"{chr(97 + i)}@-.org", "any") for i in range(26)] + [("secret", f"{i}_______", "any") for i in range(10)]
+    found = S.assign(spark.createDataFrame(rows, "kind string, entity string, gender string"), "k").collect()
+    assert len({(r.kind, r.surrogate) for r in found}) == len(rows) and not {r.surrogate for r in found} & {r.entity for r in found}
+
+
 def kneser_ney(texts):
     """The model by its definition, for single runs."""
     n = K.ORDER
