@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,42 +79,55 @@ def lost_terms(terms: DataFrame, least: int = 3, share: float = 0.3) -> DataFram
     return terms.withColumn("n_counted", counted).where((F.col("n_source") >= least) & (F.col("n_counted") < share * F.col("n_source")))
 
 
-def _quotes(quotes: DataFrame, text: str, casefold: bool, most: int) -> list:
-    """The normalised quotes, at most ``most`` of them."""
-    rows = quotes.select("quote_id", comparable(F.col(text), casefold).alias("q")).where("q <> ''").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} quotes: pass them in parts")
-    return rows
+#: The automaton that a worker used last, by the name of its chunk.
+_AUTOMATON: dict = {}
+
+
+def _automaton(name: str, rows: list):
+    import ahocorasick
+
+    if name not in _AUTOMATON:
+        _AUTOMATON.clear()
+        own = ahocorasick.Automaton()
+        for quote, text in rows:
+            own.add_word(text, (*own.get(text, ()), quote))
+        own.make_automaton()
+        _AUTOMATON[name] = own
+    return _AUTOMATON[name]
 
 
-def found_quotes(quotes: DataFrame, sources: DataFrame, text: str = "text", casefold: bool = False, most: int = 20_000) -> DataFrame:
+def found_quotes(quotes: DataFrame, sources: DataFrame, text: str = "text", casefold: bool = False, chunk_bytes: int = 4 << 20) -> DataFrame:
     """quote_id and number of sources that hold the quote word for word, white space aside.
 
-    The sources are read once against an automaton of all quotes, of which
-    there may be ``most``; sources are never paired with quotes.
+    The quotes are dealt into chunks of some ``chunk_bytes``, the texts of an id
+    into one chunk.  The sources are read once for each chunk, against an
+    automaton of its quotes; sources are never paired with quotes.
     """
-    import ahocorasick
     import pyarrow as pa
 
-    rows = _quotes(quotes, text, casefold, most)
-    automaton = ahocorasick.Automaton()
-    for x in rows:
-        automaton.add_word(x["q"], (*automaton.get(x["q"], ()), x["quote_id"]))
-    if not rows:
-        return quotes.select("quote_id", F.lit(0).cast("long").alias("n_sources")).limit(0)
-    automaton.make_automaton()
-    shared = sources.sparkSession.sparkContext.broadcast(automaton)
-
-    def run(batches):
-        own, tally = shared.value, {}
-        for batch in batches:
-            for source in batch.column(0).to_pylist():
-                for quote in {q for _, ids in own.iter(source or "") for q in ids}:
-                    tally[quote] = tally.get(quote, 0) + 1
-        yield pa.record_batch([pa.array(list(tally), pa.int64()), pa.array(list(tally.values()), pa.int64())], names=["quote_id", "n"])
-
+    named = quotes.select("quote_id", comparable(F.col(text), casefold).alias("q")).where("q <> ''")
+    number = max(1, -(-(named.agg(F.sum(F.octet_length("q"))).first()[0] or 0) // chunk_bytes))
     normal = sources.select(comparable(F.col(text), casefold).alias("t"))
-    return normal.mapInArrow(run, "quote_id long, n long").groupBy("quote_id").agg(F.sum("n").alias("n_sources"))
+    out = None
+    for k in range(number):
+        rows = [(x["quote_id"], x["q"]) for x in named.where(F.pmod(F.xxhash64("quote_id"), F.lit(number)) == k).collect()]
+        if not rows:
+            continue
+        shared = sources.sparkSession.sparkContext.broadcast(rows)
+
+        def run(batches, shared=shared, name=uuid4().hex):
+            own, tally = _automaton(name, shared.value), {}
+            for batch in batches:
+                for source in batch.column(0).to_pylist():
+                    for quote in {q for _, ids in own.iter(source or "") for q in ids}:
+                        tally[quote] = tally.get(quote, 0) + 1
+            yield pa.record_batch([pa.array(list(tally), pa.int64()), pa.array(list(tally.values()), pa.int64())], names=["quote_id", "n"])
+
+        found = normal.mapInArrow(run, "quote_id long, n long")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return quotes.select("quote_id", F.lit(0).cast("long").alias("n_sources")).limit(0)
+    return out.groupBy("quote_id").agg(F.sum("n").alias("n_sources"))
 
 
 def verify_quotes(quotes: DataFrame, sources: DataFrame, **options) -> tuple[DataFrame, DataFrame]:

@@ -189,3 +189,13 @@ def test_reading_plans(spark):
     spec = spark.createDataFrame([("t", 1000, [100.0, 500.0], 1000.0)], "track string, n_lines int, points array<double>, total_sec double")
     found = P.timeline_reads(spec, 3).orderBy("part").collect()
     assert [(r.offset, r.length, r.label) for r in found] == [(0, 400, "0:00~6:40 (covers TL: 1:40)"), (300, 400, "5:00~11:40 (covers TL: 8:20)"), (600, 400, "10:00~16:40")]
+
+
+def test_quotes_in_chunks(spark):
+    """More quotes than one automaton takes; the texts of an id count a source once."""
+    quotes = spark.range(25_000).selectExpr("id as quote_id", "concat('q', id, ' end') as text").unionByName(spark.createDataFrame([(7, "second  text"), (9, "")], "quote_id long, text string"))
+    sources = spark.createDataFrame([("x q7 end second text",), ("q24999  end q7 end",), (None,)], "text string")
+    for options in ({}, {"chunk_bytes": 50_000}):
+        found = {r.quote_id: r.n_sources for r in checks.found_quotes(quotes, sources, **options).collect()}
+        assert found == {7: 2, 24_999: 1}
+    assert checks.found_quotes(quotes.limit(0), sources).count() == 0
