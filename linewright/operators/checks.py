@@ -60,9 +60,13 @@ def restoration(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("ord", "wrong", "n_before", left.alias("n_after"), F.when(F.col("n_before") > 0, 1 - left / F.col("n_before")).alias("restored"), (left > 0).alias("leaked"))
 
 
+#: A capitalised word; letters, marks and digits of any script and underscores bound none, whatever an engine takes for a boundary.
+TERM = r"(?<![\p{L}\p{M}\p{N}_])[A-Z][a-zA-Z]{3,}(?![\p{L}\p{M}\p{N}_])"
+
+
 def term_candidates(df: DataFrame, title: str, description: str, stopwords: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """Capitalised words: all of the title, those of the description that occur twice, and the user's."""
-    found = lambda c: F.explode(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\b[A-Z][a-zA-Z]{3,}\b"), F.lit(0))).alias("term")
+    found = lambda c: F.explode(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TERM), F.lit(0))).alias("term")
     titled = df.select(found(title))
     often = df.select(found(description)).groupBy("term").count().where("count >= 2").select("term")
     out = titled.union(often).join(stopwords.select("term"), "term", "left_anti")

@@ -567,3 +567,34 @@ def careful_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.array(F.struct(F.lit("the").alias("wrong"), F.lit("THE").alias("correct")))
     docs = _ascii(spark, sf_dir).where(~F.col("text").contains("_"))
     return docs.select("doc_id", T.replace_pairs(F.col("text"), T.pairs_with_slugs([("of the", "o/t")])).alias("text"), T.replace_pairs_column(F.col("text"), pairs, True).alias("bounded"))
+
+
+# The queries from here on take all rows where those with SQL keep to rows on which the engines agree.
+
+
+@_query()
+def range_patch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    patch = cues(spark, sf_dir).where("event_type = 'click'").select(F.floor(F.col("start_ms") / 86_400_000).alias("day"), F.col("event_id").alias("pos"), "start_ms", "end_ms", "text", "user_id")
+    return align.patch_ranges(_days(spark, sf_dir, "view"), patch, ["day"], "user_id")
+
+
+@_query()
+def lost_terms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.explode(F.regexp_extract_all("text", F.lit(checks.TERM), F.lit(0))).alias("term")
+    terms = read(spark, sf_dir, "documents").select((F.col("doc_id") % 2 == 0).alias("source"), found)
+    counts = terms.groupBy("term").agg(F.count_if("source").alias("n_source"), F.count_if(~F.col("source")).alias("n_target"))
+    singular = counts.select(F.concat("term", F.lit("s")).alias("term"), F.col("n_target").alias("n_singular"))
+    return checks.lost_terms(counts.join(singular, "term", "left")).select("term", "n_source", "n_target", "n_counted")
+
+
+@_query()
+def term_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("text", F.substring_index("text", "\n", 1).alias("title"))
+    return checks.term_candidates(docs, "title", "text", spark.createDataFrame([("This",), ("That",), ("With",)], "term string"))
+
+
+@_query()
+def careful_replace_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = F.array(F.struct(F.lit("the").alias("wrong"), F.lit("THE").alias("correct")))
+    docs = read(spark, sf_dir, "documents")
+    return docs.select("doc_id", T.replace_pairs(F.col("text"), T.pairs_with_slugs([("of the", "o/t")])).alias("text"), T.replace_pairs_column(F.col("text"), pairs, True).alias("bounded"))

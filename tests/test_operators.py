@@ -199,3 +199,34 @@ def test_quotes_in_chunks(spark):
         found = {r.quote_id: r.n_sources for r in checks.found_quotes(quotes, sources, **options).collect()}
         assert found == {7: 2, 24_999: 1}
     assert checks.found_quotes(quotes.limit(0), sources).count() == 0
+
+
+def test_queries_over_all_rows(spark, tmp_path):
+    """Accents, underscores and other languages against plain models."""
+    import re
+    from collections import Counter
+
+    from linewright.plans import catalogue
+
+    values = ["Villaé Villa\nHouse of the_the the", "Élan Berlin “the” the_x ethe", "Das Haus_Tier Tiere Häuser Berlin", "Москва Theatre Moscow the", None, "Berlin Berlin Paris9 Paris Lands", "Lands Lands", "Land of the é"]
+    rows = [(i, t, ["en", "de", "ru"][i % 3]) for i, t in enumerate(values * 4)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: catalogue.queries()[name](spark, str(tmp_path)).collect()
+    term = re.compile(r"(?<!\w)[A-Z][a-zA-Z]{3,}(?!\w)")
+    every = [(i, term.findall(t or "")) for i, t, _ in rows]
+    source, target = (Counter(w for i, ws in every if i % 2 == k for w in ws) for k in (0, 1))
+    counted = lambda w: target[w[:-1]] if w[-1] == "s" and not target[w] and target[w[:-1]] else target[w]
+    assert {(r.term, r.n_source, r.n_target, r.n_counted) for r in run("lost_terms_all")} == {(w, n, target[w], counted(w)) for w, n in source.items() if n >= 3 and counted(w) < 0.3 * n}
+    titles = {w for _, t, _ in rows for w in term.findall((t or "").split("\n")[0])}
+    assert {r.term for r in run("term_candidates_all")} == titles | {w for w, n in (source + target).items() if n >= 2}
+    bounded = {r.doc_id: r.bounded for r in run("careful_replace_all")}
+    assert bounded == {i: t and re.sub(r"(?<![^\W_])the(?![^\W_])", "THE", t) for i, t, _ in rows}
+    data = "/root/testdata/sf0.001"
+    events = [r.asDict() for r in catalogue.cues(spark, data).collect()]
+    day = lambda e: e["start_ms"] // 86_400_000
+    clicks, reach = [e for e in events if e["event_type"] == "click"], {}
+    for e in clicks:
+        lo, hi = reach.get((day(e), e["user_id"]), (e["start_ms"], e["end_ms"]))
+        reach[day(e), e["user_id"]] = min(lo, e["start_ms"]), max(hi, e["end_ms"])
+    stay = [e for e in events if e["event_type"] == "view" and not any(d == day(e) and lo <= e["start_ms"] < hi for (d, _), (lo, hi) in reach.items())]
+    assert sorted(r.pos for r in catalogue.queries()["range_patch_all"](spark, data).collect()) == sorted(e["event_id"] for e in clicks + stay)
