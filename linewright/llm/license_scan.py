@@ -6,11 +6,12 @@ A template of m words belongs to the least power of two L >= m and is looked
 for in windows of 2 L words that begin every L words, so that some window holds
 any passage of L words whole.
 
-A window's signature has 64 bands of one MinHash row.  A window that holds
-three quarters of its template has a Jaccard similarity of at least
-0.75 (L / 2 - 4) / (2 L), about 0.15 for long templates: it misses all 64 bands
-with a chance below 4e-5.  The template's shingles in the window are then
-counted exactly; a match has at least ``LEAST`` of them.
+A window's signature has 64 bands or more of one MinHash row.  The least Jaccard
+similarity of a window that holds ``LEAST`` of its template follows from their
+numbers of shingles: about 0.15 for long templates, 1/12 for one of five words.
+Each size gets as many bands as its least similar template needs to miss them
+all with a chance of at most ``MISS``.  The template's shingles in the window are
+then counted exactly; a match has at least ``LEAST`` of them.
 
 Windows without any shingle of a template are passed over before signing: with
 one row to a band a collision needs a shared shingle, so none is lost.
@@ -21,6 +22,7 @@ match; repeated rows give a row each.  Further columns don't matter.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -35,8 +37,9 @@ from .decontamination import Seeds, words
 SHINGLE = 5
 BANDS = 64
 LEAST = 0.75
+#: Greatest chance that a window misses its template.
+MISS = 4e-5
 TEMPLATE_BYTES = 16 << 20
-_SEED = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 #: Notices as the licences' own texts suggest them.
 TEMPLATES = [
@@ -58,18 +61,30 @@ def default_templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TEMPLATES, "license_id string, text string")
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def band_seeds(number: int) -> np.ndarray:
+    return mix(np.arange(1, number + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def bands_for(shingles: int, window: int, least: float) -> int:
+    """How many bands a template of so many shingles needs in windows of so many."""
+    held = max(1, math.ceil(least * shingles))
+    alike = held / (shingles + max(window, held) - held)
+    return BANDS if alike >= 1 else max(BANDS, math.ceil(math.log(MISS) / math.log(1 - alike)))
+
+
+def signature(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """The least hash of the shingles for each band."""
-    return mix(shingles[:, None] ^ _SEED).min(axis=0)
+    return mix(shingles[:, None] ^ seeds).min(axis=0)
 
 
 class Templates:
     """Templates by size, with their bands."""
 
-    def __init__(self, rows: list[tuple[str, str]]) -> None:
-        self.names, self.sets, lengths = [], [], []
+    def __init__(self, rows: list[tuple[str, str]], least: float = LEAST) -> None:
+        self.names, self.sets = [], []
         #: (L, shingle length) -> (band, value) -> templates
         self.bands: dict[tuple[int, int], dict[tuple[int, int], list[int]]] = defaultdict(lambda: defaultdict(list))
+        places: dict[tuple[int, int], list[int]] = defaultdict(list)
         for name, text in rows:
             own = words(text)
             if not len(own):
@@ -77,11 +92,17 @@ class Templates:
             n = min(SHINGLE, len(own))
             shingles = np.unique(gram_hashes(own, n))
             size = 1 << (len(own) - 1).bit_length()
-            for band, value in enumerate(signature(shingles).tolist()):
-                self.bands[size, n][band, value].append(len(self.names))
+            places[size, n].append(len(self.names))
             self.names.append(name)
             self.sets.append(shingles)
-            lengths.append(n)
+        #: (L, shingle length) -> seed of each band
+        self.band_seeds: dict[tuple[int, int], np.ndarray] = {}
+        for (size, n), listed in places.items():
+            number = max(bands_for(len(self.sets[k]), 2 * size - n + 1, least) for k in listed)
+            self.band_seeds[size, n] = band_seeds(number)
+            for k in listed:
+                for band, value in enumerate(signature(self.sets[k], self.band_seeds[size, n]).tolist()):
+                    self.bands[size, n][band, value].append(k)
         self.bands = {k: dict(v) for k, v in self.bands.items()}
         every = np.concatenate(self.sets) if self.sets else np.empty(0, np.uint64)
         self.seeds = Seeds(every, [n for _, n in self.bands])
@@ -101,7 +122,7 @@ class Templates:
                 inside = grams[start : start + max(1, 2 * size - n + 1)]
                 if not len(inside):
                     continue
-                signed = signature(np.unique(inside)).tolist()
+                signed = signature(np.unique(inside), self.band_seeds[size, n]).tolist()
                 for k in {k for band, value in enumerate(signed) for k in table.get((band, value), ())}:
                     hit = np.isin(inside, self.sets[k])
                     share = len(np.unique(inside[hit])) / len(self.sets[k])
@@ -132,7 +153,7 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, *, least:
     out = None
     for part in range(parts):
         rows = listed.where(F.pmod(F.xxhash64("license_id", "text"), F.lit(parts)) == part).orderBy("license_id", "text").collect()
-        found = _scanned(texts, spark.sparkContext.broadcast(Templates([tuple(r) for r in rows])), least)
+        found = _scanned(texts, spark.sparkContext.broadcast(Templates([tuple(r) for r in rows], least)), least)
         out = found if out is None else out.unionByName(found)
     return out
 

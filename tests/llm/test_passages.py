@@ -109,6 +109,19 @@ def test_licenses(spark):
     assert all(own.matches("z " * n + notice["isc"] + " z" * 50, 1.0) for n in range(70))
 
 
+def test_licenses_at_every_offset():
+    """Every template amid words that occur once; the shortest, which few shingles show, many times."""
+    own = L.Templates(L.TEMPLATES)
+    number = iter(range(10**9))
+    filler = lambda n: " ".join(f"f{next(number)}" for _ in range(n))
+    for name, text in L.TEMPLATES:
+        size = 1 << (len(L.words(text)) - 1).bit_length()
+        for offset in range(size):
+            assert name in {x[0] for x in own.matches(f"{filler(offset)} {text} {filler(2 * size)}", 0.75)}
+    notice = dict(L.TEMPLATES)["mit-notice"]
+    assert not [i for i in range(4000) if not own.matches(f"{filler(16 + i % 8)} {notice} {filler(24)}", 0.75)]
+
+
 def segments(scores):
     """All maximal scoring segments by their recursive definition."""
     def inside(a, b):
