@@ -16,17 +16,21 @@ _BYTE = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint6
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _POW = {}
+#: Folders of staged tables of this driver.
+_STAGED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
     A local run without that setting, as in tests, gets a folder of its own,
-    which is then set for the session.
+    which is then set for the session; on a cluster the setting is required.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="linewright-")
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="spark-linewright-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
@@ -35,12 +39,41 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: after the write, a lost executor costs no more than
-    its running tasks.
+    its running tasks.  Results read these tables lazily, so they stay until
+    :func:`remove_staged`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/linewright-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_dir(spark)}/linewright-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(f"{path}/{name}")
+    _STAGED.append(path)
+    return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+
+def remove_staged(spark: SparkSession) -> int:
+    """Delete the tables that :func:`staged` wrote for this driver; results not yet written are lost. Returns their number."""
+    hadoop, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        n += path.getFileSystem(hadoop).delete(path, True)
+    return n
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", ways: int = 64, share: int = 1000) -> DataFrame:
+    """``left`` joined to ``right``, which has one row for each key; frequent keys of ``left`` are dealt into ``ways``.
+
+    A key is frequent if it has more than one of ``share`` rows of ``left`` (and
+    more than 10,000), so at most ``share`` hashes are broadcast whatever the
+    size of the tables.  Rows are dealt by their other columns, alike in every
+    attempt of a task.  ``left`` is read three times: stage it first.
+    """
+    least = max(left.count() / share, 10_000)
+    hot = left.groupBy(F.xxhash64(*keys).alias("lw_hash")).count().where(F.col("count") > least)
+    hot = F.broadcast(hot.select("lw_hash", F.lit(True).alias("lw_hot")))
+    deal = lambda df, salt: df.withColumn("lw_hash", F.xxhash64(*keys)).join(hot, "lw_hash", "left").withColumn("lw_salt", F.when(F.col("lw_hot"), salt)).drop("lw_hash", "lw_hot")
+    others = [c for c in left.columns if c not in keys] or keys
+    spread = deal(left, F.pmod(F.xxhash64(*others), F.lit(ways)).cast("int")).withColumn("lw_salt", F.coalesce("lw_salt", F.lit(0)))
+    copies = deal(right, F.lit(1)).withColumn("lw_salt", F.explode(F.when(F.col("lw_salt").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(ways - 1)))))
+    return spread.join(copies, [*keys, "lw_salt"], how).drop("lw_salt")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

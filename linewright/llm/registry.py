@@ -60,9 +60,9 @@ def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .surrogates import surrogate_texts
+    from .surrogates import secret_key, surrogate_texts
 
-    return surrogate_texts(table(spark, sf_dir, "documents"), "linewright")
+    return surrogate_texts(table(spark, sf_dir, "documents"), secret_key(spark))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,31 +2,49 @@
 
 One pattern finds e-mail addresses, IPv4 addresses, telephone, card and social
 security numbers, IBANs, access keys, secrets behind ``token =`` and the like,
-long hexadecimal strings and names behind a title.  Every distinct entity gets
-a keyed surrogate of its own type and format: digits stay digits, letters keep
-case and script, hexadecimal stays hexadecimal, addresses stay valid, card
-numbers keep their first digit and whether the check digit holds, names follow
-the title's gender and the script of the name.
+long hexadecimal strings and names behind a title.  A number of 13 to 19 digits
+counts as a card if its check digit holds, or if the text calls a number a card
+(then mistyped ones count too).  In a text with a titled name,
+every later or earlier word that equals a part of that name is the name too, so
+"Mrs Anna Schmidt", "Mrs Schmidt", "Anna Schmidt" and "Schmidt" stay one person.
+
+Every distinct entity gets a keyed surrogate of its own type and format: digits
+stay digits, letters keep case and script, hexadecimal stays hexadecimal,
+addresses stay valid, card numbers keep their first digit and a valid check
+digit.  A name is replaced by its parts: a surname has one surrogate in all
+texts, a given name one for each gender.  The gender comes from the title; a
+title without one ("Dr") takes that of the same full name elsewhere.
 
 Surrogates depend on key and entity alone, so one entity has one surrogate in
-all texts.  A check over all distinct entities gives the later ones of equal
-surrogates, and those that equal an entity of the input, another attempt, until
-none is left: distinct entities stay distinct.  Surnames grow by a syllable with
-each attempt, and from the third attempt on all but card numbers, IP addresses,
-access keys and IBANs (whose formats have 10**9 values and more) by a letter or
-digit, so that a type can't run out of surrogates.
+all texts.  A check over all distinct entities gives those whose surrogate is
+an entity of the input or is taken, another attempt.  Names grow by a syllable
+with each attempt, and from the third attempt on all but card numbers, IP
+addresses, access keys and IBANs (whose formats have 10**9 values and more) by a
+letter or digit, so a type can't run out; after ``ATTEMPTS`` rounds it's an error.
 
 Null texts stay null and have no entities; an empty table gives an empty
-result; rows that repeat are each rewritten alike.  Further columns don't
-matter to :func:`surrogate_texts`, and :func:`rewrite` keeps them.
+result; rows that repeat are each rewritten alike.  Further columns, whatever
+their names, are kept by :func:`rewrite` and don't matter to
+:func:`surrogate_texts`.  No alternative of the pattern backtracks over a run
+of unbounded length or starts anew within one, so a text of many megabytes takes
+time in proportion to its length and no more stack than a short one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import spread_join, staged
+
+#: Rounds of the collision check before it gives up.
+ATTEMPTS = 40
+#: The setting that holds the secret of the surrogates, and what stands in for it in tests.
+KEY_SETTING = "spark.linewright.surrogates.key"
+TEST_KEY = "not secret: for tests alone"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLES = {
@@ -34,23 +52,29 @@ _TITLES = {
     "female": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita"],
     "any": ["Dr", "Prof"],
 }
-_TITLE = "(?:" + "|".join(sorted((t for x in _TITLES.values() for t in x), key=len, reverse=True)) + r")\.? "
-_NAME = r"\p{Lu}[\p{L}’'-]+"
+_TITLE = "(?:(?:" + "|".join(sorted((t for x in _TITLES.values() for t in x), key=len, reverse=True)) + r")\.? ){1,3}"
+_NAME = r"\p{Lu}\p{L}*+(?:-\p{L}++|[’'](?!s(?!\p{L}))\p{L}++)*+"
+_LONG_NAME = rf"(?=\p{{Lu}}[\p{{L}}’'-]){_NAME}"
+_ALONE = r"(?<![\p{L}\p{N}_+@])"
 #: The alternatives in order of preference.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "ip": rf"{_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{N}}]|\.\p{{N}})",
-    "ssn": r"\d{3}-\d{2}-\d{4}(?![\p{N}-])",
-    "card": r"(?:\d{13,19}|(?:\d{4} ){3}\d{1,7}|(?:\d{4}-){3}\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\p{L}\p{N}])",
-    "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}[ .-]?\d{1,2}(?:[ .-]?\d{2}){4}|\+\d{7,15}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\p{N})",
-    "key": r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{L}\p{N}])",
-    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "secret": r"(?i:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[_/+-]*+[A-Za-z0-9])[A-Za-z0-9_/+-]{8,}",
-    "hex": r"[0-9a-fA-F]{32,}(?![\p{L}\p{N}])",
-    "name": rf"{_TITLE}{_NAME}(?: {_NAME})?",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
+    "ip": rf"{_ALONE}(?<!\d\.){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{N}}]|\.\p{{N}})",
+    "ssn": _ALONE + r"\d{3}-\d{2}-\d{4}(?![\p{N}-])",
+    "card": _ALONE + r"(?:\d{13,19}|(?:\d{4} ){3}\d{1,7}|(?:\d{4}-){3}\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\p{L}\p{N}])",
+    "phone": _ALONE + r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}[ .-]?\d{1,2}(?:[ .-]?\d{2}){4}|\+\d{7,15}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\p{N})",
+    "key": _ALONE + r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{L}\p{N}])",
+    "iban": _ALONE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "secret": _ALONE + r"(?i:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[_/+-]*+[A-Za-z0-9])[A-Za-z0-9_/+-]{8,}+",
+    "hex": _ALONE + r"[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])",
+    "name": rf"{_ALONE}{_TITLE}{_LONG_NAME}(?: {_LONG_NAME})?",
 }
-PATTERN = r"(?<![\p{L}\p{N}_+@])(?:" + "|".join(PATTERNS.values()) + ")"
-_PREFIX = rf"^((?i:token|password|passwd|secret|api[_-]?key)\s{{0,3}}[=:]\s{{0,3}}[\"']?|{_TITLE})"
+PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: In a text with a titled name, words with a capital may be parts of it.
+PATTERN_NAMED = rf"{PATTERN}|(?<![\p{{L}}\p{{N}}]){_NAME}"
+#: A text that calls a number a card.
+CARD_SAID = r"(?i)(?<!\p{L})(?:card|karte|kreditkarte|carte|tarjeta)(?: (?:no|number|nr)\.?)?[ :]{1,3}\d{4}[ -]?\d{4,}"
+_SECRET = r"^((?i:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)"
 
 #: Given names by script and gender; any gender draws from both.
 GIVEN = {
@@ -68,8 +92,13 @@ SYLLABLES = {
     "greek": ["βα", "δεν", "κορ", "λιν", "μαρ", "νεσ", "ολ", "περ", "ραν", "σελ", "τορ", "βικ", "φεν", "ζαν", "φαλ", "γρο"],
 }
 
-#: Ranges of code points and what stands for a letter or digit from them, of scripts without case; other letters become Latin ones.
+#: Ranges of code points and what stands for a letter or digit from them; other letters become Latin ones.
 ALPHABETS = [
+    (0xC0, 0x24F, "éèàùâêîôûäöüñç"),
+    (0x1E00, 0x1EFF, "éèàùâêîôûäöüñç"),
+    (0x370, 0x3FF, "αβγδεζηθικλμνξοπρστυφχψω"),
+    (0x1F00, 0x1FFF, "αβγδεζηθικλμνξοπρστυφχψω"),
+    (0x400, 0x52F, "абвгдежзиклмнопрстуфхцчшэюя"),
     (0x530, 0x58F, "աբգդեզէթժիլխծկհձղճմյնշոչպջռսվտրցփքօֆ"),
     (0x590, 0x5FF, "אבגדהוזחטיכלמנסעפצקרשת"),
     (0x660, 0x669, "٠١٢٣٤٥٦٧٨٩"),
@@ -88,13 +117,28 @@ ALPHABETS = [
 ]
 
 
-def kind_of(match: Column) -> Column:
-    """The type of a match: that of the first alternative that takes all of it."""
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it's used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def secret_key(spark: SparkSession) -> str:
+    """The key of the session's setting; without it, that of tests, with a warning."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: surrogates use a public key, which is for tests alone", stacklevel=2)
+    return key or TEST_KEY
+
+
+def kind_of(match: Column, card_said: Column) -> Column:
+    """The type of a match: that of the first alternative that takes all of it; null for a number or word that is none."""
     out = None
     for kind, pattern in PATTERNS.items():
         whole = match.rlike(f"^(?:{pattern})$")
+        if kind == "card":
+            whole = whole & (card_said | (F.pmod(_luhn(_digits(match)), F.lit(10)) == 0))
         out = F.when(whole, kind) if out is None else out.when(whole, kind)
-    return out.otherwise("hex")
+    return out
 
 
 def _byte(digest: Column, i: Column) -> Column:
@@ -106,30 +150,25 @@ def _pick(values: list[str], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), F.pmod(number, F.lit(len(values))) + 1)
 
 
-def _alike(text: Column, digest: Column, letters: int = 26) -> Column:
+def _alike(text: Column, digest: Column, letters: Column) -> Column:
     """Every digit becomes a digit and every letter a letter of its case and script; signs stay."""
+    # F.char covers one byte; other scripts pick from their alphabets
+    alphabets = F.array(*(F.struct(F.lit(first).alias("first"), F.lit(last).alias("last"), F.lit(letters).alias("letters")) for first, last, letters in ALPHABETS))
 
     def one(c: Column, i: Column) -> Column:
-        n = _byte(digest, i)
-        code = F.ascii(c)
-        shift = lambda first, size: F.char(F.lit(first) + F.pmod(n, F.lit(size)))
-        # F.char covers one byte; other scripts pick from their alphabets
-        cyrillic, greek, latin = "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω", "éèàùâêîôûäöüñç"
-        chosen = lambda alphabet: F.substring(F.lit(alphabet), F.pmod(n, F.lit(len(alphabet))) + 1, F.lit(1))
-        cased = lambda x: F.when(F.upper(c) == c, F.upper(x)).otherwise(x)
-        drawn = (
-            F.when(code.between(48, 57), shift(48, 10))
+        n, code = _byte(digest, i), F.ascii(c)
+        shift = lambda first, size: F.char(F.lit(first) + F.pmod(n, size))
+        chosen = lambda alphabet: F.substring(alphabet, F.pmod(n, F.length(alphabet)) + 1, F.lit(1))
+        listed = bound(F.get(F.filter(alphabets, lambda x: code.between(x["first"], x["last"])), F.lit(0))["letters"], chosen)
+        other = F.coalesce(listed, F.when(c.rlike(r"\p{N}"), shift(48, F.lit(10))).otherwise(shift(97, letters)))
+        other = F.when(F.upper(c) == c, F.upper(other)).otherwise(other)
+        return (
+            F.when(code.between(48, 57), shift(48, F.lit(10)))
             .when(code.between(97, 122), shift(97, letters))
             .when(code.between(65, 90), shift(65, letters))
-            .when(code < 128, c)
-            .when(code.between(0x400, 0x52F), cased(chosen(cyrillic)))
-            .when(code.between(0x370, 0x3FF) | code.between(0x1F00, 0x1FFF), cased(chosen(greek)))
-            .when(code.between(0xC0, 0x24F) | code.between(0x1E00, 0x1EFF), cased(chosen(latin)))
-            .when(~c.rlike(r"[\p{L}\p{N}]"), c)
+            .when((code < 128) | ~c.rlike(r"[\p{L}\p{N}]"), c)
+            .otherwise(other)
         )
-        for first, last, alphabet in ALPHABETS:
-            drawn = drawn.when(code.between(first, last), chosen(alphabet))
-        return drawn.when(c.rlike(r"\p{N}"), shift(48, 10)).otherwise(cased(shift(97, letters)))
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
@@ -144,98 +183,140 @@ def _digits(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.regexp_replace(text, r"\D", ""), ""), lambda c: c != ""), lambda c: c.cast("int"))
 
 
-def _card(text: Column, digest: Column) -> Column:
-    """Same grouping and first digit; the check digit holds exactly if it held."""
-    draft = F.concat(F.substring(text, 1, 1), _alike(F.substr(text, F.lit(2)), digest))
-    off = F.pmod(_luhn(_digits(draft)), F.lit(10))
-    last = F.right(draft, F.lit(1)).cast("int")
-    valid = F.pmod(last - off, F.lit(10))
-    wanted = F.when(F.pmod(_luhn(_digits(text)), F.lit(10)) == 0, valid).otherwise(F.when(off == 0, F.pmod(last + 1, F.lit(10))).otherwise(last))
+def _checked(text: Column, draft: Column) -> Column:
+    """A drafted card number whose check digit holds exactly if that of ``text`` held."""
+    off, last = F.pmod(_luhn(_digits(draft)), F.lit(10)), F.right(draft, F.lit(1)).cast("int")
+    wanted = F.when(F.pmod(_luhn(_digits(text)), F.lit(10)) == 0, F.pmod(last - off, F.lit(10))).otherwise(F.when(off == 0, F.pmod(last + 1, F.lit(10))).otherwise(last))
     return F.concat(F.substr(draft, F.lit(1), F.length(draft) - 1), wanted.cast("string"))
 
 
-def _name(text: Column, gender: Column, digest: Column, attempt: Column) -> Column:
+def _name(text: Column, given: Column, gender: Column, digest: Column, attempt: Column) -> Column:
+    """A given name of the gender, or a surname, in the script of ``text``."""
     script = F.when(text.rlike(r"\p{IsCyrillic}"), "cyrillic").when(text.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    given = surname = None
+    out = None
     for kind, parts in SYLLABLES.items():
         male, female = GIVEN[kind, "male"], GIVEN[kind, "female"]
-        first = F.when(gender == "male", _pick(male, _byte(digest, F.lit(0)))).when(gender == "female", _pick(female, _byte(digest, F.lit(0)))).otherwise(_pick(male + female, _byte(digest, F.lit(0))))
-        last = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4) + attempt), lambda i: _pick(parts, _byte(digest, i))), ""))  # noqa: B023
-        given = F.when(script == kind, first) if given is None else given.when(script == kind, first)
-        surname = F.when(script == kind, last) if surname is None else surname.when(script == kind, last)
-    return F.when(text.contains(" "), F.concat_ws(" ", given, surname)).otherwise(surname)
+        number = _byte(digest, F.lit(0))
+        first = F.when(gender == "male", _pick(male, number)).when(gender == "female", _pick(female, number)).otherwise(_pick(male + female, number))
+        built = lambda n: F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: _pick(parts, _byte(digest, i))), ""))  # noqa: B023, E731
+        first = F.when(attempt == 0, first).otherwise(F.concat_ws("-", first, built(F.lit(1) + attempt)))
+        drawn = F.when(given, first).otherwise(built(F.lit(4) + attempt))
+        out = F.when(script == kind, drawn) if out is None else out.when(script == kind, drawn)
+    return out
 
 
 def surrogate(kind: Column, text: Column, gender: Column, attempt: Column, key: str) -> Column:
     """The keyed surrogate of an entity at an attempt."""
-    digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, text, attempt.cast("string")), 512)
+    digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, text, gender, attempt.cast("string")), 512)
     longer = F.greatest(attempt - 2, F.lit(0)).cast("int")
+    is_name, email, card = kind.isin("given", "name"), kind == "email", kind == "card"
     local = F.substring_index(text, "@", 1)
-    domain = F.substr(text, F.length(local) + 1)
-    more = F.concat(text, F.repeat(F.lit("0"), longer))
-    top = F.concat(F.lit("."), F.substring_index(text, ".", -1))
-    host = F.substr(domain, F.lit(1), F.length(domain) - F.length(top))
-    octets = F.array_join(F.transform(F.split(text, r"\."), lambda _, i: (F.pmod(_byte(digest, i), F.lit(254)) + 1).cast("string")), ".")
-    hexadecimal = F.when(text.rlike("^(?=.*[0-9])[0-9a-fA-F]+$"), _alike(more, digest, 6)).otherwise(_alike(more, digest))
+    top = F.when(email, F.concat(F.lit("."), F.substring_index(text, ".", -1))).otherwise("")
+    host = F.when(email, F.substr(text, F.length(local) + 1, F.length(text) - F.length(local) - F.length(top))).otherwise("")
     code = F.regexp_extract(text, r"^(\+\d{1,3}[ .-]?(?=\())?", 1)  # a country code that a bracket follows
-    return (
-        F.when(kind == "email", F.concat(_alike(F.concat(local, F.repeat(F.lit("a"), longer)), digest), _alike(host, F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("host"), host), 512)), top))
-        .when(kind == "ip", octets)
-        .when(kind == "card", _card(text, digest))
-        .when(kind == "phone", F.concat(code, _alike(F.substr(more, F.length(code) + 1), digest)))
-        .when(kind.isin("key", "iban"), F.concat(F.substring(text, 1, 4), _alike(F.substr(text, F.lit(5)), digest)))
-        .when(kind.isin("secret", "hex"), hexadecimal)
-        .when(kind == "name", _name(text, gender, digest, attempt))
-        .otherwise(_alike(more, digest))
-    )
-
-
-def _described(match: Column) -> Column:
-    """Type, prefix that stays, entity and gender of a match."""
-    kind = kind_of(match)
-    prefix = F.when(kind.isin("secret", "name"), F.regexp_extract(match, _PREFIX, 1)).otherwise("")
-    gender = None
-    for name, titles in _TITLES.items():
-        if name != "any":
-            said = F.regexp_replace(F.trim(prefix), r"\.$", "").isin(titles)
-            gender = F.when(said, name) if gender is None else gender.when(said, name)
-    return F.struct(kind.alias("kind"), prefix.alias("prefix"), F.substr(match, F.length(prefix) + 1).alias("entity"), gender.otherwise("any").alias("gender"))
+    head = F.when(card, F.substring(text, 1, 1)).when(kind == "phone", code).when(kind.isin("key", "iban"), F.substring(text, 1, 4)).otherwise("")
+    more = F.when(card | kind.isin("key", "iban"), "").otherwise(F.repeat(F.when(email, "a").otherwise("0"), longer))
+    body = F.concat(F.when(email, local).otherwise(F.substr(text, F.length(head) + 1)), more)
+    letters = F.when(kind.isin("secret", "hex") & text.rlike("^(?=[a-fA-F]*+[0-9])[0-9a-fA-F]++$"), 6).otherwise(26)
+    piece = lambda text, digest, letters: F.struct(text.alias("text"), digest.alias("digest"), letters.alias("letters"))
+
+    def drawn(digest: Column) -> Column:
+        octets = F.array_join(F.transform(F.split(text, r"\."), lambda _, i: (F.pmod(_byte(digest, i), F.lit(254)) + 1).cast("string")), ".")
+        pieces = F.array(piece(body, digest, letters), piece(host, F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("host"), host), 512), F.lit(26)))
+        alike = F.array_join(F.transform(pieces, lambda p: _alike(p["text"], p["digest"], p["letters"])), "")
+        signed = bound(F.concat(head, alike, top), lambda draft: F.when(card, _checked(text, draft)).otherwise(draft))
+        return F.when(kind == "ip", octets).when(is_name, _name(text, kind == "given", gender, digest, attempt)).otherwise(signed)
+
+    return bound(digest, drawn)
+
+
+def _described(match: Column, card_said: Column) -> Column:
+    """The parts of a match: type, what stays before it, entity, gender and full name.
+
+    A name of two parts gives a given name and a surname.  Type ``word`` is to
+    be looked up among the text's names; a null type is no entity.
+    """
+    none = F.lit(None).cast("string")
+    part = lambda kind, before, entity, gender, full: F.struct(kind.alias("kind"), before.alias("before"), entity.alias("entity"), F.coalesce(gender, F.lit("any")).alias("gender"), full.alias("full"))
+
+    def parts(x: Column) -> Column:
+        kind, before = x["kind"], x["before"]
+        rest = F.substr(match, F.length(before) + 1)
+        titled = lambda name: before.rlike(r"(?:^|[ .])(?:" + "|".join(_TITLES[name]) + r")[ .]")
+        gender = F.when(kind == "name", F.when(titled("female"), "female").when(titled("male"), "male"))
+        two = F.array(part(F.lit("given"), before, F.substring_index(rest, " ", 1), gender, rest), part(F.lit("name"), F.lit(" "), F.substring_index(rest, " ", -1), none, none))
+        single = F.when(kind == "name", "title").when(kind.isNull() & match.rlike(r"^\p{Lu}"), "word").otherwise(kind)
+        return F.when((kind == "name") & rest.contains(" "), two).otherwise(F.array(part(single, before, rest, gender, none)))
+
+    before = lambda kind: F.when(kind == "secret", F.regexp_extract(match, _SECRET, 1)).when(kind == "name", F.regexp_extract(match, f"^({_TITLE})", 1)).otherwise("")
+    return bound(bound(kind_of(match, card_said), lambda kind: F.struct(kind.alias("kind"), before(kind).alias("before"))), parts)
 
 
 def assign(entities: DataFrame, key: str, *, draw=surrogate) -> DataFrame:
-    """kind, entity and surrogate of every distinct entity; no two surrogates of a type are equal."""
-    drawn = lambda df: df.withColumn("surrogate", draw(F.col("kind"), F.col("entity"), F.col("gender"), F.col("attempt"), key))
-    current = staged(drawn(entities.groupBy("kind", "entity").agg(F.coalesce(F.min(F.when(F.col("gender") != "any", F.col("gender"))), F.lit("any")).alias("gender")).withColumn("attempt", F.lit(0))), "surrogates")
-    names = current.columns
-    while True:
-        taken = current.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
-        first = current.groupBy("kind", "surrogate").agg(F.min("entity").alias("first"))
-        judged = current.join(first, ["kind", "surrogate"]).join(taken, ["kind", "surrogate"], "left")
-        judged = staged(judged.withColumn("clash", F.col("real").isNotNull() | (F.col("entity") != F.col("first"))).select(*names, "clash"), "judged")
-        if not judged.where("clash").limit(1).count():
-            return current.select("kind", "entity", "surrogate")
-        again = drawn(judged.where("clash").select("kind", "entity", "gender", (F.col("attempt") + 1).alias("attempt")))
-        current = staged(judged.where("not clash").select(names).unionByName(again.select(names)), "surrogates")
+    """kind, entity, gender and surrogate of every distinct entity; no two surrogates of a type are equal."""
+    names = ["kind", "entity", "gender"]
+    pending = real = staged(entities.select(names).distinct(), "distinct")
+    taken = real.select("kind", F.col("entity").alias("surrogate")).distinct()
+    settled = []
+    for attempt in range(ATTEMPTS):
+        drawn = pending.withColumn("surrogate", draw(F.col("kind"), F.col("entity"), F.col("gender"), F.lit(attempt), key))
+        first = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("entity", "gender")).alias("first"))
+        judged = drawn.join(first, ["kind", "surrogate"]).join(taken.withColumn("taken", F.lit(True)), ["kind", "surrogate"], "left")
+        clash = F.col("taken").isNotNull() | (F.struct("entity", "gender") != F.col("first"))
+        judged = staged(judged.select(*names, "surrogate", clash.alias("clash")), "judged")
+        settled.append(judged.where("not clash").select(*names, "surrogate"))
+        pending = judged.where("clash").select(names)
+        if not pending.limit(1).count():
+            return reduce(DataFrame.unionByName, settled)
+        taken = taken.unionByName(settled[-1].select("kind", "surrogate"))
+    raise RuntimeError(f"entities still share surrogates after {ATTEMPTS} attempts")
+
+
+def _resolved(parts: DataFrame) -> DataFrame:
+    """Parts of names: words that are none lose their type, single names and titles without gender find theirs."""
+    place = ["lw_id", "lw_key"]
+    named = parts.where("kind in ('given', 'name', 'title')")
+    known = F.min(F.when((F.col("kind") == "given") & (F.col("gender") != "any"), F.col("gender")))
+    single = F.when(F.max(F.when(F.col("kind") == "name", 1)).isNull() & F.max(F.when(F.col("kind") == "given", 1)).isNotNull(), "given").otherwise("name")
+    # within a text: what a word or a single name is
+    local = named.groupBy(*place, "entity").agg(single.alias("as"), known.alias("local"), F.min(F.when(F.col("kind") == "given", F.col("full"))).alias("first"))
+    words = parts.where("kind in ('word', 'title')").alias("p")
+    same = F.col("p.lw_id").eqNullSafe(F.col("l.lw_id")) & (F.col("p.lw_key") == F.col("l.lw_key")) & (F.col("p.entity") == F.col("l.entity"))
+    # a single name's title speaks of a person who may not be the given name's: only a given name has a gender
+    gender = F.when(F.col("l.as") == "given", F.coalesce(F.col("l.local"), F.lit("any"))).otherwise("any")
+    full = F.when(F.col("l.as") == "given", F.col("l.first"))
+    words = words.join(local.alias("l"), same, "left").select("p.lw_id", "p.lw_key", "p.at", "p.part", F.col("l.as").alias("kind"), "p.before", "p.entity", gender.alias("gender"), full.alias("full"))
+    rest = parts.where("kind is null or kind not in ('word', 'title')").unionByName(words)
+    # across texts: the gender of a full name
+    genders = named.where("kind = 'given' and gender != 'any'").groupBy("full").agg(F.min("gender").alias("known"))
+    unsure = (F.col("kind") == "given") & (F.col("gender") == "any")
+    asked = spread_join(rest.where(unsure), genders, ["full"], "left").withColumn("gender", F.coalesce("known", "gender")).drop("known")
+    return rest.where(F.coalesce(~unsure, F.lit(True))).unionByName(asked)
 
 
 def rewrite(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None, draw=surrogate) -> DataFrame:
     """``docs`` with surrogates for the entities of its texts; ``count_col`` adds how many were replaced."""
-    place = [docs[id_col].alias("lw_id"), F.xxhash64(docs[text_col]).alias("lw_key")]
-    found = docs.select(*place, F.regexp_extract_all(docs[text_col], F.lit(PATTERN), F.lit(0)).alias("matches")).where(F.size("matches") > 0).distinct()
-    found = staged(found.select("lw_id", "lw_key", F.transform("matches", lambda m: _described(m)).alias("found"), "matches"), "entities")
-    each = found.select("lw_id", "lw_key", F.posexplode("found").alias("at", "e")).select("lw_id", "lw_key", "at", "e.*")
-    known = assign(each.select("kind", "entity", "gender"), key, draw=draw)
-    # a frequent entity is a hot key of this join alone, whose other side has one row for it
-    replaced = each.join(known, ["kind", "entity"]).groupBy("lw_id", "lw_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.concat("prefix", "surrogate").alias("s")))), lambda x: x["s"]).alias("lw_new"))
-    columns = docs.columns
-    keyed = docs.withColumns({"lw_id": place[0], "lw_key": place[1]}).alias("d")
-    out = keyed.join(replaced.alias("r"), F.col("d.lw_id").eqNullSafe(F.col("r.lw_id")) & (F.col("d.lw_key") == F.col("r.lw_key")), "left")
-    pieces = F.split(F.col(f"d.{text_col}"), PATTERN, -1)
-    woven = F.array_join(F.flatten(F.zip_with(pieces, F.col("r.lw_new"), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
-    text = F.when(F.col("r.lw_new").isNull(), F.col(f"d.{text_col}")).otherwise(woven)
-    selected = [text.alias(c) if c == text_col else F.col(f"d.{c}") for c in columns]
+    columns, place = docs.columns, ["lw_id", "lw_key"]
+    rows = docs.select(docs[id_col].alias("lw_id"), F.xxhash64(docs[text_col]).alias("lw_key"), docs[text_col].alias("lw_text"), F.struct(*(docs[c] for c in columns)).alias("lw_row"))
+    matches = F.regexp_extract_all("lw_text", F.lit(PATTERN), F.lit(0))
+    found = rows.select(*place, "lw_text", matches.alias("m")).where(F.size("m") > 0)
+    found = found.withColumn("named", F.exists("m", lambda m: m.rlike(f"^{_TITLE}")))
+    found = found.select(*place, "named", F.col("lw_text").rlike(CARD_SAID).alias("said"), F.when(F.col("named"), F.regexp_extract_all("lw_text", F.lit(PATTERN_NAMED), F.lit(0))).otherwise(F.col("m")).alias("m"))
+    found = staged(found.dropDuplicates(place).select(*place, "named", F.transform("m", lambda m: _described(m, F.col("said"))).alias("found")), "entities")
+    each = found.select(*place, F.posexplode("found").alias("at", "parts")).select(*place, "at", F.posexplode("parts").alias("part", "e")).select(*place, "at", "part", "e.*")
+    each = staged(_resolved(each).drop("full"), "parts")
+    known = assign(each.where("kind is not null"), key, draw=draw)
+    replaced = spread_join(each.where("kind is not null"), known, ["kind", "entity", "gender"]).unionByName(each.where("kind is null").withColumn("surrogate", F.col("entity")))
+    said = replaced.groupBy(*place, "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", F.concat("before", "surrogate").alias("s")))), lambda x: x["s"]), "").alias("s"), F.max(F.col("kind").isNotNull().cast("int")).alias("real"))
+    said = said.groupBy(place).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]).alias("lw_new"), F.sum("real").cast("int").alias("lw_count"))
+    new = said.join(found.select(*place, "named"), [said["lw_id"].eqNullSafe(found["lw_id"]), said["lw_key"] == found["lw_key"]]).select(said["lw_id"], said["lw_key"], "named", "lw_new", "lw_count")
+    out = rows.alias("d").join(new.alias("r"), F.col("d.lw_id").eqNullSafe(F.col("r.lw_id")) & (F.col("d.lw_key") == F.col("r.lw_key")), "left")
+    pieces = F.when(F.col("named"), F.split("lw_text", PATTERN_NAMED, -1)).otherwise(F.split("lw_text", PATTERN, -1))
+    woven = F.array_join(F.flatten(F.zip_with(pieces, F.col("lw_new"), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
+    text = F.when(F.col("lw_new").isNull(), F.col("lw_text")).otherwise(woven)
+    selected = [text.alias(c) if c == text_col else F.col("lw_row")[c].alias(c) for c in columns]
     if count_col:
-        selected.append(F.coalesce(F.size("r.lw_new"), F.lit(0)).alias(count_col))
+        selected.append(F.coalesce(F.col("lw_count"), F.lit(0)).alias(count_col))
     return out.select(*selected)
 
 

@@ -229,3 +229,61 @@ def test_pipeline(spark, tmp_path):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, source)
     assert sorted(r.doc_id for r in last.collect()) == sorted(r.doc_id for r in docs.collect())
     assert sorted(map(tuple, corpus_pipeline.run(spark, source).collect())) == sorted(map(tuple, last.collect()))
+
+
+def test_long_runs(spark):
+    """Megabyte runs neither overflow the stack nor take quadratic time, alone or before and after an entity."""
+    n = 1 << 18
+    runs = ["x@" + "a." * n, "a." * n, "." * n, "-" * n + "@", "Q" * n, "f" * n, "f" * n + "g", "1" * n, "1." * n, "+1" * n, "1234 " * n, "DE12 " + "ABCD " * n, "token=" + "_" * n, "token=" + "a" * 20_000, "password: " * 1000, "Mrs " + "A" * n, "Mr " * n, "Mrs Anna Schmidt " + "A-a" * n, "@" * n, "é" * n, "a@b." * 20_000]
+    docs = spark.createDataFrame([(i, x + " q.r@example.org") for i, x in enumerate(runs)], "doc_id long, text string").repartition(8)
+    new = {r.doc_id: r.text for r in S.surrogate_texts(docs, "k").collect()}
+    assert all(("q.r@example" in new[i]) is False for i in range(len(runs))) and new[2].startswith(runs[2]) and new[4].startswith(runs[4])
+
+
+def test_coreference(spark):
+    rows = [
+        "Mrs Anna Schmidt spoke. Mrs Schmidt left, said Anna Schmidt's friend; then Anna, and Schmidts stayed.",
+        "Dr Anna Schmidt met Herr Schmidt-Maier. Prof. Dr. Weber and Frau Weber.",
+        "Anna Schmidt here is a stranger",
+        "Mr Alex Kim and Mrs Alex Kim",
+        "No. 4111111111111111 but part 4111111111111112 and 1234567812345678",
+        "Herr Anna. Frau Anna Vogt",
+    ]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    new = [r.text for r in S.surrogate_texts(docs, "k").orderBy("doc_id").collect()]
+    words = new[0].split()
+    given, surname = words[1], words[2]
+    assert new[0] == f"Mrs {given} {surname} spoke. Mrs {surname} left, said {given} {surname}'s friend; then {given}, and Schmidts stayed."
+    assert given.split("-")[0] in S.GIVEN["latin", "female"] and new[1].startswith(f"Dr {given} {surname} met Herr ")
+    webers = new[1].split(". ", 1)[1].replace("Prof. Dr. ", "").replace("Frau ", "").rstrip(".").split(" and ")
+    assert webers[0] == webers[1] != "Weber" and new[2] == rows[2]
+    him, her = new[3].removeprefix("Mr ").split(" and Mrs ")
+    assert him.split()[1] == her.split()[1] and him.split()[0].split("-")[0] in S.GIVEN["latin", "male"] and her.split()[0].split("-")[0] in S.GIVEN["latin", "female"]
+    assert new[4].endswith(rows[4][20:]) and "4111111111111111" not in new[4]
+    assert new[5].startswith("Herr ") and new[5].split(". ")[0][5:] == new[5].split(". ")[1].split()[1]
+
+
+def test_genders_stay(spark):
+    """A title without gender never turns a woman into a man."""
+    rows = [(2 * i, f"Frau Maria{chr(97 + i % 26)}{chr(97 + i // 26)} Kurz") for i in range(60)] + [(2 * i + 1, f"Dr. Maria{chr(97 + i % 26)}{chr(97 + i // 26)} Kurz") for i in range(60)]
+    new = {r.doc_id: r.text.split() for r in S.surrogate_texts(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert all(new[2 * i][1] == new[2 * i + 1][1] and new[2 * i][1].split("-")[0] in S.GIVEN["latin", "female"] for i in range(60))
+    assert len({new[2 * i][1] for i in range(60)}) == 60
+
+
+def test_many_surnames(spark):
+    """More surnames than one syllable count can hold, and names of columns that the operator uses itself."""
+    docs = spark.range(70_000).selectExpr("id AS doc_id", "concat('Mr Q', translate(cast(id AS string), '0123456789', 'abcdefghij')) AS text", "'x' AS lw_id", "'y' AS lw_key", "'z' AS lw_new")
+    out = S.rewrite(docs, "k")
+    assert out.columns == docs.columns and out.select("text").distinct().count() == 70_000
+    assert out.select("lw_id", "lw_key", "lw_new").distinct().collect() == [("x", "y", "z")]
+
+
+def test_key(spark):
+    import pytest
+
+    with pytest.warns(UserWarning):
+        assert S.secret_key(spark) == S.TEST_KEY
+    spark.conf.set(S.KEY_SETTING, "mine")
+    assert S.secret_key(spark) == "mine"
+    spark.conf.unset(S.KEY_SETTING)
