@@ -38,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mix, raw_text, staged, word_hashes
+from .common import gram_hashes, mix, raw_text, spread_join, staged, word_hashes
 
 WORDS = 5
 BUCKETS, ROWS = 128, 4
 MANTISSA = 10
-#: Pairs whose estimate falls short of 0.75 by more than this are not verified (three and a half standard errors).
-LEAST, SLACK = 0.75, 0.14
+#: Pairs whose estimate falls short of 0.75 by more than this are not verified (five standard errors, a chance of about 1e-6 for a link of exactly 0.75).
+LEAST, SLACK = 0.75, 0.2
+#: Shingles that a comparison of blocks holds in sets at once; of longer texts it holds two.
+HELD = 200_000
 #: Classes that one block comparison holds on either side.
 BLOCK = 512
 
@@ -187,9 +189,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = edges.join(roots.select(F.col("node").alias("b"), F.col("root").alias("far")), "b").groupBy(F.col("a").alias("node")).agg(F.min("far").alias("far"))
         lower = roots.join(near, "node").groupBy("root").agg(F.least("root", F.min("far")).alias("low"))
-        hooked = staged(roots.join(lower, "root").select("node", "root", "low"), "hooked")
+        # a large component is a hot key of these joins
+        hooked = staged(spread_join(roots, lower, ["root"]).select("node", "root", "low"), "hooked")
         jump = hooked.select(F.col("node").alias("low"), F.col("low").alias("next"))
-        after = staged(hooked.join(jump, "low", "left").select("node", "root", F.coalesce("next", "low").alias("low")), "roots")
+        after = staged(spread_join(hooked, jump, ["low"], "left").select("node", "root", F.coalesce("next", "low").alias("low")), "roots")
         roots = after.select("node", F.col("low").alias("root"))
         if not after.where("low <> root").limit(1).count():
             return roots
@@ -229,7 +232,20 @@ def _rest(members: DataFrame, classes: DataFrame, texts: DataFrame, roots: DataF
         left, right = group[group["queried"]], group[~group["queried"]]
         own, other = left["root"].tolist(), right["root"].tolist()
         a, b = left["cls"].tolist(), right["cls"].tolist()
-        sets = {c: word_shingles(t) for c, t in zip(group["cls"], group["text"], strict=True)}
+        text = dict(zip(group["cls"], group["text"], strict=True))
+        sets: dict[bytes, set] = {}
+        held = 0
+
+        def shingled(c: bytes) -> set:
+            nonlocal held
+            if c not in sets:
+                made = word_shingles(text[c])
+                while sets and held + len(made) > HELD:  # the oldest go
+                    held -= len(sets.pop(next(iter(sets))))
+                sets[c] = made
+                held += len(made)
+            return sets[c]
+
         joined: dict[bytes, bytes] = {}
 
         def top(x: bytes) -> bytes:
@@ -242,8 +258,9 @@ def _rest(members: DataFrame, classes: DataFrame, texts: DataFrame, roots: DataF
             for p in near.tolist():
                 x, y = top(own[k]), top(other[p])
                 if x != y:  # one link joins two components
-                    common = len(sets[a[k]] & sets[b[p]])
-                    if 100 * common >= 75 * (len(sets[a[k]]) + len(sets[b[p]]) - common):
+                    one, two = shingled(a[k]), shingled(b[p])
+                    common = len(one & two)
+                    if 100 * common >= 75 * (len(one) + len(two) - common):
                         joined[x] = y
                         found.append((a[k], b[p]))
         return pd.DataFrame(found, columns=["a", "b"])
@@ -272,10 +289,10 @@ def _near(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple[int, np.nda
             yield k, near
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, for every row of ``docs``."""
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and cls, doc_id (the least), text_id and key (of one text, with an id if any has) and root of every class."""
     rows = staged(signatures(docs), "signatures")
-    one = F.min(F.struct("doc_id", "key", "regs")).alias("one")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key", "regs")).alias("one")
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), one)
     classes = staged(classes.select("cls", F.xxhash64("cls").alias("short"), "doc_id", "n_shingles", F.col("one.doc_id").alias("text_id"), F.col("one.key").alias("key"), F.col("one.regs").alias("regs")), "classes")
     members = bands(classes)
@@ -298,11 +315,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if more.limit(1).count():
             links = links.unionByName(more)
             roots = components(links)
-    named = classes.select("cls", "doc_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named = classes.select("cls", "doc_id", "text_id", "key").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    return rows, staged(named, "named")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept, for every row of ``docs``."""
+    rows, named = _grouped(docs)
     ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "cls").join(named.join(ids, "root").select("cls", "component_id"), "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    named = spread_join(named, ids, ["root"]).select("cls", "component_id")
+    rows = rows.select("doc_id", "n_shingles", "cls")
+    # copies of one text are a hot key; texts without words have none
+    out = spread_join(rows.where("cls is not null"), named, ["cls"]).unionByName(rows.where("cls is null").withColumn("component_id", F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` but for near-duplicates: one row of each component stays.
+
+    That's the row with the component's smallest id (a row without id only if
+    none has one); of rows that repeat id and text one stays, whichever.  Rows
+    are told apart by id and text, so one that only shares the id of a duplicate
+    stays.  Texts without words are linked with nothing and all stay.
+    """
+    _, named = _grouped(docs)
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_id", "key")).alias("one"))
+    chosen = first.select(*_identity(F.col("one.text_id"), F.col("one.key")))
+    text = docs["text"].cast("string")
+    rows = docs.select(*_identity(docs["doc_id"].cast("long"), F.xxhash64(text)), F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("lw_words"), F.struct(*(docs[c] for c in docs.columns)).alias("lw_row"))
+    # repeated rows are a hot key: each task keeps one before the shuffle, which the join shares
+    once = rows.where("lw_words").groupBy("lw_one", "lw_two").agg(F.first("lw_row").alias("lw_row")).join(chosen, ["lw_one", "lw_two"], "left_semi")
+    return once.select("lw_row").unionByName(rows.where("not lw_words").select("lw_row")).select(*(F.col("lw_row")[c].alias(c) for c in docs.columns))
+
+
+def _identity(doc_id, key) -> list:
+    """Two hashes that stand for a row's id (or its lack) and text."""
+    return [F.xxhash64(doc_id, key).alias("lw_one"), F.xxhash64(key, doc_id, doc_id.isNull()).alias("lw_two")]
 
 
 def _texts(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
