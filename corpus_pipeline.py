@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from linewright.llm import decontamination, near_duplicates, sentencepiece_codec, surrogates, toxicity
 from linewright.llm.common import staged, table
 
-KEY = "linewright"
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
@@ -23,9 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest id; rows without an id stay."""
-    gone = near_duplicates.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group stays, that with the smallest id; rows are told apart by id and text."""
+    return near_duplicates.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +32,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities get surrogates; the number of characters follows the text."""
-    out = surrogates.rewrite(docs, KEY)
+    out = surrogates.rewrite(docs, surrogates.secret_key(spark))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out
@@ -54,7 +51,7 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: SQL can't express these stages; tests hold them against brute force.
+#: SQL can't express these stages; tests hold them against brute force on small tables.
 ORACLE_SQL = None
 
 
