@@ -4,18 +4,23 @@ Words are runs of letters and digits of the lower-cased text (every byte beyond
 ASCII counts as a letter).  The seeds are the runs of three words of the test
 items.  A seed in a text is paired if another seed of its item stands beside it
 on nearly the same diagonal, and lone otherwise.  One pass counts in how many
-texts each seed is lone; a seed is rare if that is at most ``RARE_SHARE`` of all
-texts.  Copies of an item, whole or edited, hold its seeds in pairs, so they
-don't make its seeds common, however often it leaked; the rarest quarter of an
-item's seeds counts as rare in any case.  A second pass takes the rare seeds and
-all paired ones in the texts, cuts the passage around them and aligns it with
-the item, word by word.  An alignment's score is its share of the greatest
-possible one; from ``LEAST_SCORE`` on it is a leak.
+texts each seed is lone; the rarer half of an item's seeds, and ``RARE_LEAST`` of
+them at least, are its rare ones, whatever the number of texts.  Copies of an
+item, whole or edited, hold its seeds in pairs, so they don't make its seeds
+common, however often it leaked.  A second pass takes the rare seeds and all
+paired ones in the texts, cuts the passage around them and aligns it with the
+item, word by word.  An alignment's score is its share of the greatest possible
+one; from ``LEAST_SCORE`` on it is a leak.
+
+A leak is missed only if its seeds all stand alone and in the commoner half.
+``tests/llm/test_recall.py`` holds the recall against exhaustive alignment.
 
 Test items are collected in chunks of bounded size, each of which is broadcast
 for two readings of the texts; nothing is shuffled but the counts of the seeds.
+So the texts are read twice for each chunk: a benchmark is small beside them.
 
-Null and empty texts and items match nothing.  Items of fewer than three words
+Null and empty texts and items match nothing, an empty table gives no leaks, and
+a very long text is aligned in the passages around its seeds alone.  Items of fewer than three words
 are one seed.  Rows that repeat give a row each; an item that occurs twice in a
 text gives a row for each place.  Further columns don't matter.
 """
@@ -34,8 +39,7 @@ from pyspark.sql import functions as F
 from .common import gram_hashes, word_hashes
 
 SEED_WORDS = 3
-RARE_SHARE = 2e-4
-RARE_LEAST = 20
+RARE_LEAST = 16
 LEAST_SCORE = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bytes of test items that are broadcast at once.
@@ -222,17 +226,15 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _prepared(texts: DataFrame, items: DataFrame) -> Iterator:
     """For each chunk of items a broadcast of it and of which of its seeds are rare."""
-    spark, total = texts.sparkSession, None
+    spark = texts.sparkSession
     for chunk in _chunks(items):
         own = Items(chunk)
-        if total is None:
-            total = texts.count()
         counts = _counts(texts, spark.sparkContext.broadcast(own)) if chunk else np.empty(0, np.int64)
-        rare = counts <= max(RARE_LEAST, RARE_SHARE * total)
         order = np.lexsort((own.offset, counts, own.item))
         sizes = np.bincount(own.item, minlength=len(chunk))
         rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        rare[order[rank <= np.repeat(sizes, sizes) // 4]] = True
+        rare = np.zeros(len(order), bool)
+        rare[order[rank < np.repeat(np.maximum(-(-sizes // 2), RARE_LEAST), sizes)]] = True
         yield spark.sparkContext.broadcast((own, rare))
 
 
