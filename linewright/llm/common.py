@@ -58,17 +58,19 @@ def remove_staged(spark: SparkSession) -> int:
     return n
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", ways: int = 64, share: int = 1000) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", ways: int = 64, share: int = 1000, counts: DataFrame | None = None) -> DataFrame:
     """``left`` joined to ``right``, which has one row for each key; frequent keys of ``left`` are dealt into ``ways``.
 
     A key is frequent if it has more than one of ``share`` rows of ``left`` (and
     more than 10,000), so at most ``share`` hashes are broadcast whatever the
     size of the tables.  Rows are dealt by their other columns, alike in every
-    attempt of a task.  ``left`` is read three times: stage it first.
+    attempt of a task.  ``counts`` may give keys with their number ``n``; without
+    it ``left`` is read once more.  Stage ``left`` first.
     """
     least = max(left.count() / share, 10_000)
-    hot = left.groupBy(F.xxhash64(*keys).alias("lw_hash")).count().where(F.col("count") > least)
-    hot = F.broadcast(hot.select("lw_hash", F.lit(True).alias("lw_hot")))
+    counts = left.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
+    hot = counts.where(F.col("n") > least).select(F.xxhash64(*keys).alias("lw_hash"), F.lit(True).alias("lw_hot"))
+    hot = F.broadcast(hot.distinct())
     deal = lambda df, salt: df.withColumn("lw_hash", F.xxhash64(*keys)).join(hot, "lw_hash", "left").withColumn("lw_salt", F.when(F.col("lw_hot"), salt)).drop("lw_hash", "lw_hot")
     others = [c for c in left.columns if c not in keys] or keys
     spread = deal(left, F.pmod(F.xxhash64(*others), F.lit(ways)).cast("int")).withColumn("lw_salt", F.coalesce("lw_salt", F.lit(0)))

@@ -164,3 +164,19 @@ def test_toxicity(spark):
     model = X.train(docs, labels)
     assert X.keep_clean(docs, model).count() == sum(1 - r.predicted for r in found.values())
     assert {r.score for r in X.toxicity(docs, labels.limit(0)).collect()} == {X.Model().score("")}
+
+
+def test_subtree():
+    """The nodes are the runs of words that occur twice or more and can't be longer on the right; maximal ones differ on the left."""
+    rng = random.Random(5)
+    for _ in range(60):
+        texts = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(1, 12))] for _ in range(rng.randint(1, 5))]
+        suffixes = [(t[i:], t[i - 1] if i else None, 1) for t in texts for i in range(len(t))]
+        order, nodes = R.subtree(suffixes, 2)
+        found = {tuple(suffixes[order[n.first]][0][: n.depth]): (n.last - n.first + 1, n.maximal) for n in nodes}
+        want = {}
+        for run in {tuple(s[:k]) for s, _, _ in suffixes for k in range(2, len(s) + 1)}:
+            held = [(s, left) for s, left, _ in suffixes if tuple(s[: len(run)]) == run]
+            if len(held) > 1 and (len({s[len(run)] if len(s) > len(run) else None for s, _ in held}) > 1 or any(len(s) == len(run) for s, _ in held)):
+                want[run] = (len(held), len({left for _, left in held}) > 1 or None in {left for _, left in held})
+        assert found == want
