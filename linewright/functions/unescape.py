@@ -19,24 +19,25 @@ def unescape_html(texts: pd.Series) -> pd.Series:
 
 
 def without_inner_repeats(text: str, least_words: int = 6, least_run: int = 3) -> str:
-    """Skip the longest run of words that repeats what was just kept."""
+    """From left to right, words go that repeat the end of what was kept: the longest such run of three or more.
+
+    The places where each three kept words began are on record, so only ends
+    that begin with the next three words are compared, the longest first.
+    """
     words = text.split()
     if len(words) < least_words:
         return text
     kept: list[str] = []
-    i = 0
-    while i < len(words):
-        skip = 0
-        if len(kept) >= least_run:
-            for k in range(min(len(kept), len(words) - i), least_run - 1, -1):
-                if kept[-k:] == words[i : i + k]:
-                    skip = k
-                    break
-        if skip:
-            i += skip
-        else:
-            kept.append(words[i])
-            i += 1
+    begun: dict[tuple[str, ...], list[int]] = {}
+    at = 0
+    while at < len(words):
+        ends = begun.get(tuple(words[at : at + least_run]), ())
+        repeated = next((len(kept) - p for p in ends if kept[p:] == words[at : at + len(kept) - p]), 0)
+        at += repeated or 1
+        if not repeated:
+            kept.append(words[at - 1])
+            if len(kept) >= least_run:
+                begun.setdefault(tuple(kept[-least_run:]), []).append(len(kept) - least_run)
     return " ".join(kept)
 
 

@@ -73,7 +73,9 @@ def density_gaps(windows: DataFrame, cues: DataFrame, by: list[str], least_per_m
     return counted.where(F.col("n") * 60_000 / (F.col("win_end") - F.col("win_start")) < least_per_minute).select(*by, F.col("win_start").alias("gap_start"), F.col("win_end").alias("gap_end"), F.lit("low density").alias("reason"))
 
 
-def coverage_labels(ranges: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
-    """Points (at, label) that fall into each range [first, last], joined in order."""
-    met = ranges.join(points, by).where("at between first and last")
+def coverage_labels(ranges: DataFrame, points: DataFrame, by: list[str], width: int = 600) -> DataFrame:
+    """Points (at, label) that fall into each range [first, last], joined in order by bins; a range without points goes."""
+    dealt = ranges.withColumn("_bin", F.explode(_bins(F.col("first"), F.col("last") + 1, width)))
+    placed = points.select(*by, "at", "label", F.floor(F.col("at") / width).alias("_bin"))
+    met = dealt.join(placed, [*by, "_bin"]).where("at between first and last")
     return met.groupBy(*ranges.columns).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda x: x["label"]), ", ").alias("labels"))

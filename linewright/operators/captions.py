@@ -6,6 +6,8 @@ one ordered array; their memory is that of a track.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,7 +64,9 @@ def trim_overlaps(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     rows = df.withColumn("_words", words_of(F.col("text"))).withColumn("_before", F.lag("_words").over(w))
     most = F.least(F.size("_words"), F.size("_before"))
     lengths = F.when(F.col("_before").isNotNull() & (most > 0), F.sequence(most, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    same = F.filter(lengths, lambda k: F.slice("_before", F.size("_before") - k + 1, k) == F.slice("_words", F.lit(1), k))
+    # an end of the text before is compared only if it begins with this text's first word
+    starts = F.filter(lengths, lambda k: F.element_at("_before", F.size("_before") - k + 1) == F.element_at("_words", 1))
+    same = F.filter(starts, lambda k: F.slice("_before", F.size("_before") - k + 1, k) == F.slice("_words", F.lit(1), k))
     cut = F.coalesce(F.get(same, F.lit(0)), F.lit(0))
     rows = rows.withColumn("_cut", cut).withColumn("_rest", F.array_join(F.slice("_words", F.col("_cut") + 1, F.greatest(F.size("_words") - F.col("_cut"), F.lit(0))), " "))
     any_left = F.max(F.col("_rest") != "").over(Window.partitionBy(*by))
@@ -91,6 +95,37 @@ def sentence_segments(df: DataFrame, by: list[str], order: list[str]) -> DataFra
     return _fold(df, by, order, start, step, lambda s: F.when(s["text"] == "", s["out"]).otherwise(F.array_append(s["out"], _cue(s["start"], s["end"], s["text"]))))
 
 
+#: What joins the texts of a track while pairs are replaced over their ends.
+_END = "\0"
+
+
+def replace_over_ends(df: DataFrame, by: list[str], order: list[str], pairs: list[tuple[str, str]], text: str = "text") -> DataFrame:
+    """Ordered replacement in the texts of a track; a pair of as many words on either side also matches over a text's end.
+
+    The words go to either side of the end as they stood, and the end stays.
+    Null texts stay null, and a track with the joining character in a text is
+    left as it is.  A track is one row while it's rewritten.
+    """
+    others = [c for c in df.columns if c not in by]
+    listed = F.array_sort(F.collect_list(F.struct(*(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), F.struct(*others).alias("_row"))))
+    tracks = df.groupBy(*by).agg(listed.alias("_rows"))
+    joined = F.array_join(F.transform("_rows", lambda x: F.coalesce(x["_row"][text], F.lit(""))), _END)
+    for wrong, correct in pairs:
+        joined = F.replace(joined, F.lit(wrong), F.lit(correct))
+        old, new = wrong.split(), correct.split()
+        if len(old) > 1 and len(old) == len(new):
+            escaped = [re.sub(r"([^\w])", r"\\\1", w) for w in old]
+            pattern = escaped[0] + "".join(rf"(?<g{i}>[\s\x00]+){w}" for i, w in enumerate(escaped[1:], 1))
+            quoted = [re.sub(r"([\\$])", r"\\\1", w) for w in new]
+            joined = F.regexp_replace(joined, pattern, quoted[0] + "".join(f"${{g{i}}}{w}" for i, w in enumerate(quoted[1:], 1)))
+    texts = F.split(joined, _END, -1)
+    pair = lambda x, t: F.struct(x["_row"].alias("r"), t.alias("t"))
+    rows = F.when(F.size(texts) == F.size("_rows"), F.zip_with("_rows", texts, pair)).otherwise(F.transform("_rows", lambda x: pair(x, x["_row"][text])))
+    out = tracks.select(*by, F.explode(rows).alias("_x"))
+    new = F.when(F.col(f"_x.r.{text}").isNotNull(), F.col("_x.t"))
+    return out.select(*(F.col(c) if c in by else new.alias(c) if c == text else F.col(f"_x.r.{c}").alias(c) for c in df.columns))
+
+
 def clean_captions(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """All phases in order: collapse, adjacent repeats, inner repeats, overlaps, sentences."""
     out = collapse_progressive(df, by, order)

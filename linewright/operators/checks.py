@@ -20,32 +20,59 @@ def entry_counts(df: DataFrame, by: list[str], text: str = "text") -> DataFrame:
 
 
 def batch_losses(source: DataFrame, target: DataFrame, by: list[str], batch: str = "batch_num") -> DataFrame:
-    """Records of each batch that the target lacks, the greatest loss first; a batch without a source has -1."""
+    """Records of each batch that the target lacks; a batch without a source has -1."""
     count = lambda df, name: df.groupBy(*by, batch).agg(F.count("*").alias(name))
     both = count(target, "n_target").join(count(source, "n_source"), [*by, batch], "full")
     return both.withColumns({"n_source": F.coalesce("n_source", F.lit(-1)), "n_target": F.coalesce("n_target", F.lit(0))}).withColumn("lost", F.when(F.col("n_source") >= 0, F.col("n_source") - F.col("n_target")))
 
 
+def loss_ranking(losses: DataFrame, by: list[str], batch: str = "batch_num") -> DataFrame:
+    """The batches that lost records, the greatest loss first."""
+    return losses.where("lost > 0").orderBy(F.col("lost").desc(), *by, batch)
+
+
 def verdict(source: Column, target: Column, tolerance: int = 5) -> Column:
     """``equal``, ``tolerable`` or ``fail`` for two counts."""
     return F.when(source == target, "equal").when((source > 0) & (F.abs(source - target) <= tolerance), "tolerable").otherwise("fail")
 
 
-def pattern_counts(df: DataFrame, pairs: DataFrame, text: str = "text") -> DataFrame:
-    """How often each pattern (``wrong``) of a dictionary occurs in all texts.
+def pattern_counts(df: DataFrame, pairs: DataFrame, text: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
+    """How often each pattern (``wrong``) of a dictionary occurs in all texts, from left to right without overlaps.
 
-    The texts meet the dictionary as one array of its patterns, so each is read
-    once and no pair of text and pattern is shuffled; dictionaries are small by
-    nature and checked to be so.
+    The patterns are dealt into chunks of some ``chunk_bytes``; the texts are
+    read once for each chunk, against an automaton of its patterns, and a task
+    adds up its counts.  An empty pattern counts 0.
     """
-    listed = pairs.select("ord", "wrong").orderBy("ord").limit(100_001).collect()
-    if len(listed) > 100_000:
-        raise ValueError("a dictionary of more than 100,000 pairs is not broadcast: split it")
-    if not listed:
+    import pyarrow as pa
+
+    listed = pairs.select(F.col("ord").cast("long").alias("ord"), "wrong").where("wrong <> ''")
+    number = max(1, -(-(listed.agg(F.sum(F.octet_length("wrong"))).first()[0] or 0) // chunk_bytes))
+    counted = None
+    for k in range(number):
+        rows = [(x["ord"], x["wrong"]) for x in listed.where(F.pmod(F.xxhash64("wrong"), F.lit(number)) == k).collect()]
+        if not rows:
+            continue
+        shared = df.sparkSession.sparkContext.broadcast(rows)
+
+        def run(batches, shared=shared, name=uuid4().hex):
+            own, tally = _automaton(name, shared.value), {}
+            size = {o: len(w) for o, w in shared.value}
+            for batch in batches:
+                for one in batch.column(0).to_pylist():
+                    free: dict = {}  # where the next occurrence may begin
+                    for end, found in own.iter(one or ""):
+                        for o in found:
+                            if end - size[o] + 1 >= free.get(o, 0):
+                                free[o] = end + 1
+                                tally[o] = tally.get(o, 0) + 1
+            yield pa.record_batch([pa.array(list(tally), pa.int64()), pa.array(list(tally.values()), pa.int64())], names=["ord", "n"])
+
+        part = df.select(F.col(text)).mapInArrow(run, "ord long, n long")
+        counted = part if counted is None else counted.unionByName(part)
+    if counted is None:
         return pairs.select("ord", "wrong", F.lit(0).cast("long").alias("n"))
-    patterns = F.array(*(F.struct(F.lit(x["ord"]).alias("ord"), F.lit(x["wrong"]).alias("wrong")) for x in listed))
-    each = df.select(F.explode(F.transform(patterns, lambda p: F.struct(p["ord"].alias("ord"), p["wrong"].alias("wrong"), F.coalesce(count_literal(F.col(text), p["wrong"]), F.lit(0)).alias("n")))).alias("x"))
-    return each.groupBy("x.ord", "x.wrong").agg(F.sum("x.n").alias("n"))
+    counted = counted.groupBy("ord").agg(F.sum("n").alias("n"))
+    return pairs.select("ord", "wrong").join(counted, "ord", "left").select("ord", "wrong", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def unmatched_pairs(counts: DataFrame) -> DataFrame:

@@ -32,8 +32,7 @@ def first_and_last(df: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
 
 def rekey(df: DataFrame, index: str) -> DataFrame:
     """The index from zero over the whole set."""
-    least = df.agg(F.min(index).alias("_least"))
-    return df.crossJoin(F.broadcast(least)).withColumn(index, F.col(index) - F.col("_least")).drop("_least")
+    return df.withColumn(index, F.col(index) - F.lit(df.agg(F.min(index)).first()[0]))
 
 
 def task_filter(df: DataFrame, prompt: str, wanted: str, text: str, least_chars: int = 500) -> DataFrame:

@@ -8,6 +8,8 @@ hold much of the data.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +55,41 @@ def collapse_short_streaks(df: DataFrame, by: list[str], order: list[str], value
     return runs.withColumns({"_size": size, "_place": place}).where(kept).drop("_value", "_run", "_size", "_place")
 
 
+def clean_hallucinations(df: DataFrame, by: list[str], order: list[str], value: str, *, least: int = 3, drop_long: Column | None = None, strict: bool = False, most_chars: int = 3, streak: int = 20) -> DataFrame:
+    """The clean-ups in their order, each on what the one before left: runs, long lines (``drop_long``), then short streaks."""
+    out = collapse_runs(df, by, order, value, least)
+    if drop_long is not None:
+        out = out.where(~F.coalesce(drop_long, F.lit(False)))
+    return collapse_short_streaks(out, by, order, value, most_chars, streak) if strict else out
+
+
+def gap_report(detected: list[DataFrame], by: list[str], pad_ms: int = 5000) -> DataFrame:
+    """The findings of all detectors (gap_start, gap_end, reason) put together and merged where they touch."""
+    names = [*by, "gap_start", "gap_end", "reason"]
+    every = reduce(DataFrame.unionByName, [d.select(names) for d in detected]).where("gap_end >= gap_start")
+    return merge_intervals(every, by, "gap_start", "gap_end", pad_ms, "reason")
+
+
+def concat_batches(df: DataFrame, by: list[str], batch: str, order: list[str]) -> DataFrame:
+    """All batches of a track in the order of their numbers, renumbered from 1 as ``pos``."""
+    return df.withColumn("pos", F.row_number().over(_window(by, [batch, *order])))
+
+
+def in_range(chapters: DataFrame, index: str, first: int | None = None, last: int | None = None, only: list[int] | None = None) -> DataFrame:
+    """Chapters from ``first`` to ``last``, or those listed in ``only``."""
+    if only is not None:
+        return chapters.where(F.col(index).isin(only))
+    lower = chapters if first is None else chapters.where(F.col(index) >= first)
+    return lower if last is None else lower.where(F.col(index) <= last)
+
+
+def end_samples(df: DataFrame, by: list[str], order: list[str], n: int = 3) -> DataFrame:
+    """The first and last ``n`` records of every track."""
+    size = F.count("*").over(Window.partitionBy(*by))
+    placed = df.withColumns({"_at": F.row_number().over(_window(by, order)), "_size": size})
+    return placed.where((F.col("_at") <= n) | (F.col("_at") > F.col("_size") - n)).drop("_at", "_size")
+
+
 def time_jumps(df: DataFrame, by: list[str], order: list[str], least_ms: int = 30_000) -> DataFrame:
     """Gaps of more than ``least_ms`` between a record's start and its predecessor's end."""
     w = _window(by, order)

@@ -598,3 +598,6 @@ def careful_replace_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.array(F.struct(F.lit("the").alias("wrong"), F.lit("THE").alias("correct")))
     docs = read(spark, sf_dir, "documents")
     return docs.select("doc_id", T.replace_pairs(F.col("text"), T.pairs_with_slugs([("of the", "o/t")])).alias("text"), T.replace_pairs_column(F.col("text"), pairs, True).alias("bounded"))
+
+
+from . import more  # noqa: E402, F401  (registers its queries)
