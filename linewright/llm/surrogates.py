@@ -55,21 +55,21 @@ _TITLES = {
 _TITLE = "(?:(?:" + "|".join(sorted((t for x in _TITLES.values() for t in x), key=len, reverse=True)) + r")\.? ){1,3}"
 _NAME = r"\p{Lu}\p{L}*+(?:-\p{L}++|[’'](?!s(?!\p{L}))\p{L}++)*+"
 _LONG_NAME = rf"(?=\p{{Lu}}[\p{{L}}’'-]){_NAME}"
-_ALONE = r"(?<![\p{L}\p{N}_+@])"
 #: The alternatives in order of preference.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
-    "ip": rf"{_ALONE}(?<!\d\.){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{N}}]|\.\p{{N}})",
-    "ssn": _ALONE + r"\d{3}-\d{2}-\d{4}(?![\p{N}-])",
-    "card": _ALONE + r"(?:\d{13,19}|(?:\d{4} ){3}\d{1,7}|(?:\d{4}-){3}\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\p{L}\p{N}])",
-    "phone": _ALONE + r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}[ .-]?\d{1,2}(?:[ .-]?\d{2}){4}|\+\d{7,15}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\p{N})",
-    "key": _ALONE + r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{L}\p{N}])",
-    "iban": _ALONE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "secret": _ALONE + r"(?i:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[_/+-]*+[A-Za-z0-9])[A-Za-z0-9_/+-]{8,}+",
-    "hex": _ALONE + r"[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])",
-    "name": rf"{_ALONE}{_TITLE}{_LONG_NAME}(?: {_LONG_NAME})?",
+    "email": r"(?<![.%-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
+    "ip": rf"(?<!\d\.){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{N}}]|\.\p{{N}})",
+    "ssn": r"\d{3}-\d{2}-\d{4}(?![\p{N}-])",
+    "card": r"(?:\d{13,19}|(?:\d{4} ){3}\d{1,7}|(?:\d{4}-){3}\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\p{L}\p{N}])",
+    "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}[ .-]?\d{1,2}(?:[ .-]?\d{2}){4}|\+\d{7,15}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\p{N})",
+    "key": r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{L}\p{N}])",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "secret": r"(?i:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[_/+-]*+[A-Za-z0-9])[A-Za-z0-9_/+-]{8,}+",
+    "hex": r"[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])",
+    "name": rf"{_TITLE}{_LONG_NAME}(?: {_LONG_NAME})?",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_REST = "|".join(p for kind, p in PATTERNS.items() if kind != "email")
+PATTERN = rf"(?<![\p{{L}}\p{{N}}_+])(?:{PATTERNS['email']}|(?<!@)(?:{_REST}))"
 #: In a text with a titled name, words with a capital may be parts of it.
 PATTERN_NAMED = rf"{PATTERN}|(?<![\p{{L}}\p{{N}}]){_NAME}"
 #: A text that calls a number a card.
@@ -298,8 +298,7 @@ def rewrite(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str
     """``docs`` with surrogates for the entities of its texts; ``count_col`` adds how many were replaced."""
     columns, place = docs.columns, ["lw_id", "lw_key"]
     rows = docs.select(docs[id_col].alias("lw_id"), F.xxhash64(docs[text_col]).alias("lw_key"), docs[text_col].alias("lw_text"), F.struct(*(docs[c] for c in columns)).alias("lw_row"))
-    matches = F.regexp_extract_all("lw_text", F.lit(PATTERN), F.lit(0))
-    found = rows.select(*place, "lw_text", matches.alias("m")).where(F.size("m") > 0)
+    found = rows.where(F.col("lw_text").rlike(PATTERN)).select(*place, "lw_text", F.regexp_extract_all("lw_text", F.lit(PATTERN), F.lit(0)).alias("m"))
     found = found.withColumn("named", F.exists("m", lambda m: m.rlike(f"^{_TITLE}")))
     found = found.select(*place, "named", F.col("lw_text").rlike(CARD_SAID).alias("said"), F.when(F.col("named"), F.regexp_extract_all("lw_text", F.lit(PATTERN_NAMED), F.lit(0))).otherwise(F.col("m")).alias("m"))
     found = staged(found.dropDuplicates(place).select(*place, "named", F.transform("m", lambda m: _described(m, F.col("said"))).alias("found")), "entities")
