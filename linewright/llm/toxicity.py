@@ -166,24 +166,28 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, featur
     if not kept:
         return model
 
+    level = float(np.median([x["w"] for x in kept]))
+
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n, found = model.segments(text)
-                rows.append((label, n, sorted((s for _, _, s in found), reverse=True)))
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2][:64] for r in rows], pa.list_(pa.float64()))], names=["toxic", "n", "found"])
+            rows = [model.segments(x) for x in batch.column(0).to_pylist()]
+            yield pa.record_batch([batch.column(1).cast(pa.int32()), pa.array([n for n, _ in rows], pa.int64()), pa.array([sum(s >= level for _, _, s in found) for _, found in rows], pa.int64())], names=["toxic", "n", "high"])
 
-    scanned = sample.select("text", "toxic").mapInArrow(scan, "toxic int, n long, found array<double>").collect()  # at most `rows` of them
-    clean_tokens = max(1, sum(x["n"] for x in scanned if x["toxic"] != 1))
+    clean_rows = sample.where("toxic is null or toxic <> 1").select("text", "toxic").mapInArrow(scan, "toxic int, n long, high long")
+    seen = clean_rows.agg(F.sum("n").alias("n"), F.sum("high").alias("high")).first()
+    clean_tokens = max(1, seen["n"] or 0)
     # clean token distribution: the share of each positive weight, smoothed; the rest is drift
     chance = [(x["w"], (x["c"] + 0.5 / len(kept)) / clean_tokens) for x in kept]
     model.decay = _decay(chance)
-    seen = [s for x in scanned if x["toxic"] != 1 for s in x["found"]]
-    level = float(np.median([x["w"] for x in kept]))
-    model.k = (sum(s >= level for s in seen) + 0.5) / clean_tokens * math.exp(model.decay * level)
-    xs = np.array([math.log1p(sum(math.exp(min(60.0, model.decay * s - math.log(model.k * x["n"]))) for s in x["found"])) for x in scanned])
-    model.slope, model.offset = _logistic(xs, np.array([x["toxic"] == 1 for x in scanned], float))
+    model.k = ((seen["high"] or 0) + 0.5) / clean_tokens * math.exp(model.decay * level)
+
+    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(1).cast(pa.int32()), pa.array([model.evidence(x) for x in batch.column(0).to_pylist()], pa.float64())], names=["toxic", "x"])
+
+    # a number for each of at most `rows` texts, from all their segments
+    weighed = sample.select("text", "toxic").mapInArrow(weigh, "toxic int, x double").toArrow()
+    model.slope, model.offset = _logistic(weighed["x"].to_numpy(), (weighed["toxic"].to_numpy() == 1).astype(float))
     return model
 
 
