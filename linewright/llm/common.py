@@ -16,6 +16,8 @@ _BYTE = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint6
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _POW = {}
+#: Rows of one key that a task of a join can well take.
+HOT_ROWS = 50_000
 #: Folders of staged tables of this driver.
 _STAGED: list[str] = []
 
@@ -61,13 +63,16 @@ def remove_staged(spark: SparkSession) -> int:
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", ways: int = 64, share: int = 1000, counts: DataFrame | None = None) -> DataFrame:
     """``left`` joined to ``right``, which has one row for each key; frequent keys of ``left`` are dealt into ``ways``.
 
-    A key is frequent if it has more than one of ``share`` rows of ``left`` (and
-    more than 10,000), so at most ``share`` hashes are broadcast whatever the
-    size of the tables.  Rows are dealt by their other columns, alike in every
+    A key is frequent if it has more than one of ``share`` rows of ``left`` and
+    more than ``HOT_ROWS``, so at most ``share`` hashes are broadcast whatever the
+    size of the tables; a table of no more rows than that has no such key.  Rows are dealt by their other columns, alike in every
     attempt of a task.  ``counts`` may give keys with their number ``n``; without
     it ``left`` is read once more.  Stage ``left`` first.
     """
-    least = max(left.count() / share, 10_000)
+    total = left.count()
+    if total <= HOT_ROWS:
+        return left.join(right, keys, how)
+    least = max(total / share, HOT_ROWS)
     counts = left.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
     hot = counts.where(F.col("n") > least).select(F.xxhash64(*keys).alias("lw_hash"), F.lit(True).alias("lw_hot"))
     hot = F.broadcast(hot.distinct())
