@@ -230,3 +230,46 @@ def test_queries_over_all_rows(spark, tmp_path):
         reach[day(e), e["user_id"]] = min(lo, e["start_ms"]), max(hi, e["end_ms"])
     stay = [e for e in events if e["event_type"] == "view" and not any(d == day(e) and lo <= e["start_ms"] < hi for (d, _), (lo, hi) in reach.items())]
     assert sorted(r.pos for r in catalogue.queries()["range_patch_all"](spark, data).collect()) == sorted(e["event_id"] for e in clicks + stay)
+
+
+def test_pattern_counts_by_chunks(spark):
+    """Counts don't overlap, equal patterns count each, and chunks add up."""
+    from linewright.operators import checks
+
+    df = spark.createDataFrame([("aaaa ab",), (None,), ("",), ("éé aa",)], "text string")
+    pairs = spark.createDataFrame([(0, "aa"), (1, "a"), (2, "aa"), (3, ""), (4, "é"), (5, "zz"), (6, "ab")], "ord int, wrong string")
+    for size in (4 << 20, 2):
+        found = {r.ord: r.n for r in checks.pattern_counts(df, pairs, chunk_bytes=size).collect()}
+        assert found == {0: 3, 1: 7, 2: 3, 3: 0, 4: 2, 5: 0, 6: 1}
+
+
+def test_replacement_over_ends(spark):
+    from linewright.operators import captions
+
+    rows = [("t", 1, "see open"), ("t", 2, "ai now $1"), ("t", 3, None), ("u", 1, "open\x00ai"), ("v", 1, "a.b"), ("v", 2, "c 1x")]
+    df = spark.createDataFrame(rows, "track string, pos int, text string")
+    pairs = [("open ai", "Open AI"), ("a.b c", "A 2")]
+    found = {(r.track, r.pos): r.text for r in captions.replace_over_ends(df, ["track"], ["pos"], pairs).collect()}
+    assert found == {("t", 1): "see Open", ("t", 2): "AI now $1", ("t", 3): None, ("u", 1): "open\x00ai", ("v", 1): "A", ("v", 2): "2 1x"}
+    assert captions.replace_over_ends(df.limit(0), ["track"], ["pos"], pairs).count() == 0
+
+
+def test_inner_repeats_by_definition():
+    """The rule word by word: the longest end of three or more kept words that comes again is skipped."""
+    import random
+
+    from linewright.functions.unescape import without_inner_repeats
+
+    def by_rule(words):
+        kept, rest = [], list(words)
+        while rest:
+            ends = [k for k in range(3, min(len(kept), len(rest)) + 1) if kept[len(kept) - k :] == rest[:k]]
+            if not ends:
+                kept.append(rest[0])
+            rest = rest[max(ends, default=1) :]
+        return kept
+
+    rng = random.Random(2)
+    for _ in range(2000):
+        words = [rng.choice("abc") for _ in range(rng.randint(6, 24))]
+        assert without_inner_repeats(" ".join(words)).split() == by_rule(words)
