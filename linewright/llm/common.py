@@ -37,16 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: after the write, a lost executor costs no more than
     its running tasks.  Results read these tables lazily, so they stay until
-    :func:`remove_staged`.
+    :func:`remove_staged`.  ``options`` go to the writer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/linewright-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(f"{path}/{name}")
+    df.write.options(compression="zstd", **options).parquet(f"{path}/{name}")
     _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 

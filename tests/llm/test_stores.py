@@ -41,6 +41,34 @@ def test_archives(spark):
     assert W.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_hot_payloads(spark, monkeypatch):
+    """Payloads settled before the shuffle come out like the others; bundles are whole files."""
+    monkeypatch.setattr(W, "HOT_BYTES", 0)
+    big, other = "a" * 1500, "b" * 1500
+    rows = [(i if i != 7 else None, "u", big if i % 3 else other if i % 2 else "") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = {r.page_id: r for r in W.archive_pages(pages, frame_bytes=3000, bundle_bytes=400).collect()}
+    last = {h: max(i for i, _, x in rows if x == h and i is not None) for h in (big, other)}
+    assert len(found) == len(rows)
+    for page, _, html in rows:
+        want = last.get(html) if last.get(html) != page else None
+        assert (found[page].refers_to, found[page].payload_bytes) == (want, len(html))
+    index, bundles = W.write(pages, frame_bytes=3000, bundle_bytes=400)
+    names = {r.bundle for r in index.collect()}
+    assert len(names) > 2
+    ids = []
+    for name in names:
+        data = W.assemble(bundles, name)
+        for number in range(len(W.frames(data))):
+            plain, at = W.read_frame(data, number), 0
+            while at < len(plain):
+                fields, _, at = W.parse(plain, at)
+                ids.append(fields["WARC-Record-ID"])
+    assert len(ids) == len(set(ids)) == len(rows) + len(names)
+    wanted = spark.createDataFrame([(3,), (8,), (8,), (99,)], "page_id long")
+    assert sorted(r.page_id for r in W.fetch(index, bundles, wanted).collect()) == [3, 8]
+
+
 def test_media(spark):
     texts = [None, "", "a", "é" * 96, "é" * 97, "x" * 40_000, "a"]
     docs = spark.createDataFrame([(i if i else None, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, shard string").coalesce(1)
