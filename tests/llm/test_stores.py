@@ -88,6 +88,20 @@ def test_media(spark):
     assert M.media_columns(docs.limit(0)).count() == 0
 
 
+def test_one_address(spark):
+    """Equal texts of different tasks share an address, and shapes are read from headers alone."""
+    docs = spark.createDataFrame([(i, "a" if i % 2 else "b" * i) for i in range(40)], "doc_id long, text string").repartition(4)
+    found = M.media_columns(docs).collect()
+    assert len(found) == 40
+    assert len({(r.shard, r.offset) for r in found if r.doc_id % 2}) == 1 == len({r.media_sha256 for r in found if r.doc_id % 2})
+    _, shards = M.pack(docs)
+    whole = M.features(shards).select("shard", "at").collect()
+    shapes = M.describe(shards)
+    assert sorted(whole) == sorted(shapes.select("shard", "at").collect())
+    scan = next(x for x in shapes._jdf.queryExecution().executedPlan().toString().splitlines() if "ReadSchema" in x)
+    assert "headers" in scan.split("ReadSchema")[1] and "data" not in scan.split("ReadSchema")[1]
+
+
 def test_pieces(spark):
     library, own = sentencepiece.SentencePieceProcessor(model_file=MODEL), P.codec(MODEL)
     random.seed(7)
