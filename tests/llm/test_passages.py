@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 from linewright.llm import decontamination as D
@@ -122,6 +123,36 @@ def test_licenses_at_every_offset():
     assert not [i for i in range(4000) if not own.matches(f"{filler(16 + i % 8)} {notice} {filler(24)}", 0.75)]
 
 
+def test_all_windows_of_all_templates(spark):
+    """The whole query against every window of every template, without bands and seeds."""
+    random.seed(31)
+    filler = lambda n: [f"w{random.randint(0, 40)}" for _ in range(n)]
+    texts = []
+    for _ in range(120):
+        own = filler(random.randint(0, 60))
+        for _, text in random.sample(L.TEMPLATES, random.randint(0, 3)):
+            held = text.split()
+            for i in range(random.choice([0, 0, 1, 2, len(held) // 3])):
+                held[random.randrange(len(held))] = f"e{i}"
+            own += held + filler(random.randint(0, 90))
+        texts.append(" ".join(own))
+    texts += [None, "", "!!", texts[3], "All rights reserved. " * 50]
+    want = set()
+    for doc, text in enumerate(texts):
+        own = re.findall(r"[^\W_]+", (text or "").lower())
+        for name, template in L.TEMPLATES:
+            listed = re.findall(r"[^\W_]+", template.lower())
+            n, size = min(L.SHINGLE, len(listed)), 1 << (len(listed) - 1).bit_length()
+            held = {tuple(listed[i : i + n]) for i in range(len(listed) - n + 1)}
+            for start in range(0, max(1, len(own)), size):
+                part = own[start : start + 2 * size]
+                inside = {tuple(part[i : i + n]) for i in range(len(part) - n + 1)}
+                if len(held & inside) >= 0.75 * len(held):
+                    want.add((doc, name))
+    rows = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    assert {(r.doc_id, r.license_id) for r in L.scan_licenses(rows).collect()} == want and len({n for _, n in want}) == len(L.TEMPLATES)
+
+
 def segments(scores):
     """All maximal scoring segments by their recursive definition."""
     def inside(a, b):

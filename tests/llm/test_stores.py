@@ -243,6 +243,42 @@ def test_classifier(spark):
     assert {r.kept for r in K.classify(docs, labels.limit(0)).collect()} == {False}
 
 
+def test_whole_classification(spark):
+    """Model, perplexities, thresholds by language and decisions against their definition."""
+    random.seed(10)
+    letters = {"en": "abcd ", "de": "abßü ", None: "abcxyz ", "xx": "abcd "}
+    line = lambda lang: "".join(random.choice(letters[lang]) for _ in range(random.randint(8, 40)))
+    rows = [(i, lang, line(lang)) for i in range(160) for lang in (random.choice(["en", "en", "de", None]),)]
+    rows += [(900, "xx", line("xx")), (901, "en", ""), (902, "de", None), (903, "en", "###" * 9), (None, "en", rows[0][2]), rows[5]]
+    good = {i for i in range(160) if random.random() < 0.7}
+    labels = [(i, int(i in good)) for i in range(160)] + [(None, 1)]
+    apart = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    p = kneser_ney([t for i, _, t in rows if i in good and not apart(i)])
+
+    def perplexity(text):
+        text = text or ""
+        padded = (chr(0x10FFFF),) * (K.ORDER - 1) + tuple(text)
+        return math.exp(-sum(math.log(p(padded[j : j + K.ORDER])) for j in range(len(text))) / len(text)) if text else None
+
+    known = [(lang, perplexity(t)) for i, lang, t in rows if i in good and apart(i)]
+    at = lambda values: sorted(values)[math.ceil(0.5 * len(values)) - 1]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    found = K.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int"), quantile=0.5, slack=1.02).collect()
+    assert len(found) == len(rows)
+    want = {}
+    for i, lang, text in rows:
+        own = [v for x, v in known if x == lang] or [v for _, v in known]
+        want[i] = lang, perplexity(text), 1.02 * at(own)
+    for r in found:
+        lang, value, threshold = want[r.doc_id]
+        assert r.lang == lang and abs(r.threshold / threshold - 1) < 1e-3
+        if value is None:
+            assert r.perplexity is None and not r.kept
+        else:
+            assert abs(r.perplexity / value - 1) < 1e-3 and (abs(value / threshold - 1) < 2e-3 or r.kept == (value <= threshold))
+    assert 10 < sum(r.kept for r in found) < len(rows) - 10
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from linewright.llm import decontamination, near_duplicates, toxicity
