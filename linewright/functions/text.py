@@ -71,11 +71,18 @@ def decode_entities_amp_early(text: Column) -> Column:
     return replace_pairs(text, ENTITIES_AMP_EARLY)
 
 
+def without_tags(text: Column) -> Column:
+    return F.regexp_replace(text, "<[^>]+>", "")
+
+
+def without_speaker_marks(text: Column) -> Column:
+    """Speaker marks and spare space away."""
+    return collapse_space(F.regexp_replace(text, r">>+|(?<=^|\s)>(?=\s|$)", " "))
+
+
 def caption_text(text: Column) -> Column:
-    """Caption markup away: tags, then entities, then speaker marks and spare space."""
-    bare = F.regexp_replace(text, "<[^>]+>", "")
-    bare = F.replace(decode_entities_once(bare), F.lit("&nbsp;"), F.lit(" "))
-    return collapse_space(F.regexp_replace(bare, r">>+|(?<=^|\s)>(?=\s|$)", " "))
+    """Caption markup away: tags, then six entities and hard spaces, then speaker marks and spare space."""
+    return without_speaker_marks(F.replace(decode_entities_once(without_tags(text)), F.lit("&nbsp;"), F.lit(" ")))
 
 
 def without_fences(text: Column) -> Column:
@@ -153,6 +160,12 @@ def han_share(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.length(F.regexp_replace(text, r"[^一-鿿]", "")) / F.length(text)).otherwise(F.lit(0.0))
 
 
+def is_han(text: Column, share: float = 0.15, first_bytes: int = 4096) -> Column:
+    """Whether more than ``share`` of the characters in the first bytes are Han; a character that the end cuts goes."""
+    head = F.make_valid_utf8(F.substring(text.cast("binary"), 1, first_bytes).cast("string"))
+    return F.coalesce(han_share(F.regexp_replace(head, "\ufffd$", "")) > share, F.lit(False))
+
+
 def language_hint(url: Column, language: Column, text: Column, domains: dict[str, str]) -> Column:
     """First that holds: the address's domain, the stated language, many Han characters, Latin letters alone."""
     by_domain = [F.when(url.contains(d), code) for d, code in domains.items()]

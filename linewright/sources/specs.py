@@ -13,13 +13,14 @@ def read_corrections(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.posexplode("replacements").alias("ord", "r")).select("ord", "r.*")
 
 
-def parse_pairs(df: DataFrame, spec: str = "spec", separators: str = r"[,|;\n]", empty_correct: bool = False, strict: bool = False) -> DataFrame:
-    """(ord, wrong, correct) of pair lists such as ``a=b;c=d``; a colon stands in where no ``=`` is.
+def parse_pairs(df: DataFrame, spec: str = "spec", separators: str = r"[,|;\n]", empty_correct: bool = False, strict: bool = False, by: list[str] | None = None) -> DataFrame:
+    """(ord, wrong, correct) of pair lists such as ``a=b;c=d``, after the columns ``by``; a colon stands in where no ``=`` is.
 
     Pairs without both sides go, unless ``empty_correct`` lets the right side be
     empty; with ``strict`` a malformed pair is an error.
     """
-    each = df.select(F.posexplode(F.split(F.col(spec), separators)).alias("ord", "pair")).withColumn("pair", F.trim("pair")).where("pair <> '' and pair not like '#%'")
+    by = by or []
+    each = df.select(*by, F.posexplode(F.split(F.col(spec), separators)).alias("ord", "pair")).withColumn("pair", F.trim("pair")).where("pair <> '' and pair not like '#%'")
     sign = F.when(F.col("pair").contains("="), "=").otherwise(":")
     at = F.locate("=", F.col("pair"))
     at = F.when(at > 0, at).otherwise(F.locate(":", F.col("pair")))
@@ -27,7 +28,7 @@ def parse_pairs(df: DataFrame, spec: str = "spec", separators: str = r"[,|;\n]",
     good = F.coalesce((F.col("wrong") != "") & (F.lit(empty_correct) | (F.col("correct") != "")), F.lit(False))
     if strict:
         good = F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("malformed pair: "), "pair")).cast("boolean"))
-    return parts.where(good).select("ord", "wrong", "correct")
+    return parts.where(good).select(*by, "ord", "wrong", "correct")
 
 
 def parse_patches(df: DataFrame, spec: str = "spec") -> DataFrame:
@@ -49,15 +50,17 @@ def select_chapters(chapters: DataFrame, spec: str, label: str = "label") -> Dat
     return chapters.where(~F.col(label).rlike(r"^\d+$") | F.array_contains(wanted, F.col(label).try_cast("int")))
 
 
-def parse_log(df: DataFrame, by: list[str], line_no: str, line: str = "line") -> DataFrame:
+def parse_log(df: DataFrame, by: list[str], line_no: str, line: str = "line", rule: str = "either") -> DataFrame:
     """(line_no, role, text) of a log of JSON lines.
 
-    The content is a text or a list of text blocks; the role is the top-level
-    type, else the message's; lines that aren't JSON go.
+    The content is a text or a list of text blocks; lines that aren't JSON go.
+    The role is the top-level type (``rule`` "type"), the message's ("message"),
+    or the former and, where that is none, the latter ("either").
     """
     rows = df.select(*by, F.col(line_no).alias("line_no"), F.try_parse_json(line).alias("_v")).where("_v is not null")
     kind = F.try_variant_get("_v", "$.type", "string")
-    role = F.coalesce(F.when(kind.isin("user", "assistant"), kind), F.try_variant_get("_v", "$.message.role", "string"))
+    typed, said = F.when(kind.isin("user", "assistant"), kind), F.try_variant_get("_v", "$.message.role", "string")
+    role = {"type": typed, "message": said, "either": F.coalesce(typed, said)}[rule]
     listed = F.try_variant_get("_v", "$.message.content", "array<variant>")
     block = lambda x: F.coalesce(F.try_variant_get(x, "$.text", "string"), F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
     text = F.when(F.schema_of_variant(F.try_variant_get("_v", "$.message.content", "variant")) == "STRING", F.try_variant_get("_v", "$.message.content", "string")).otherwise(F.array_join(F.transform(listed, block), "\n"))

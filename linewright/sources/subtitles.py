@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import caption_text, ms_to_stamp, stamp_to_ms
+from ..functions.text import ms_to_stamp, stamp_to_ms, without_speaker_marks, without_tags
+from ..functions.unescape import unescape_html
 
 
 @dataclass(frozen=True)
@@ -58,7 +59,9 @@ def parse(df: DataFrame, by: list[str], text: str = "text", dialect: str | Diale
     if d.drop_numeric_lines:
         kept = F.filter(kept, lambda x: ~x.rlike(r"^\d+$"))
     if d.clean_markup:
-        kept = F.filter(F.transform(kept, lambda x: caption_text(x)), lambda x: ~x.rlike(r"^(?:Kind|Language):") & (x != ""))
+        # tags go before entities are decoded, so that decoded signs stay
+        decoded = unescape_html(F.array_join(F.transform(kept, without_tags), "\n"))
+        kept = F.filter(F.transform(F.split(decoded, "\n"), without_speaker_marks), lambda x: ~x.rlike(r"^(?:Kind|Language):") & (x != ""))
     cues = cut.select(*by, "block_no", F.size(F.filter("_lines", lambda x: x != "")).alias("_n"), F.when(index.rlike(r"^\d+$"), index.cast("int")).alias("idx"), F.get(stamps, F.lit(0)).alias("_from"), F.get(stamps, F.lit(1)).alias("_to"), kept.alias("lines"))
     cues = cues.withColumns({"start_ms": stamp_to_ms(F.col("_from")), "end_ms": stamp_to_ms(F.col("_to")), "text": F.array_join("lines", d.joiner)})
     cues = cues.where("start_ms is not null and end_ms is not null")
