@@ -71,6 +71,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import DIGESTS, fill_in_middle
+
+    return fill_in_middle(table(spark, sf_dir, "documents"), columns=DIGESTS)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_near_duplicates, op4_warc_bundles, op5_media_columns, op6_sentencepiece, op7_toxicity, op8_repeated_passages, op9_surrogates, op10_quality, pipeline)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_near_duplicates, op4_warc_bundles, op5_media_columns, op6_sentencepiece, op7_toxicity, op8_repeated_passages, op9_surrogates, op10_quality, op11_fill_in_middle, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -107,4 +113,23 @@ def oracle_sql() -> dict[str, str]:
                    sha256(array_to_string(list_transform(stay, lambda x: ws[x]), ' ')) AS kept_sha256
             FROM k
         """,
+        "op11_fill_in_middle": """
+            WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+            d AS (
+                SELECT doc_id, text, n, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS y,
+                       CAST('0x' || h[17:24] AS BIGINT) % 100 AS p, CAST('0x' || h[25:32] AS BIGINT) % 100 AS q
+                FROM t),
+            f AS (
+                SELECT doc_id, text, n, least(x, y) AS a, greatest(x, y) AS b,
+                       CASE WHEN n = 0 OR regexp_matches(text, '<[PSM]>') OR p >= 90 THEN 'plain' WHEN q < 20 THEN 'spm' ELSE 'psm' END AS form
+                FROM d)
+            SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+                   CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars,
+                   CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+                   sha256(CASE form WHEN 'plain' THEN text
+                                    WHEN 'psm' THEN '<P>' || substring(text, 1, a) || '<S>' || substring(text, b + 1) || '<M>' || substring(text, a + 1, b - a)
+                                    ELSE '<S>' || substring(text, b + 1) || '<P>' || substring(text, 1, a) || '<M>' || substring(text, a + 1, b - a) END) AS output_sha256,
+                   sha256(text) AS restored_sha256
+            FROM f
+        """,
     }
