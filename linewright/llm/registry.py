@@ -77,6 +77,18 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle(table(spark, sf_dir, "documents"), columns=DIGESTS)
 
 
+def op12_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .interpolation import interpolated_scores
+
+    return interpolated_scores(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling_variants import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_near_duplicates, op4_warc_bundles, op5_media_columns, op6_sentencepiece, op7_toxicity, op8_repeated_passages, op9_surrogates, op10_quality, op11_fill_in_middle, pipeline)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_near_duplicates, op4_warc_bundles, op5_media_columns, op6_sentencepiece, op7_toxicity, op8_repeated_passages, op9_surrogates, op10_quality, op11_fill_in_middle, op12_deleted_interpolation, op13_spelling_variants, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
