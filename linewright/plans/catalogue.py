@@ -600,4 +600,4 @@ def careful_replace_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", T.replace_pairs(F.col("text"), T.pairs_with_slugs([("of the", "o/t")])).alias("text"), T.replace_pairs_column(F.col("text"), pairs, True).alias("bounded"))
 
 
-from . import more, rendered  # noqa: E402, F401  (register their queries)
+from . import files, more, rendered  # noqa: E402, F401  (register their queries)

@@ -50,10 +50,12 @@ def select_chapters(chapters: DataFrame, spec: str, label: str = "label") -> Dat
     return chapters.where(~F.col(label).rlike(r"^\d+$") | F.array_contains(wanted, F.col(label).try_cast("int")))
 
 
-def parse_log(df: DataFrame, by: list[str], line_no: str, line: str = "line", rule: str = "either") -> DataFrame:
+def parse_log(df: DataFrame, by: list[str], line_no: str, line: str = "line", rule: str = "either", fallback: int | None = None) -> DataFrame:
     """(line_no, role, text) of a log of JSON lines.
 
-    The content is a text or a list of text blocks; lines that aren't JSON go.
+    The content is a text or a list of text blocks; lines that aren't JSON go.  A
+    user's list without any text block gives its first ``fallback`` characters as
+    JSON, where that is set.
     The role is the top-level type (``rule`` "type"), the message's ("message"),
     or the former and, where that is none, the latter ("either").
     """
@@ -63,7 +65,12 @@ def parse_log(df: DataFrame, by: list[str], line_no: str, line: str = "line", ru
     role = {"type": typed, "message": said, "either": F.coalesce(typed, said)}[rule]
     listed = F.try_variant_get("_v", "$.message.content", "array<variant>")
     block = lambda x: F.coalesce(F.try_variant_get(x, "$.text", "string"), F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
-    text = F.when(F.schema_of_variant(F.try_variant_get("_v", "$.message.content", "variant")) == "STRING", F.try_variant_get("_v", "$.message.content", "string")).otherwise(F.array_join(F.transform(listed, block), "\n"))
+    content = F.try_variant_get("_v", "$.message.content", "variant")
+    said_blocks = F.array_compact(F.transform(listed, block))
+    text = F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get("_v", "$.message.content", "string"))
+    if fallback is not None:
+        text = text.when((role == "user") & (F.size(said_blocks) == 0), F.left(F.to_json(content), F.lit(fallback)))
+    text = text.otherwise(F.array_join(said_blocks, "\n"))
     return rows.select(*by, "line_no", role.alias("role"), text.alias("text")).where("role is not null and text is not null")
 
 

@@ -87,10 +87,14 @@ def plain_text(df: DataFrame, by: list[str], text: str = "text") -> DataFrame:
     return parse(df, by, text, Dialect(drop_numeric_lines=True, joiner=" ")).groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 
-def format_tracks(cues: DataFrame, by: list[str], order: list[str], second: str | None = None) -> DataFrame:
-    """The text of each track in subtitle format, numbered from 1; ``second`` adds a line below each text."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    parts = [F.col("_no").cast("string"), F.concat(ms_to_stamp(F.col("start_ms")), F.lit(" --> "), ms_to_stamp(F.col("end_ms"))), F.coalesce("text", F.lit(""))]
+def format_tracks(cues: DataFrame, by: list[str], order: list[str], second: str | None = None, number: str | None = None) -> DataFrame:
+    """The text of each track in subtitle format; ``second`` adds a line below each text.
+
+    Cues are numbered from 1, or keep the numbers of the column ``number``, by
+    which they are then ordered first.
+    """
+    w = Window.partitionBy(*by).orderBy(*([number] if number else []), *order)
+    parts = [F.col(number or "_no").cast("string"), F.concat(ms_to_stamp(F.col("start_ms")), F.lit(" --> "), ms_to_stamp(F.col("end_ms"))), F.coalesce("text", F.lit(""))]
     if second:
         parts.append(F.coalesce(second, F.lit("")))
     block = cues.withColumn("_no", F.row_number().over(w)).withColumn("_block", F.concat_ws("\n", *parts))
