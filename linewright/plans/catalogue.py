@@ -345,18 +345,31 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", html.grab(page, r"(?is)<h1[^>]*>(.*?)</h1>").alias("heading"), html.grab(page, r"(?is)<title[^>]*>(.*?)</title>").alias("title"), T.short_digest(page).alias("digest"), "url")
 
 
-_BLOCK = r"(?is)<(?:h[1-4]|blockquote|p|li)\b[^>]*>.*?</(?:h[1-4]|blockquote|p|li)\s*>"
-
-
-@_query(rf"""WITH b AS (SELECT page_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS block FROM (SELECT page_id, regexp_extract_all(html, '{_BLOCK}') AS l FROM pages)),
-    t AS (SELECT page_id, pos, lower(regexp_extract(block, '^<(\w+)', 1)) AS tag, trim(regexp_replace(regexp_replace(block, '(?s)<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS text FROM b)
-    SELECT page_id, pos, CASE WHEN tag LIKE 'h%' THEN 'heading' WHEN tag = 'blockquote' THEN 'quote' ELSE 'text' END AS kind,
-           replace(replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&') AS text FROM t WHERE text <> ''""")
+#: Pages as tokens, tags and texts in turn, without comments, scripts and styles; which tags end a block, and which begin one.
+_TOKENS = r"""c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<script.*?</script *>', '', 'g'), '(?is)<style.*?</style *>', '', 'g') AS html FROM pages),
+    k AS (SELECT page_id, generate_subscripts(l, 1) AS i, unnest(l) AS token FROM (SELECT page_id, regexp_extract_all(html, '<[^>]*>|[^<]+') AS l FROM c)),
+    g AS (SELECT *, CASE WHEN token LIKE '<%' THEN lower(regexp_extract(token, '^</?([a-zA-Z0-9]+)', 1)) END AS tag FROM k),
+    e AS (SELECT *, CASE WHEN tag IS NOT NULL AND tag NOT IN ('a', 'b', 'br', 'meta') AND NOT token LIKE '<!%' THEN 1 ELSE 0 END AS edge,
+                 CASE WHEN tag IN ('p', 'li', 'blockquote') OR regexp_matches(tag, '^h[1-4]$') THEN tag END AS block FROM g),
+    r AS (SELECT *, sum(edge) OVER (PARTITION BY page_id ORDER BY i) AS piece FROM e)"""
+_DECODED = "replace(replace(replace(replace(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&')"
+
+
+@_query(rf"""WITH {_TOKENS},
+    p AS (SELECT page_id, piece, max(CASE WHEN edge = 1 AND token NOT LIKE '</%' THEN block END) AS block,
+                 regexp_replace(string_agg(trim({_DECODED.format("token")}), ' ' ORDER BY i) FILTER (tag IS NULL AND trim(token) <> ''), '\s+', ' ', 'g') AS text FROM r GROUP BY ALL)
+    SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY piece) - 1 AS INT) AS pos,
+           CASE WHEN block LIKE 'h%' THEN 'heading' WHEN block = 'blockquote' THEN 'quote' ELSE 'text' END AS kind, text
+    FROM p WHERE block IS NOT NULL AND text <> ''""")
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' blocks hold no blocks, so a tag other than a, b and br ends one."""
     return html.body_blocks(read(spark, sf_dir, "pages"), ["page_id"])
 
 
-@_query()
+@_query(rf"""WITH h AS (SELECT page_id, regexp_replace(html, '(?is)<head\b.*?</head>', '') AS html FROM pages),
+    t AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script.*?</script *>|<style.*?</style *>|<!--.*?-->', '', 'g'), '(?i)<(br|/?(p|div|h[1-6]|li|tr|blockquote))(\s[^>]*)?>', chr(10), 'g') AS html FROM h),
+    l AS (SELECT page_id, list_filter(list_transform(string_split({_DECODED.format("regexp_replace(html, '<[^>]+>', '', 'g')")}, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM t)
+    SELECT page_id, array_to_string(lines, chr(10)) AS text FROM l""")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", html.text_of(F.col("html")).alias("text"))
 
@@ -600,4 +613,4 @@ def careful_replace_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", T.replace_pairs(F.col("text"), T.pairs_with_slugs([("of the", "o/t")])).alias("text"), T.replace_pairs_column(F.col("text"), pairs, True).alias("bounded"))
 
 
-from . import files, more, rendered  # noqa: E402, F401  (register their queries)
+from . import files, more, pages, rendered  # noqa: E402, F401  (register their queries)

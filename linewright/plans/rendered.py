@@ -190,7 +190,8 @@ def article_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(page % 2 == 0, '<meta property="article:published_time" content="2024">').otherwise('<script>{"publish_time": "17"}</script>'),
         F.format_string("</head><body><h1> H%d </h1></body></html>", page),
     )
-    return html.article(read(spark, sf_dir, "pages").withColumn("html", F.replace(text, F.lit("\n    "), F.lit(""))), ["page_id"])
+    found = html.article(read(spark, sf_dir, "pages").withColumn("html", F.replace(text, F.lit("\n    "), F.lit(""))), ["page_id"])
+    return found.drop("nickname", "day")
 
 
 @_query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE 'F' || page_id END AS title, CASE WHEN page_id % 2 = 0 THEN page_id * 60 END AS duration_sec, CASE WHEN page_id % 2 = 0 THEN 'c \" é' END AS captions, CAST(page_id AS VARCHAR) AS status, '/courses/ml/lesson/' || page_id || ',/courses/ml/lesson/b' AS paths FROM pages")

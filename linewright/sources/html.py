@@ -1,4 +1,4 @@
-"""Web pages: metadata by first match, body blocks, lesson links and embedded JSON."""
+"""Web pages: metadata by first match, texts, lesson links and embedded JSON; blocks are found in :mod:`.markup`."""
 
 from __future__ import annotations
 
@@ -7,16 +7,27 @@ from pyspark.sql import functions as F
 
 from ..functions.text import decode_entities_once, without_zero_width
 from ..functions.unescape import unescape_html
+from .markup import body_blocks, page_text  # noqa: F401  (blocks are part of this module's interface)
 
 
 def text_of(page: Column, full_entities: bool = True) -> Column:
-    """A page's text: no scripts, styles or tags; block tags end lines; blank lines go."""
+    """A page's text: no scripts, styles, head or tags; block tags end lines; blank lines go."""
+    if full_entities:
+        return page_text(page)
     bare = F.regexp_replace(page, r"(?is)<(script|style|head)\b.*?</\1\s*>", "")
     lined = F.regexp_replace(bare, r"(?i)<(?:br|/?(?:p|div|h[1-6]|li|tr|blockquote))\b[^>]*>", "\n")
-    plain = F.regexp_replace(lined, r"(?s)<[^>]+>", "")
-    decoded = unescape_html(plain) if full_entities else decode_entities_once(plain)
-    lines = F.filter(F.transform(F.split(decoded, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.array_join(lines, "\n")
+    return _trimmed_lines(decode_entities_once(F.regexp_replace(lined, r"(?s)<[^>]+>", "")))
+
+
+def _trimmed_lines(text: Column) -> Column:
+    return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
+
+
+def member_text(page: Column) -> Column:
+    """The text of a book's member as it is laid out: tags go without a trace, and lines are those of the source."""
+    plain = unescape_html(F.regexp_replace(page, r"(?s)<[^>]+>", ""))
+    lines = F.transform(F.split(plain, r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
 def grab(page: Column, *patterns: str) -> Column:
@@ -24,23 +35,26 @@ def grab(page: Column, *patterns: str) -> Column:
     return F.coalesce(*(F.nullif(F.trim(F.regexp_extract(page, p, 1)), F.lit("")) for p in patterns))
 
 
-def article(df: DataFrame, by: list[str], html: str = "html") -> DataFrame:
-    """title, author, published, description and name of an article."""
+#: Where articles state their fields, in the order in which they are tried (fixed values).
+TITLE = (r"""<meta property="og:title" content="([^"]+)\"""", r"var msg_title = '([^']+)'")
+NICKNAME = (r"""var nickname = htmlDecode\("([^"]+)"\)""", r"""var nickname = "([^"]+)\"""")
+EPOCH = r"""var ct = "(\d+)\""""
+
+
+def article(df: DataFrame, by: list[str], html: str = "html", url: str | None = None) -> DataFrame:
+    """title, author, nickname, published, day, description and name of an article.
+
+    ``day`` is the date of the page's time in seconds, in the session's time zone.
+    ``name`` is a digest of the address in the column ``url``, or of the page where
+    there is none.
+    """
     page = without_zero_width(F.col(html))
     meta = lambda k: rf'(?is)<meta[^>]*(?:name|property)="{k}"[^>]*content="([^"]*)"'
-    title = grab(page, meta("og:title"), r"(?is)<h1[^>]*>(.*?)</h1>", r"(?is)<title[^>]*>(.*?)</title>")
+    title = grab(page, TITLE[0], meta("og:title"), TITLE[1], r"(?is)<h1[^>]*>(.*?)</h1>", r"(?is)<title[^>]*>(.*?)</title>")
     author = grab(page, meta("author"), meta("og:article:author"))
-    return df.select(*by, title.alias("title"), author.alias("author"), grab(page, meta("article:published_time"), r'"publish_time"\s*:\s*"?(\d+)').alias("published"), grab(page, meta("description"), meta("og:description")).alias("description"), F.left(F.md5(page), F.lit(10)).alias("name"))
-
-
-def body_blocks(df: DataFrame, by: list[str], html: str = "html") -> DataFrame:
-    """(pos, kind, text) of headings, quotations and paragraphs in order."""
-    found = F.regexp_extract_all(without_zero_width(F.col(html)), F.lit(r"(?is)<(?:h[1-4]|blockquote|p|li)\b[^>]*>.*?</(?:h[1-4]|blockquote|p|li)\s*>"), F.lit(0))
-    each = df.select(*by, F.posexplode(found).alias("pos", "block"))
-    tag = F.lower(F.regexp_extract("block", r"^<(\w+)", 1))
-    kind = F.when(tag.rlike("^h"), "heading").when(tag == "blockquote", "quote").otherwise("text")
-    text = F.trim(F.regexp_replace(F.regexp_replace("block", r"(?s)<[^>]+>", ""), r"\s+", " "))
-    return each.select(*by, "pos", kind.alias("kind"), decode_entities_once(text).alias("text")).where("text <> ''")
+    day = F.date_format(F.timestamp_seconds(grab(page, EPOCH).try_cast("long")), "yyyy-MM-dd")
+    fields = {"title": title, "author": author, "nickname": grab(page, *NICKNAME), "published": grab(page, meta("article:published_time"), r'"publish_time"\s*:\s*"?(\d+)'), "day": day, "description": grab(page, meta("description"), meta("og:description"))}
+    return df.select(*by, *(c.alias(n) for n, c in fields.items()), F.left(F.md5(F.col(url) if url else page), F.lit(10)).alias("name"))
 
 
 def status_id(url: Column) -> Column:
