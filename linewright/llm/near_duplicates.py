@@ -138,10 +138,10 @@ def bands(classes: DataFrame) -> DataFrame:
 
 
 def _screened(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs of classes (a, b) behind pairs of short keys whose estimate comes near the threshold."""
+    """The pairs of classes (a, b) behind staged pairs of short keys whose estimate comes near the threshold; a star's centre may be frequent."""
     side = lambda x: classes.select(F.col("short").alias(f"{x}_short"), F.col("cls").alias(x), F.col("regs").alias(f"{x}_regs"), F.col("n_shingles").alias(f"{x}_n"))
     # classes that share a short key only add candidates
-    both = pairs.join(side("a"), "a_short").join(side("b"), "b_short").where("100 * least(a_n, b_n) >= 75 * greatest(a_n, b_n)")
+    both = spread_join(pairs, side("a"), ["a_short"]).join(side("b"), "b_short").where("100 * least(a_n, b_n) >= 75 * greatest(a_n, b_n)")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,8 +155,9 @@ def _screened(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked, by their full sets of shingles."""
-    both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("a_text")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("b_text")), "b")
+    """The staged pairs (a, b) that are linked, by their full sets of shingles."""
+    # each text of a pair is at most one row, and a frequent one is dealt with its pairs
+    both = spread_join(pairs, texts.select(F.col("cls").alias("a"), F.col("text").alias("a_text")), ["a"]).join(texts.select(F.col("cls").alias("b"), F.col("text").alias("b_text")), "b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,9 +300,9 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = members.groupBy("bucket").agg(F.min("short").alias("a_short"), F.count("*").alias("n")).where("n > 1").select("bucket", "a_short")
     members = staged(members.join(stars, "bucket"), "members")
     stars = members.where("short <> a_short").select("a_short", F.col("short").alias("b_short")).distinct()
-    pairs = staged(_screened(stars, classes), "pairs")
+    pairs = staged(_screened(staged(stars, "stars"), classes), "pairs")
     texts = staged(_texts(docs, classes, members), "texts")
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    first = staged(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
     links = staged(_verified(first, texts), "links")
     roots = components(links)
     for step in ("others", "rest"):
@@ -311,7 +312,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             more = more.where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
         else:
             more = _rest(members.select("bucket", "short"), classes, texts, roots)
-        more = staged(_verified(more, texts) if step == "others" else more, f"links_{step}")
+        more = staged(_verified(staged(more, "more"), texts) if step == "others" else more, f"links_{step}")
         if more.limit(1).count():
             links = links.unionByName(more)
             roots = components(links)
@@ -334,17 +335,19 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` but for near-duplicates: one row of each component stays.
 
     That's the row with the component's smallest id (a row without id only if
-    none has one); of rows that repeat id and text one stays, whichever.  Rows
-    are told apart by id and text, so one that only shares the id of a duplicate
-    stays.  Texts without words are linked with nothing and all stay.
+    none has one); of rows that repeat id and text one stays, that of the least
+    hash over all columns but maps.  Rows are told apart by id and text, so one
+    that only shares the id of a duplicate stays.  Texts without words are linked
+    with nothing and all stay.
     """
     _, named = _grouped(docs)
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_id", "key")).alias("one"))
     chosen = first.select(*_identity(F.col("one.text_id"), F.col("one.key")))
     text = docs["text"].cast("string")
-    rows = docs.select(*_identity(docs["doc_id"].cast("long"), F.xxhash64(text)), F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("lw_words"), F.struct(*(docs[c] for c in docs.columns)).alias("lw_row"))
+    plain = [docs[f.name] for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]  # maps and variants can't be hashed
+    rows = docs.select(*_identity(docs["doc_id"].cast("long"), F.xxhash64(text)), F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("lw_words"), F.struct(*(docs[c] for c in docs.columns)).alias("lw_row"), F.xxhash64(*plain).alias("lw_pick"))
     # repeated rows are a hot key: each task keeps one before the shuffle, which the join shares
-    once = rows.where("lw_words").groupBy("lw_one", "lw_two").agg(F.first("lw_row").alias("lw_row")).join(chosen, ["lw_one", "lw_two"], "left_semi")
+    once = rows.where("lw_words").groupBy("lw_one", "lw_two").agg(F.min_by("lw_row", "lw_pick").alias("lw_row")).join(chosen, ["lw_one", "lw_two"], "left_semi")
     return once.select("lw_row").unionByName(rows.where("not lw_words").select("lw_row")).select(*(F.col("lw_row")[c].alias(c) for c in docs.columns))
 
 
@@ -354,8 +357,8 @@ def _identity(doc_id, key) -> list:
 
 
 def _texts(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
-    """One text of each class that shares a bucket with another."""
-    chosen = classes.join(members.select("short").distinct(), "short", "left_semi").select("cls", "text_id", "key")
-    keyed = _keyed(docs)
-    # copies share the key of their text; the id picks one of them
-    return keyed.join(chosen, (keyed["key"] == chosen["key"]) & keyed["doc_id"].eqNullSafe(chosen["text_id"])).select("cls", "text")
+    """One text of each class that shares a bucket with another, however often its row is repeated."""
+    chosen = classes.join(members.select("short").distinct(), "short", "left_semi").select("cls", *_identity(F.col("text_id"), F.col("key")))
+    keyed = _keyed(docs).select(*_identity(F.col("doc_id"), F.col("key")), "text")
+    # rows that repeat id and text meet in the join, whose order the removal of all but one shares
+    return keyed.join(chosen, ["lw_one", "lw_two"]).dropDuplicates(["lw_one", "lw_two"]).select("cls", "text")

@@ -80,3 +80,22 @@ def test_estimate():
         assert abs(errors[0]) < 0.14
     small = N.accidental(np.array([10, 1000]), np.array([10, 1000]))
     assert (small > 0).all() and (small < 0.01).all()
+
+
+def test_rows_repeated_many_times(spark):
+    """Two near classes of ten thousand rows each, without ids and with one: work follows the rows, not their product."""
+    one = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, one), (7, one + " end"), (7, one + " end"), (9, "some other text of its own")] + [(None, one), (5, one + " end")] * 10_000
+    docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA).repartition(4)
+    found = N.near_duplicates(docs).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert sorted(((r.doc_id, r.component_id, r.kept, r["count"]) for r in found), key=key) == [(5, 5, True, 10_000), (7, 5, False, 2), (9, 9, True, 1), (None, 5, False, 10_001)]
+    left = N.one_of_each(docs).select("doc_id", "text").collect()
+    assert sorted(tuple(r) for r in left) == [(5, one + " end"), (9, "some other text of its own")]
+
+
+def test_which_of_equal_rows_stays(spark):
+    """Rows that repeat id and text but differ elsewhere: the same one stays in any order of the input."""
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, str(i), i) for i in range(20)], SCHEMA)
+    once = [tuple(N.one_of_each(d).select("doc_id", "kept").first()) for d in (docs, docs.orderBy(docs["kept"].desc()), docs.repartition(7))]
+    assert len(set(once)) == 1
