@@ -1,4 +1,12 @@
-"""Joins of tracks: by position, by greatest overlap, by range and by window."""
+"""Joins of tracks: by position, by greatest overlap, by range and by window.
+
+Intervals are indexed by dyadic bins.  Time is cut into units; an interval of any
+length is the union of at most two bins of each power of two of units, so one that
+spans a whole track costs tens of rows, not one for each unit, while most cues take
+one or two bins of a unit.  A point stands in one bin of each power: those powers
+that some interval uses, found by a scalar subquery of the same plan.  Joins hash
+on track, power and bin, and the exact bounds are checked afterwards.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +14,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _bins(start: Column, end: Column, width: int) -> Column:
-    """The bins that [start, end) touches; none if it is empty."""
-    first, last = F.floor(start / width), F.floor((end - 1) / width)
-    return F.when(end > start, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+def _shift(x: Column, by: Column) -> Column:
+    return F.call_function("shiftright", x, by)
+
+
+def dyadic_cover(start: Column, end: Column, unit: int) -> Column:
+    """The bins (level, node) whose union is the units that [start, end) touches; none if it is empty.
+
+    Of each level at most the first and the last bin are needed: an odd one on the
+    left, or one before an odd end on the right, has no partner to pair up with.
+    """
+    first, last = F.floor(start / unit).cast("long"), F.floor((end - 1) / unit).cast("long") + 1
+    levels = F.sequence(F.lit(0), F.floor(F.log2((last - first).cast("double"))).cast("int"))
+
+    def bins(level: Column) -> Column:
+        low, high = -_shift(-first, level), _shift(last, level)
+        bin_ = lambda node: F.struct(level.alias("level"), node.alias("node"))
+        odd = lambda x: x.bitwiseAND(F.lit(1)) == 1
+        return F.array(F.when((low < high) & odd(low), bin_(low)), F.when((low < high) & odd(high), bin_(high - 1)))
+
+    return F.when(end > start, F.array_compact(F.flatten(F.transform(levels, bins))))
+
+
+def _spread(df: DataFrame, start: str, end: str, unit: int, outer: bool = False) -> DataFrame:
+    """``df`` with a row for each bin of its intervals; ``outer`` keeps rows with empty ones."""
+    each = (F.explode_outer if outer else F.explode)(dyadic_cover(F.col(start), F.col(end), unit))
+    return df.withColumn("_bin", each).withColumns({"_level": F.col("_bin")["level"], "_node": F.col("_bin")["node"]}).drop("_bin")
+
+
+def _levels(df: DataFrame, start: str, end: str, unit: int) -> Column:
+    """The levels that the intervals of ``df`` use, as a scalar subquery."""
+    used = F.transform(dyadic_cover(F.col(start), F.col(end), unit), lambda b: b["level"])
+    return df.select(F.explode(used).alias("l")).agg(F.sort_array(F.collect_set("l")).alias("l")).scalar()
+
+
+def _placed(df: DataFrame, at: str, unit: int, levels: Column) -> DataFrame:
+    """``df`` with a row for each level: the bin that holds the point ``at``."""
+    unit_no = F.floor(F.col(at) / unit).cast("long")
+    return df.withColumn("_level", F.explode(levels)).withColumn("_node", _shift(unit_no, F.col("_level")))
 
 
 def positional_join(master: DataFrame, other: DataFrame, by: list[str], order: list[str], text: str = "text") -> DataFrame:
@@ -22,13 +64,18 @@ def positional_join(master: DataFrame, other: DataFrame, by: list[str], order: l
 def overlap_join(master: DataFrame, other: DataFrame, by: list[str], pos: str = "pos", text: str = "text", width_ms: int = 60_000, placeholder: str | None = None) -> DataFrame:
     """Each master record with the text that overlaps it longest, the earliest of equals, or the placeholder.
 
-    Both sides are dealt into bins of ``width_ms`` and joined on track and bin,
-    so no record meets all others; an overlap is counted in the bin where it
-    begins.  Only the best partner of a record leaves the join.
+    Two intervals overlap where one begins in the other, so each side comes as
+    bins and as points, and bins of one meet points of the other: a pair is met
+    once.  Only the best partner of a record leaves the join.
     """
-    left = master.select(*by, F.col(pos).alias("_pos"), F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e")).withColumn("_bin", F.explode(_bins(F.col("_s"), F.col("_e"), width_ms)))
-    right = other.select(*by, F.col(pos).alias("_opos"), F.col("start_ms").alias("_os"), F.col("end_ms").alias("_oe"), F.col(text).alias("_text")).withColumn("_bin", F.explode(_bins(F.col("_os"), F.col("_oe"), width_ms)))
-    met = left.join(right, [*by, "_bin"]).where("_os < _e and _s < _oe").where(F.col("_bin") == F.floor(F.greatest("_s", "_os") / width_ms))
+    left = master.select(*by, F.col(pos).alias("_pos"), F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e")).where("_s < _e")
+    right = other.select(*by, F.col(pos).alias("_opos"), F.col("start_ms").alias("_os"), F.col("end_ms").alias("_oe"), F.col(text).alias("_text")).where("_os < _oe")
+    both = lambda df, s, e, levels, role: _spread(df, s, e, width_ms).withColumn("_role", F.lit(role)).unionByName(_placed(df, s, width_ms, levels).withColumn("_role", F.lit(1 - role)))
+    left_rows = both(left, "_s", "_e", _levels(right, "_os", "_oe", width_ms), 0)
+    right_rows = both(right, "_os", "_oe", _levels(left, "_s", "_e", width_ms), 1)
+    # role 0: the other begins within this one; role 1: this one begins within the other, or with it
+    within = F.when(F.col("_role") == 0, (F.col("_s") < F.col("_os")) & (F.col("_os") < F.col("_e"))).otherwise((F.col("_os") <= F.col("_s")) & (F.col("_s") < F.col("_oe")))
+    met = left_rows.join(right_rows, [*by, "_role", "_level", "_node"]).where(within)
     overlap = F.least("_e", "_oe") - F.greatest("_s", "_os")
     best = met.groupBy(*by, "_pos").agg(F.max_by("_text", F.struct(overlap, -F.col("_opos"))).alias("other_text"))
     return master.join(best.withColumnRenamed("_pos", pos), [*by, pos], "left").withColumn("other_text", F.coalesce("other_text", F.lit(placeholder)))
@@ -46,23 +93,23 @@ def align_tracks(master: DataFrame, other: DataFrame, by: list[str], order: list
 def patch_ranges(base: DataFrame, patch: DataFrame, by: list[str], patch_id: str = "patch_id", width_ms: int = 600_000) -> DataFrame:
     """The base without records that start in a patch's range [first start, last end), and the patches' records.
 
-    Ranges are dealt into bins, so the anti-join has an equality to hash on.
+    Whether a record goes depends on its track and start alone: the distinct starts
+    meet the ranges' bins, and records whose start was met are left out.
     """
-    ranges = patch.groupBy(*by, patch_id).agg(F.min("start_ms").alias("_lo"), F.max("end_ms").alias("_hi"))
-    dealt = ranges.select(*by, "_lo", "_hi", F.explode(_bins(F.col("_lo"), F.col("_hi"), width_ms)).alias("_bin"))
-    binned = base.withColumn("_bin", F.floor(F.col("start_ms") / width_ms))
-    condition = [binned[c] == dealt[c] for c in (*by, "_bin")] + [binned["start_ms"] >= dealt["_lo"], binned["start_ms"] < dealt["_hi"]]
-    kept = binned.join(dealt, condition, "left_anti").drop("_bin")
-    return kept.unionByName(patch.select(base.columns))
+    ranges = patch.groupBy(*by, patch_id).agg(F.min("start_ms").alias("_lo"), F.max("end_ms").alias("_hi")).select(*by, "_lo", "_hi")
+    starts = base.select(*by, "start_ms").distinct()
+    met = _placed(starts, "start_ms", width_ms, _levels(ranges, "_lo", "_hi", width_ms)).join(_spread(ranges, "_lo", "_hi", width_ms), [*by, "_level", "_node"])
+    gone = met.where("start_ms >= _lo and start_ms < _hi").select(*by, "start_ms").distinct()
+    return base.join(gone, [*by, "start_ms"], "left_anti").select(base.columns).unionByName(patch.select(base.columns))
 
 
 def window_counts(windows: DataFrame, cues: DataFrame, by: list[str], width_ms: int = 600_000) -> DataFrame:
     """``n`` of cues that start in each window [win_start, win_end); windows without cues stay with 0."""
-    left = windows.withColumn("_bin", F.explode_outer(_bins(F.col("win_start"), F.col("win_end"), width_ms)))
-    right = cues.select(*by, "start_ms", F.floor(F.col("start_ms") / width_ms).alias("_bin"))
-    # counts by bin and start shrink the cues before the join
-    right = right.groupBy(*by, "_bin", "start_ms").agg(F.count("*").alias("_n"))
-    met = left.join(right, [*by, "_bin"], "left")
+    left = _spread(windows, "win_start", "win_end", width_ms, outer=True)
+    # counts by start shrink the cues before the join
+    starts = cues.groupBy(*by, "start_ms").agg(F.count("*").alias("_n"))
+    right = _placed(starts, "start_ms", width_ms, _levels(windows, "win_start", "win_end", width_ms))
+    met = left.join(right, [*by, "_level", "_node"], "left")
     inside = (F.col("start_ms") >= F.col("win_start")) & (F.col("start_ms") < F.col("win_end"))
     return met.groupBy(*windows.columns).agg(F.coalesce(F.sum(F.when(inside, F.col("_n"))), F.lit(0)).alias("n"))
 
@@ -74,8 +121,9 @@ def density_gaps(windows: DataFrame, cues: DataFrame, by: list[str], least_per_m
 
 
 def coverage_labels(ranges: DataFrame, points: DataFrame, by: list[str], width: int = 600) -> DataFrame:
-    """Points (at, label) that fall into each range [first, last], joined in order by bins; a range without points goes."""
-    dealt = ranges.withColumn("_bin", F.explode(_bins(F.col("first"), F.col("last") + 1, width)))
-    placed = points.select(*by, "at", "label", F.floor(F.col("at") / width).alias("_bin"))
-    met = dealt.join(placed, [*by, "_bin"]).where("at between first and last")
+    """Points (at, label) that fall into each range [first, last], joined in order; a range without points goes."""
+    closed = ranges.withColumn("_end", F.col("last") + 1)
+    dealt = _spread(closed, "first", "_end", width)
+    placed = _placed(points.select(*by, "at", "label"), "at", width, _levels(closed, "first", "_end", width))
+    met = dealt.join(placed, [*by, "_level", "_node"]).where("at between first and last")
     return met.groupBy(*ranges.columns).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda x: x["label"]), ", ").alias("labels"))

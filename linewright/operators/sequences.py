@@ -64,9 +64,14 @@ def clean_hallucinations(df: DataFrame, by: list[str], order: list[str], value:
 
 
 def gap_report(detected: list[DataFrame], by: list[str], pad_ms: int = 5000) -> DataFrame:
-    """The findings of all detectors (gap_start, gap_end, reason) put together and merged where they touch."""
+    """The findings of all detectors (gap_start, gap_end, reason) put together and merged where they touch.
+
+    A finding that ends before it starts, as a faulty cue gives one, is kept with
+    its bounds as they are; repair the cues before (:func:`repair_ends`) to have
+    none.  Merged findings reach to the furthest end.
+    """
     names = [*by, "gap_start", "gap_end", "reason"]
-    every = reduce(DataFrame.unionByName, [d.select(names) for d in detected]).where("gap_end >= gap_start")
+    every = reduce(DataFrame.unionByName, [d.select(names) for d in detected])
     return merge_intervals(every, by, "gap_start", "gap_end", pad_ms, "reason")
 
 

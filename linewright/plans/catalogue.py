@@ -150,12 +150,15 @@ def positional_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.positional_join(turns.where("role = 'user'"), turns.where("role = 'assistant'"), ["conv_id"], ["turn"]).select("conv_id", "turn", "text", "other_text")
 
 
-@_query(f"""WITH {CUES}, {_DAYS}, p AS (SELECT * FROM d WHERE event_type = 'click' AND user_id % 5 = 0),
-    r AS (SELECT day, user_id, min(start_ms) AS lo, max(end_ms) AS hi FROM p WHERE user_id % 10 = 0 GROUP BY ALL)
+_RANGE = f"""WITH {CUES}, {_DAYS}, p AS (SELECT * FROM d WHERE event_type = 'click'),
+    r AS (SELECT day, user_id, min(start_ms) AS lo, max(end_ms) AS hi FROM p GROUP BY ALL)
     SELECT day, event_id AS pos, start_ms, end_ms, text FROM d WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM r WHERE r.day = d.day AND d.start_ms >= lo AND d.start_ms < hi)
-    UNION ALL SELECT day, event_id, start_ms, end_ms, text FROM p WHERE user_id % 10 = 0""")
+    UNION ALL SELECT day, event_id, start_ms, end_ms, text FROM p"""
+
+
+@_query(_RANGE)
 def range_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patch = cues(spark, sf_dir).where("event_type = 'click' and user_id % 10 = 0").select(F.floor(F.col("start_ms") / 86_400_000).alias("day"), F.col("event_id").alias("pos"), "start_ms", "end_ms", "text", "user_id")
+    patch = cues(spark, sf_dir).where("event_type = 'click'").select(F.floor(F.col("start_ms") / 86_400_000).alias("day"), F.col("event_id").alias("pos"), "start_ms", "end_ms", "text", "user_id")
     return align.patch_ranges(_days(spark, sf_dir, "view"), patch, ["day"], "user_id")
 
 
@@ -267,30 +270,36 @@ def restoration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("restored", F.round("restored", 9))
 
 
-def _ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English texts of ASCII characters: the engines agree on word boundaries there."""
-    return read(spark, sf_dir, "documents").where("lang = 'en'").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+#: Whole words of letters, marks, digits and underscores; and those of them that are terms.
+_WORD_RUNS = r"regexp_extract_all({0}, '[\p{{L}}\p{{M}}\p{{N}}_]+')"
+_TERMS = "list_filter(" + _WORD_RUNS + ", lambda w: regexp_full_match(w, '[A-Z][a-zA-Z]{{3,}}'))"
+_LOST = f"""WITH t AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 's' ELSE 't' END AS side, unnest({_TERMS.format("text")}) AS term FROM documents),
+    n AS (SELECT term, count(*) FILTER (side = 's') AS n_source, count(*) FILTER (side = 't') AS n_target FROM t GROUP BY term),
+    c AS (SELECT n.*, CASE WHEN n.term LIKE '%s' AND n.n_target = 0 AND o.n_target > 0 THEN o.n_target ELSE n.n_target END AS n_counted FROM n LEFT JOIN n o ON n.term = o.term || 's')"""
 
 
-_TERM = r"regexp_extract_all(text, '\b[A-Z][a-zA-Z]{3,}\b')"
+def _lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.explode(F.regexp_extract_all("text", F.lit(checks.TERM), F.lit(0))).alias("term")
+    terms = read(spark, sf_dir, "documents").select((F.col("doc_id") % 2 == 0).alias("source"), found)
+    counts = terms.groupBy("term").agg(F.count_if("source").alias("n_source"), F.count_if(~F.col("source")).alias("n_target"))
+    singular = counts.select(F.concat("term", F.lit("s")).alias("term"), F.col("n_target").alias("n_singular"))
+    return checks.lost_terms(counts.join(singular, "term", "left"))
 
 
-@_query(rf"""WITH t AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 's' ELSE 't' END AS side, unnest({_TERM}) AS term FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\x00-\x7F]*$')),
-    n AS (SELECT term, count(*) FILTER (side = 's') AS n_source, count(*) FILTER (side = 't') AS n_target FROM t GROUP BY term)
-    SELECT term, n_source, n_target FROM n WHERE n_source >= 3 AND n_target < 0.3 * n_source AND NOT (term LIKE '%s' AND n_target = 0)""")
+@_query(f"{_LOST} SELECT term, n_source, n_target FROM c WHERE n_source >= 3 AND n_counted < 0.3 * n_source")
 def lost_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-zA-Z]{3,}\b"), F.lit(0))).alias("term")
-    terms = _ascii(spark, sf_dir).select((F.col("doc_id") % 2 == 0).alias("source"), found)
-    counts = terms.groupBy("term").agg(F.count_if("source").alias("n_source"), F.count_if(~F.col("source")).alias("n_target"))
-    return checks.lost_terms(counts.withColumn("n_singular", F.lit(None).cast("long"))).where("not (endswith(term, 's') and n_target = 0)").select("term", "n_source", "n_target")
+    return _lost(spark, sf_dir).select("term", "n_source", "n_target")
 
 
-@_query(r"""WITH d AS (SELECT text, string_split(text, chr(10))[1] AS title FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\x00-\x7F]*$')),
-    a AS (SELECT unnest(regexp_extract_all(title, '\b[A-Z][a-zA-Z]{3,}\b')) AS term FROM d),
-    b AS (SELECT term FROM (SELECT unnest(regexp_extract_all(text, '\b[A-Z][a-zA-Z]{3,}\b')) AS term FROM d) GROUP BY term HAVING count(*) >= 2)
-    SELECT term FROM (SELECT term FROM a UNION SELECT term FROM b) WHERE term NOT IN ('This', 'That', 'With')""")
+_CANDIDATES = f"""WITH d AS (SELECT text, string_split(text, chr(10))[1] AS title FROM documents),
+    a AS (SELECT unnest({_TERMS.format("title")}) AS term FROM d),
+    b AS (SELECT term FROM (SELECT unnest({_TERMS.format("text")}) AS term FROM d) GROUP BY term HAVING count(*) >= 2)
+    SELECT term FROM (SELECT term FROM a UNION SELECT term FROM b) WHERE term NOT IN ('This', 'That', 'With')"""
+
+
+@_query(_CANDIDATES)
 def term_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _ascii(spark, sf_dir).select("text", F.substring_index("text", "\n", 1).alias("title"))
+    docs = read(spark, sf_dir, "documents").select("text", F.substring_index("text", "\n", 1).alias("title"))
     return checks.term_candidates(docs, "title", "text", spark.createDataFrame([("This",), ("That",), ("With",)], "term string"))
 
 
@@ -575,42 +584,39 @@ def merge_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.merge_segments(parts, segments, ["track_id"]).select("track_id", "event_id", "start_ms", "end_ms")
 
 
-@_query("""SELECT doc_id, replace(replace(text, 'of the', 'o/t'), 'of-the', 'o/t') AS text, regexp_replace(text, '\\bthe\\b', 'THE', 'g') AS bounded FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\\x00-\\x7F]*$') AND NOT contains(text, '_')""")
+#: A bounded word with what bounds it; neighbours share a bound, so the replacement runs twice.
+_BOUNDED = r"regexp_replace({0}, '(^|[^\p{{L}}\p{{N}}])the([^\p{{L}}\p{{N}}]|$)', '\1THE\2', 'g')"
+_CAREFUL = f"SELECT doc_id, replace(replace(text, 'of the', 'o/t'), 'of-the', 'o/t') AS text, {_BOUNDED.format(_BOUNDED.format('text'))} AS bounded FROM documents"
+
+
+@_query(_CAREFUL)
 def careful_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.array(F.struct(F.lit("the").alias("wrong"), F.lit("THE").alias("correct")))
-    docs = _ascii(spark, sf_dir).where(~F.col("text").contains("_"))
+    docs = read(spark, sf_dir, "documents")
     return docs.select("doc_id", T.replace_pairs(F.col("text"), T.pairs_with_slugs([("of the", "o/t")])).alias("text"), T.replace_pairs_column(F.col("text"), pairs, True).alias("bounded"))
 
 
-# The queries from here on take all rows where those with SQL keep to rows on which the engines agree.
+# These names stood for readings of all rows when the queries above kept to some; both read all now.
 
 
-@_query()
+@_query(_RANGE)
 def range_patch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patch = cues(spark, sf_dir).where("event_type = 'click'").select(F.floor(F.col("start_ms") / 86_400_000).alias("day"), F.col("event_id").alias("pos"), "start_ms", "end_ms", "text", "user_id")
-    return align.patch_ranges(_days(spark, sf_dir, "view"), patch, ["day"], "user_id")
+    return range_patch(spark, sf_dir)
 
 
-@_query()
+@_query(f"{_LOST} SELECT term, n_source, n_target, n_counted FROM c WHERE n_source >= 3 AND n_counted < 0.3 * n_source")
 def lost_terms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.explode(F.regexp_extract_all("text", F.lit(checks.TERM), F.lit(0))).alias("term")
-    terms = read(spark, sf_dir, "documents").select((F.col("doc_id") % 2 == 0).alias("source"), found)
-    counts = terms.groupBy("term").agg(F.count_if("source").alias("n_source"), F.count_if(~F.col("source")).alias("n_target"))
-    singular = counts.select(F.concat("term", F.lit("s")).alias("term"), F.col("n_target").alias("n_singular"))
-    return checks.lost_terms(counts.join(singular, "term", "left")).select("term", "n_source", "n_target", "n_counted")
+    return _lost(spark, sf_dir).select("term", "n_source", "n_target", "n_counted")
 
 
-@_query()
+@_query(_CANDIDATES)
 def term_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("text", F.substring_index("text", "\n", 1).alias("title"))
-    return checks.term_candidates(docs, "title", "text", spark.createDataFrame([("This",), ("That",), ("With",)], "term string"))
+    return term_candidates(spark, sf_dir)
 
 
-@_query()
+@_query(_CAREFUL)
 def careful_replace_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = F.array(F.struct(F.lit("the").alias("wrong"), F.lit("THE").alias("correct")))
-    docs = read(spark, sf_dir, "documents")
-    return docs.select("doc_id", T.replace_pairs(F.col("text"), T.pairs_with_slugs([("of the", "o/t")])).alias("text"), T.replace_pairs_column(F.col("text"), pairs, True).alias("bounded"))
+    return careful_replace(spark, sf_dir)
 
 
 from . import files, more, pages, rendered  # noqa: E402, F401  (register their queries)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import align, captions, checks, replies
 from ..operators import sequences as S
-from .catalogue import _ORDER, _RUNS, _query
+from .catalogue import _HOURS, _ORDER, _RUNS, _hours, _query
 from .tables import CUES, LINES, cues, lines, read
 
 
@@ -22,16 +22,25 @@ def chained_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.clean_hallucinations(lines(spark, sf_dir), ["doc_id"], ["pos"], "line", drop_long=F.length("line") > 400, strict=True, most_chars=30, streak=3)
 
 
-@_query(f"""WITH {CUES}, j AS (SELECT track_id, lag(end_ms) OVER (PARTITION BY track_id ORDER BY start_ms, event_id) AS gap_start, start_ms AS gap_end FROM cues),
-    g AS (SELECT track_id, gap_start, gap_end, 'time jump' AS reason FROM j WHERE gap_end - gap_start > 1800000 UNION ALL SELECT track_id, start_ms, end_ms, 'repeated character' FROM cues WHERE regexp_matches(text, 'rr|00|11|22|33|44|55|66|77|88|99')),
-    m AS (SELECT *, max(gap_end) OVER (PARTITION BY track_id ORDER BY gap_start, gap_end, reason ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g WHERE gap_end >= gap_start),
+@_query(f"""WITH {CUES}, {_HOURS}, v AS (SELECT *, event_id % 9 < 2 AS blank, CASE WHEN event_id % 50 = 7 THEN start_ms - 1000 ELSE end_ms END AS e FROM cues),
+    j AS (SELECT track_id, lag(e) OVER (PARTITION BY track_id ORDER BY start_ms, event_id) AS gap_start, start_ms AS gap_end FROM v),
+    c AS (SELECT *, CASE WHEN blank IS DISTINCT FROM lag(blank) OVER (PARTITION BY track_id ORDER BY start_ms, event_id) THEN 1 ELSE 0 END AS c FROM v),
+    b AS (SELECT *, sum(c) OVER (PARTITION BY track_id ORDER BY start_ms, event_id) AS run FROM c),
+    g AS (SELECT track_id, gap_start, gap_end, 'time jump' AS reason FROM j WHERE gap_end - gap_start > 1800000
+          UNION ALL SELECT track_id, start_ms, e, 'repeated character' FROM v WHERE NOT blank AND regexp_matches(text, 'rr|00|11|22|33|44|55|66|77|88|99')
+          UNION ALL SELECT track_id, arg_min(start_ms, (start_ms, event_id)), arg_max(e, (start_ms, event_id)), 'blank block' FROM b WHERE blank GROUP BY track_id, run HAVING count(*) >= 2
+          UNION ALL SELECT h.track_id, win_start, win_end, 'low density' FROM hours h LEFT JOIN cues c ON c.track_id = h.track_id AND c.start_ms >= win_start AND c.start_ms < win_end GROUP BY ALL HAVING count(c.event_id) < 3),
+    m AS (SELECT *, max(gap_end) OVER (PARTITION BY track_id ORDER BY gap_start, gap_end, reason ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g),
     i AS (SELECT *, sum(CASE WHEN reach IS NULL OR gap_start > reach + 5000 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY gap_start, gap_end, reason ROWS UNBOUNDED PRECEDING) AS island FROM m)
     SELECT track_id, min(gap_start) AS gap_start, max(gap_end) AS gap_end, count(*) AS n_merged, string_agg(reason, ';' ORDER BY gap_start, gap_end, reason) AS reasons FROM i GROUP BY track_id, island""")
 def gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = cues(spark, sf_dir)
+    """All four detectors on cues of which some are blank and some end before they start."""
+    event = F.col("event_id")
+    every = cues(spark, sf_dir).withColumns({"text": F.when(event % 9 < 2, " ").otherwise(F.col("text")), "end_ms": F.when(event % 50 == 7, F.col("start_ms") - 1000).otherwise(F.col("end_ms"))})
+    by = ["track_id"]
     # of the event types' letters only the r of "error" comes twice in a row, and any digit may
-    found = S.gap_report([S.time_jumps(every, ["track_id"], _ORDER, 1_800_000), S.repeated_characters(every, ["track_id"], "text", 2)], ["track_id"])
-    return found.withColumn("reasons", F.array_join("reasons", ";"))
+    detected = [S.time_jumps(every, by, _ORDER, 1_800_000), S.repeated_characters(every, by, "text", 2), S.blank_blocks(every, by, _ORDER, "text"), align.density_gaps(_hours(spark, sf_dir), every, by, 0.05)]
+    return S.gap_report(detected, by).withColumn("reasons", F.array_join("reasons", ";"))
 
 
 @_query("""SELECT l_suppkey % 7 AS track, l_linenumber AS batch_num, l_orderkey, CAST(row_number() OVER (PARTITION BY l_suppkey % 7 ORDER BY l_linenumber, l_orderkey) AS INTEGER) AS pos FROM lineitem""")
@@ -42,13 +51,13 @@ def batches_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LOSSES = f"""WITH {CUES}, b AS (SELECT track_id, start_ms // 3600000 % 24 AS batch_num, event_type, user_id FROM cues),
     n AS (SELECT track_id, batch_num, count(*) AS n_source, count(*) FILTER (user_id % 3 <> 0) AS n_target FROM b GROUP BY ALL)
-    SELECT track_id, batch_num, n_source, n_target, n_source - n_target AS lost FROM n WHERE n_source > n_target AND n_target > 0"""
+    SELECT track_id, batch_num, n_source, n_target, n_source - n_target AS lost FROM n WHERE n_source > n_target"""
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Losses of the hours of which anything is left, the greatest first."""
+    """Losses of the hours, those that lost everything among them, the greatest first."""
     rows = cues(spark, sf_dir).withColumn("batch_num", F.floor(F.col("start_ms") / 3_600_000) % 24)
-    losses = checks.batch_losses(rows, rows.where("user_id % 3 <> 0"), ["track_id"]).where("n_target > 0")
+    losses = checks.batch_losses(rows, rows.where("user_id % 3 <> 0"), ["track_id"])
     return checks.loss_ranking(losses, ["track_id"]).select("track_id", "batch_num", "n_source", "n_target", "lost")
 
 
