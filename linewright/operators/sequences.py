@@ -1,9 +1,10 @@
 """Operators on ordered records: runs, gaps, intervals, batches and sections.
 
 A track's records share the key columns ``by`` and are ordered by ``order``
-(unique within the track).  Everything is partitioned by the key, so the work
-spreads over the tracks; key long recordings by part where a single track would
-hold much of the data.
+(unique within the track).  Windows are partitioned by the key, so the work spreads
+over the tracks.  Where a single track may hold much of the data, the operators
+that take ``chunk``, a column that never falls along the order, compute the same by
+prefix scans over chunks of the track (:mod:`.scans`).
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import numbered, scanned
+
 
 def _window(by: list[str], order: list[str]) -> Window:
     return Window.partitionBy(*by).orderBy(*order)
@@ -30,16 +33,29 @@ def _runs(df: DataFrame, by: list[str], order: list[str], value: Column) -> Data
     return islands(df.withColumn("_value", value), by, order, ~F.col("_value").eqNullSafe(before), "_run")
 
 
-def collapse_runs(df: DataFrame, by: list[str], order: list[str], value: str, least: int = 3) -> DataFrame:
+def _begun(df: DataFrame, by: list[str], order: list[str], value: Column, chunk: Column) -> DataFrame:
+    """``df`` with ``_begins``: whether the value differs from that of the record before, by a scan."""
+    rows = scanned(df.withColumn("_value", value), by, order, chunk, previous={"_before": F.col("_value"), "_any": F.lit(True)})
+    return rows.withColumn("_begins", F.col("_any").isNull() | ~F.col("_value").eqNullSafe(F.col("_before"))).drop("_value", "_before", "_any")
+
+
+def collapse_runs(df: DataFrame, by: list[str], order: list[str], value: str, least: int = 3, chunk: Column | None = None) -> DataFrame:
     """Of a run of at least ``least`` equal values the first record stays; shorter runs stay whole."""
+    if chunk is not None:
+        runs = scanned(_begun(df, by, order, F.col(value), chunk), by, order, chunk, sums={"_run": F.col("_begins").cast("int")})
+        short = runs.groupBy(*by, "_run").agg(F.count("*").alias("_size")).where(F.col("_size") < least).select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_run").alias("_short"))
+        same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)] + [F.col("_run") == F.col("_short")]
+        return runs.join(short, same, "left").where(F.col("_begins") | F.col("_short").isNotNull()).select(*df.columns)
     runs = _runs(df, by, order, F.col(value))
     size = F.count("*").over(Window.partitionBy(*by, "_run"))
     place = F.row_number().over(Window.partitionBy(*by, "_run").orderBy(*order))
     return runs.withColumns({"_size": size, "_place": place}).where((F.col("_size") < least) | (F.col("_place") == 1)).drop("_value", "_run", "_size", "_place")
 
 
-def drop_adjacent_repeats(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+def drop_adjacent_repeats(df: DataFrame, by: list[str], order: list[str], value: str, chunk: Column | None = None) -> DataFrame:
     """Records equal to the one before them go."""
+    if chunk is not None:
+        return _begun(df, by, order, F.col(value), chunk).where("_begins").drop("_begins")
     w = _window(by, order)
     marked = df.withColumns({"_first": F.row_number().over(w) == 1, "_before": F.lag(value).over(w)})
     return marked.where(F.col("_first") | ~F.col(value).eqNullSafe(F.col("_before"))).drop("_first", "_before")
@@ -75,9 +91,9 @@ def gap_report(detected: list[DataFrame], by: list[str], pad_ms: int = 5000) ->
     return merge_intervals(every, by, "gap_start", "gap_end", pad_ms, "reason")
 
 
-def concat_batches(df: DataFrame, by: list[str], batch: str, order: list[str]) -> DataFrame:
+def concat_batches(df: DataFrame, by: list[str], batch: str, order: list[str], chunk: Column | None = None) -> DataFrame:
     """All batches of a track in the order of their numbers, renumbered from 1 as ``pos``."""
-    return df.withColumn("pos", F.row_number().over(_window(by, [batch, *order])))
+    return numbered(df, by, [batch, *order], chunk, "pos")
 
 
 def in_range(chapters: DataFrame, index: str, first: int | None = None, last: int | None = None, only: list[int] | None = None) -> DataFrame:
@@ -123,12 +139,17 @@ def timeline_windows(spec: DataFrame, by: list[str], text: str = "spec", total_m
     return points.withColumn("win_end", F.coalesce(F.lead("win_start").over(w), F.col(total_ms))).withColumn("win_no", F.row_number().over(w)).select(*by, "win_no", "win_start", "win_end")
 
 
-def merge_intervals(df: DataFrame, by: list[str], start: str = "gap_start", end: str = "gap_end", pad_ms: int = 5000, label: str | None = None) -> DataFrame:
+def merge_intervals(df: DataFrame, by: list[str], start: str = "gap_start", end: str = "gap_end", pad_ms: int = 5000, label: str | None = None, chunk: Column | None = None) -> DataFrame:
     """Intervals that overlap or come within ``pad_ms`` become one; labels are kept in order of start."""
     tie = [c for c in (start, end, label) if c]
-    w = Window.partitionBy(*by).orderBy(*tie).rowsBetween(Window.unboundedPreceding, -1)
-    flagged = df.withColumn("_reach", F.max(end).over(w))
-    marked = islands(flagged, by, tie, F.col(start) > F.col("_reach") + pad_ms, "_merged")
+    if chunk is not None:
+        flagged = scanned(df, by, tie, chunk, maxima={"_reach": F.col(end)})
+        apart = (F.col(start) > F.col("_reach") + pad_ms).cast("int")
+        marked = scanned(flagged, by, tie, chunk, sums={"_merged": F.coalesce(apart, F.lit(0))})
+    else:
+        w = Window.partitionBy(*by).orderBy(*tie).rowsBetween(Window.unboundedPreceding, -1)
+        flagged = df.withColumn("_reach", F.max(end).over(w))
+        marked = islands(flagged, by, tie, F.col(start) > F.col("_reach") + pad_ms, "_merged")
     out = [F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_merged")]
     if label:
         out.append(F.transform(F.array_sort(F.collect_list(F.struct(*tie))), lambda x: x[label]).alias("reasons"))
@@ -173,8 +194,11 @@ def mark_last_batch(df: DataFrame, by: list[str]) -> DataFrame:
     return df.withColumn("is_last", F.col("batch_num") == F.max("batch_num").over(Window.partitionBy(*by)))
 
 
-def segment_offsets(segments: DataFrame, by: list[str], order: list[str], duration: str = "duration_ms") -> DataFrame:
+def segment_offsets(segments: DataFrame, by: list[str], order: list[str], duration: str = "duration_ms", chunk: Column | None = None) -> DataFrame:
     """``offset_ms``: the durations of all segments before each one."""
+    if chunk is not None:
+        summed = scanned(segments, by, order, chunk, sums={"offset_ms": F.col(duration)})
+        return summed.withColumn("offset_ms", F.col("offset_ms") - F.coalesce(duration, F.lit(0)))
     before = _window(by, order).rowsBetween(Window.unboundedPreceding, -1)
     return segments.withColumn("offset_ms", F.coalesce(F.sum(duration).over(before), F.lit(0)))
 
@@ -192,8 +216,10 @@ def shift_patch(df: DataFrame, offset_ms: Column | int, skip_ms: Column | int =
     return df.where(F.col("end_ms") > skip).withColumns({"start_ms": F.col("start_ms") + offset, "end_ms": F.col("end_ms") + offset})
 
 
-def sections(df: DataFrame, by: list[str], order: list[str], is_marker: Column) -> DataFrame:
+def sections(df: DataFrame, by: list[str], order: list[str], is_marker: Column, chunk: Column | None = None) -> DataFrame:
     """``section``: 0 before the first marker line, then a number for each marker."""
+    if chunk is not None:
+        return scanned(df, by, order, chunk, sums={"section": is_marker.cast("int")}).withColumn("section", F.col("section").cast("int"))
     w = _window(by, order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("section", F.sum(is_marker.cast("int")).over(w).cast("int"))
 

@@ -402,7 +402,15 @@ def overlap_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.trim_overlaps(lines(spark, sf_dir).withColumnRenamed("line", "text"), ["doc_id"], ["pos"])
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {LINES}, t AS (SELECT doc_id, pos + 1 AS i, line AS text FROM lines),
+    f AS (
+        SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS held, CAST(0 AS BIGINT) AS seen, CAST(NULL AS BIGINT) AS out FROM t
+        UNION ALL
+        SELECT doc_id, i, CASE WHEN open AND NOT grows AND within THEN held ELSE i END, CASE WHEN open AND (grows OR within) THEN seen + 1 ELSE 0 END, CASE WHEN NOT (open AND (grows OR within)) THEN held END
+        FROM (SELECT t.doc_id, t.i, f.held, f.seen, f.held IS NOT NULL AND f.seen < 3 AS open, coalesce(contains(t.text, h.text), false) AS grows, coalesce(contains(h.text, t.text), false) AS within
+              FROM f JOIN t ON t.doc_id = f.doc_id AND t.i = f.i + 1 LEFT JOIN t h ON h.doc_id = f.doc_id AND h.i = f.held)),
+    o AS (SELECT doc_id, out AS i FROM f WHERE out IS NOT NULL UNION ALL SELECT doc_id, arg_max(held, i) FROM f GROUP BY doc_id)
+    SELECT o.doc_id, CAST(row_number() OVER (PARTITION BY o.doc_id ORDER BY o.i) AS INT) AS pos, o.i * 1000 - 1000 AS start_ms, o.i * 1000 AS end_ms, t.text FROM o JOIN t ON t.doc_id = o.doc_id AND t.i = o.i""")
 def caption_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir).select("doc_id", F.col("pos").alias("line_no"), (F.col("pos") * 1000).cast("long").alias("start_ms"), (F.col("pos") * 1000 + 1000).cast("long").alias("end_ms"), F.col("line").alias("text"))
     return captions.collapse_progressive(rows, ["doc_id"], ["line_no"])
@@ -619,4 +627,4 @@ def careful_replace_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return careful_replace(spark, sf_dir)
 
 
-from . import files, more, pages, rendered  # noqa: E402, F401  (register their queries)
+from . import files, more, pages, rendered, wide  # noqa: E402, F401  (register their queries)

@@ -45,7 +45,7 @@ _STAMP = re.compile(r"(?:(\d+):)?(\d{1,2}):(\d{2})[,.](\d{3})", re.ASCII)
 _DIGITS = re.compile(r"\d+", re.ASCII)
 _MARKS = re.compile(r">>+|(?<!\S)>(?!\S)", re.ASCII)
 #: White space of Unicode.
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def milliseconds(stamp: str) -> int | None:
