@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 
 import pandas as pd
@@ -18,26 +19,55 @@ def unescape_html(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
+_BASE, _WORD = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
 def without_inner_repeats(text: str, least_words: int = 6, least_run: int = 3) -> str:
     """From left to right, words go that repeat the end of what was kept: the longest such run of three or more.
 
-    The places where each three kept words began are on record, so only ends
-    that begin with the next three words are compared, the longest first.
+    For each scale of sizes (3 to 5 words, 6 to 11, and so on) the places are on
+    record where a run of the scale's least size was kept, by its rolling hash.  An
+    end of that scale that the next words repeat begins at such a place, less than
+    two such sizes from the end; since repeats never stay, a run rarely has more than
+    two places there, so a word costs a few lookups for each scale.  Words are
+    compared where hashes agree.
     """
     words = text.split()
     if len(words) < least_words:
         return text
+    n = len(words)
+    numbers = {w: hash((w, _BASE)) & _WORD for w in set(words)}
+    power, ahead = [1] * (n + 1), [0] * (n + 1)
+    for i, w in enumerate(words):
+        power[i + 1] = power[i] * _BASE & _WORD
+        ahead[i + 1] = (ahead[i] * _BASE + numbers[w]) & _WORD
+    scales: list[tuple[int, dict[int, list[int]]]] = []
     kept: list[str] = []
-    begun: dict[tuple[str, ...], list[int]] = {}
+    sums = [0]
     at = 0
-    while at < len(words):
-        ends = begun.get(tuple(words[at : at + least_run]), ())
-        repeated = next((len(kept) - p for p in ends if kept[p:] == words[at : at + len(kept) - p]), 0)
+    while at < n:
+        m, repeated = len(kept), 0
+        for size, begun in reversed(scales):
+            if at + size > n:
+                continue
+            places = begun.get((ahead[at + size] - ahead[at] * power[size]) & _WORD, ())
+            for p in places[bisect_left(places, max(m - 2 * size + 1, m - (n - at))) :]:
+                own = m - p
+                if (sums[m] - sums[p] * power[own] - ahead[at + own] + ahead[at] * power[own]) & _WORD == 0 and kept[p:] == words[at : at + own]:
+                    repeated = own
+                    break
+            if repeated:
+                break
         at += repeated or 1
-        if not repeated:
-            kept.append(words[at - 1])
-            if len(kept) >= least_run:
-                begun.setdefault(tuple(kept[-least_run:]), []).append(len(kept) - least_run)
+        if repeated:
+            continue
+        kept.append(words[at - 1])
+        sums.append((sums[-1] * _BASE + numbers[words[at - 1]]) & _WORD)
+        if m + 1 >= least_run << len(scales):
+            scales.append((least_run << len(scales), {}))
+        for size, begun in scales:
+            p = m + 1 - size
+            begun.setdefault((sums[m + 1] - sums[p] * power[size]) & _WORD, []).append(p)
     return " ".join(kept)
 
 

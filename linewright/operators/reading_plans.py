@@ -53,6 +53,25 @@ def sampling_plan(df: DataFrame, preset: str = "podcast", entries: str = "entrie
     return df.select("*", F.posexplode(plan).alias("part", "_p")).select(*df.columns, "part", "_p.*")
 
 
+def plan_of(entries: int, lines: int, preset: str = "podcast") -> list[tuple[int, int, str]]:
+    """(offset, length, label) of the parts to read of one track: :func:`sampling_plan` for use inside a table function."""
+    out = []
+    for kind, place, size in next(parts for limit, parts in PRESETS[preset] if limit is None or entries < limit):
+        length = min(size, lines) if kind == "head within" or kind == "tail" and preset == "reading" else size
+        if kind.startswith("head"):
+            offset = 0
+        elif kind == "share":
+            offset = round(lines * place)  # half to even
+        elif kind == "quarter":
+            offset = lines // 4 * place
+        elif kind == "step":
+            offset = _STEP_HEAD + (lines - _STEP_HEAD - _STEP_TAIL) // place[1] * place[0]
+        else:
+            offset = max(lines - size, place)
+        out.append((offset, length, "share" if kind == "quarter" else kind.split()[0]))
+    return out
+
+
 def _clock(seconds: Column) -> Column:
     whole = F.floor(seconds)
     return F.format_string("%d:%02d", F.floor(whole / 60), whole % 60)

@@ -32,7 +32,7 @@ def first_and_last(df: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
 
 def rekey(df: DataFrame, index: str) -> DataFrame:
     """The index from zero over the whole set."""
-    return df.withColumn(index, F.col(index) - F.lit(df.agg(F.min(index)).first()[0]))
+    return df.withColumn(index, F.col(index) - df.agg(F.min(index)).scalar())
 
 
 def task_filter(df: DataFrame, prompt: str, wanted: str, text: str, least_chars: int = 500) -> DataFrame:
