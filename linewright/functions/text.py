@@ -90,6 +90,37 @@ def without_fences(text: Column) -> Column:
     return F.regexp_replace(text, r"(?m)^\s*```[A-Za-z]*[ \t]*\n?", "")
 
 
+def without_fence_marks(text: Column) -> Column:
+    """Fence marks go wherever they stand, with the blanks around them and the word ``srt``."""
+    return F.regexp_replace(text, " *```(?:srt)? *", "")
+
+
+def without_wrapper(text: Column) -> Column:
+    """The first opening fence (bare, ``markdown`` or ``md``) and the first closing one go, and white space at the ends."""
+    opened = F.regexp_replace(text, r"(?s)\A(.*?)(?<![^\n])```(?:markdown|md)?\s*\n", "$1")
+    closed = F.regexp_replace(opened, r"(?s)\A(.*?)\n```\s*(?=\n|\z)", "$1")
+    return F.regexp_replace(closed, r"(?U)\A\s+|\s+\z", "")
+
+
+#: Remarks that replies make about themselves, in the order in which they go (fixed values; letters of either case).
+META_REMARKS = (
+    r"I (?:realize|notice|see)[^\n]{0,250}?[Ll]et me (?:provide|give|re-?do|correct)[^\n]*\n",
+    r"Looking at (?:the|my)[^\n]{0,100}?(?:again|error|mistake)[^\n]*\n",
+    r"(?:Wait|Hmm|Actually)[,.][^\n]{0,200}?[\n]",
+    r"整理好的完整\s*SRT[^\n]*\n",
+    r"(?:以下是|以下為)[^\n]{0,50}(?:修正|正確|完整|重新)[^\n]*\n",
+    r"我(?:發現|注意到)[^\n]{0,100}(?:錯誤|問題|偏移)[^\n]*\n",
+    r"```(?:srt)?\s*\n",
+    r"\n```\s*",
+    r"(?:翻譯完成|完整的\s*SRT|corrected complete translation)[^\n]*\n",
+)
+
+
+def without_meta_remarks(text: Column) -> Column:
+    """A reply's remarks about itself go, wherever they stand, one pattern after the other."""
+    return reduce(lambda t, p: F.regexp_replace(t, f"(?iu){p}", ""), META_REMARKS, text)
+
+
 def from_first_heading(text: Column) -> Column:
     """What stands before the first ``# `` line goes; a text without one stays."""
     start = F.regexp_instr(text, F.lit(r"(?m)^# "))
@@ -114,6 +145,19 @@ def heading_key(line: Column, words: tuple[str, ...] = ("Ch", "Group")) -> Colum
     return F.when(line.rlike(pattern), F.struct(part(1).alias("kind"), part(2).cast("int").alias("number"), F.trim(part(3)).alias("title")))
 
 
+def chapter_title(text: Column, name: Column) -> Column:
+    """A note's title: what follows a dash in one of its first second-level headings, else its first heading's, else its file's name as words.
+
+    Only the first 2,000 characters, and for the dash their first 25 lines, count.
+    """
+    head = F.left(text, F.lit(2000))
+    lines = F.transform(F.slice(F.split(head, "\n"), 1, 25), lambda x: F.trim(x))
+    dashed = F.filter(lines, lambda x: x.startswith("## ") & F.contains(x, F.lit("—")))
+    titles = F.filter(F.transform(dashed, lambda x: F.trim(F.regexp_replace(x, "^## [^—]*—", ""))), lambda x: x != "")
+    heading = F.nullif(F.trim(F.regexp_extract(head, r"(?m)^#[ \t]+Ch\d+:[ \t]*(\S.*)$", 1)), F.lit(""))
+    return F.coalesce(F.get(titles, F.lit(0)), heading, F.replace(F.regexp_replace(name, "-+$", ""), F.lit("-"), F.lit(" ")))
+
+
 def slug(text: Column, most: int = 40, sep: str = "-", keep_han: bool = False) -> Column:
     """Lower-case words joined by ``sep``, at most ``most`` characters."""
     kept = r"a-z0-9\p{IsHan}" if keep_han else "a-z0-9"

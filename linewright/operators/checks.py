@@ -75,6 +75,22 @@ def pattern_counts(df: DataFrame, pairs: DataFrame, text: str = "text", chunk_by
     return pairs.select("ord", "wrong").join(counted, "ord", "left").select("ord", "wrong", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def scan_patterns(df: DataFrame, pairs: DataFrame, risky: DataFrame, text: str = "text") -> DataFrame:
+    """(risky, ord, wrong, correct, n, note) of the patterns that occur, the risky ones (which have a note) apart: those are to be verified, never applied."""
+    every = pairs.select("ord", "wrong", "correct", F.lit(None).cast("string").alias("note"), F.lit(False).alias("risky"))
+    every = every.unionByName(risky.select("ord", "wrong", "correct", "note", F.lit(True).alias("risky")))
+    keyed = every.withColumn("_key", F.col("ord") * 2 + F.col("risky").cast("int"))
+    counts = pattern_counts(df, keyed.select(F.col("_key").alias("ord"), "wrong"), text).where("n > 0")
+    return keyed.join(counts.select(F.col("ord").alias("_key"), "n"), "_key").select("risky", "ord", "wrong", "correct", "n", "note")
+
+
+def pair_spec(found: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One ``spec`` of the patterns that may be applied, such as ``a=b,c=d``, in their order."""
+    pair = F.concat("wrong", F.lit("="), "correct")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", pair.alias("p")))), lambda x: x["p"])
+    return found.where("not risky").groupBy(*(by or [])).agg(F.array_join(ordered, ",").alias("spec"))
+
+
 def unmatched_pairs(counts: DataFrame) -> DataFrame:
     """Patterns that no text holds."""
     return counts.where("n = 0").select("ord", "wrong")

@@ -627,4 +627,4 @@ def careful_replace_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return careful_replace(spark, sf_dir)
 
 
-from . import files, more, pages, rendered, sound, sql_text, wide  # noqa: E402, F401  (register their queries)
+from . import files, more, pages, rendered, sound, sql_text, variants, wide  # noqa: E402, F401  (register their queries)

@@ -9,14 +9,12 @@ from ..sources import html
 from .catalogue import _query
 from .tables import read
 
-_PAGE = F.col("page_id").cast("string")
-
-
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with a quotation of two paragraphs, a list in a list, paragraphs without end, and text outside the body."""
+    page = F.col("page_id").cast("string")
     parts = [
-        F.lit("<title>no</title><p>before</p><div class=x id='body'><h2 class=\"a>b\">T"), _PAGE, F.lit("</h2><blockquote> <p>"), F.col("url"),
-        F.lit("</p><p>q&amp;"), _PAGE, F.lit("</p>tail</blockquote><ul><li>a"), _PAGE, F.lit("<ul><li>b</li></ul>c <b>&lt;d&gt;</b></li><li>e<li>f</ul><p>x<!-- <p>gone</p> --><p>y<script>'<p>'</script><br/>z"),
+        F.lit("<title>no</title><p>before</p><div class=x id='body'><h2 class=\"a>b\">T"), page, F.lit("</h2><blockquote> <p>"), F.col("url"),
+        F.lit("</p><p>q&amp;"), page, F.lit("</p>tail</blockquote><ul><li>a"), page, F.lit("<ul><li>b</li></ul>c <b>&lt;d&gt;</b></li><li>e<li>f</ul><p>x<!-- <p>gone</p> --><p>y<script>'<p>'</script><br/>z"),
         F.when(F.col("page_id") % 2 == 0, "</p>").otherwise(""), F.lit("</div><p>after</p>"),
     ]
     return read(spark, sf_dir, "pages").select("page_id", F.concat(*parts).alias("html"))

@@ -18,16 +18,13 @@ def _one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select((F.col("doc_id") * 100_000 + F.col("pos")).alias("place"), "line", F.floor(F.col("doc_id") / 20).alias("part"))
 
 
-_CHUNK = F.col("part")
-
-
 @_query(f"""WITH {LINES}, {_ONE}, c AS (SELECT *, CASE WHEN lag(place) OVER w IS NULL OR line IS DISTINCT FROM lag(line) OVER w THEN 1 ELSE 0 END AS c FROM o WINDOW w AS (ORDER BY place)),
     r AS (SELECT *, sum(c) OVER (ORDER BY place) AS run FROM c), n AS (SELECT *, count(*) OVER (PARTITION BY run) AS size FROM r)
     SELECT place, line, c = 1 AS first FROM n WHERE c = 1 OR size < 3""")
 def one_track_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs over the ends of documents are collapsed, and of what is left each line is compared with the one before it."""
-    kept = S.collapse_runs(_one(spark, sf_dir), [], ["place"], "line", chunk=_CHUNK)
-    firsts = S.drop_adjacent_repeats(kept, [], ["place"], "line", chunk=_CHUNK).select("place", F.lit(True).alias("f"))
+    kept = S.collapse_runs(_one(spark, sf_dir), [], ["place"], "line", chunk=F.col("part"))
+    firsts = S.drop_adjacent_repeats(kept, [], ["place"], "line", chunk=F.col("part")).select("place", F.lit(True).alias("f"))
     return kept.join(firsts, "place", "left").select("place", "line", F.coalesce("f", F.lit(False)).alias("first"))
 
 
@@ -71,7 +68,7 @@ def one_track_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_track_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The progressive collapse over all lines as one track, folded in pieces."""
     rows = _one(spark, sf_dir).select("place", "part", F.col("place").alias("start_ms"), (F.col("place") + 1).alias("end_ms"), F.col("line").alias("text"))
-    return captions.collapse_progressive(rows, [], ["place"], chunk=_CHUNK).select("pos", "text")
+    return captions.collapse_progressive(rows, [], ["place"], chunk=F.col("part")).select("pos", "text")
 
 
 @_query(f"""WITH {CUES}, s AS (SELECT min(start_ms) AS lo, max(start_ms) AS hi FROM cues),

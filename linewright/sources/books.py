@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import url_member
 from ..functions.unescape import unescape_html
+from ..operators.sequences import section_texts
 from .html import text_of
 
 #: Text members of an archive that are read.
@@ -111,8 +112,22 @@ def chapters(found: DataFrame) -> DataFrame:
     return out.withColumn("size", F.octet_length("text").cast("long")).where("size > 0")
 
 
-#: Chapter markers by preset (fixed values).
-MARKERS = {"english": r"^(?:Chapter|CHAPTER)\s+\d+", "numbered": r"^\d+\.\s+\S", "section": r"^§?\s*\d+(?:\.\d+)+\s+\S", "dispersed": r"^C\s?H\s?A\s?P\s?T\s?E\s?R\s+\d+"}
+#: Chapter markers by preset (fixed values); the group, where there is one, is the chapter's number.
+MARKERS = {
+    "english": r"^\s*CHAPTER\s+(\d+)\s*$",
+    "chinese-numbered": r"^\s*第\s*(\d+)\s*章(?![\p{L}\p{M}\p{N}_])",
+    "chinese-section": r"^\s*CH(\d+)-1(?![\p{L}\p{M}\p{N}_])",
+    "incerto": r"^\s*(\d+)\s{3,}[A-Z][A-Z\s,'\-\.]{5,}",
+}
+#: Headings of a book's larger chapters (fixed values).
+GROUP_HEADS = r"^第[一二三四五六七八九十百千萬\d]+[章回卷部]|^(?i:Chapter)\s+\d+|^(?i:Part)\s+(?i:[IVXLCDM\d]+)"
+
+
+def marked_chapters(df: DataFrame, by: list[str], preset: str, text: str = "text") -> DataFrame:
+    """(section, number, heading, n_lines, text) of each book's text, cut at the lines that the preset marks; section 0 stands before the first."""
+    cut = section_texts(book_lines(df, by, text), by, ["pos"], "line", MARKERS[preset])
+    number = F.nullif(F.regexp_extract("heading", MARKERS[preset], 1), F.lit("")).try_cast("int")
+    return cut.select(*by, "section", number.alias("number"), "heading", "n_lines", "text")
 
 
 def book_lines(df: DataFrame, by: list[str], text: str = "text") -> DataFrame:

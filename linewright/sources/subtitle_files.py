@@ -7,9 +7,10 @@ Options: ``dialect`` names one of ``subtitles.DIALECTS``, and each field of
 ``Dialect`` may be set by its own name; ``suffixes`` (``.srt,.vtt``) chooses files;
 ``partitionBytes`` (32 MB) bounds what a task reads: small files share a task, and
 longer ones are cut where a block begins; ``mode`` is that of Spark's readers.
-With ``PERMISSIVE`` a file that can't be opened or has no cue, and a block that
-isn't UTF-8, is a row with its ``error``; ``DROPMALFORMED`` leaves such rows out;
-``FAILFAST`` raises.
+With ``PERMISSIVE`` a file that can't be opened or has no stamp line, and a block
+that isn't UTF-8, is a row with its ``error``; ``DROPMALFORMED`` leaves such rows out;
+``FAILFAST`` raises.  Blocks that the dialect doesn't keep give no row in any mode, as
+with its parser.
 
 A block is a run of lines between blank ones and belongs to the part of the file
 where its first line begins; ``at`` is that place in bytes, so the cues of a file
@@ -207,9 +208,9 @@ class SubtitleReader(DataSourceReader):
                             found = True
                             yield bad(name, at, f"not UTF-8 at byte {at + e.start}")
                             continue
+                        found = found or "-->" in block
                         cue = cue_of(block, self.dialect)
                         if cue:
-                            found = True
                             yield (name, at, *cue, None)
             except OSError as e:
                 yield bad(name, at, f"unreadable: {type(e).__name__}")

@@ -145,3 +145,29 @@ def test_inner_repeats_in_long_texts(kind):
     began = time.process_time()
     without_inner_repeats(" ".join(words))
     assert time.process_time() - began < 12
+
+
+def test_lists_that_are_errors(spark):
+    from linewright.sources import sinks, specs
+
+    of = lambda *rows: spark.createDataFrame([(r,) for r in rows], "spec string")
+    assert specs.checked_pairs(of("", " \n", None, "a=b")).collect()[0].wrong == "a"
+    for bad, separators in (("nothing here", r"[,|;\n]"), ("=x;y=", r"[,|;\n]"), ("a=" + "b;c=d" * 8, ",")):
+        with pytest.raises(Exception, match="no pair in|holds separators"):
+            specs.checked_pairs(of("a=b", bad), separators=separators).collect()
+    assert specs.checked_pairs(of("a=b;c"), separators=",").first().correct == "b;c"
+    with pytest.raises(Exception, match="malformed pair"):
+        specs.parse_pairs(of("a=b\nc="), separators=r"\n", strict=True).collect()
+    notes = spark.createDataFrame([(1, 1, "x", "a-01-x"), (1, 2, "y", "b-02-y")], "book int, number int, title string, file string")
+    with pytest.raises(Exception, match="several prefixes"):
+        sinks.index_table(notes, ["book"]).collect()
+
+
+def test_presets_and_halves(spark):
+    from linewright.sources import books
+
+    lines = ["CHAPTER 3", "Chapter 3", "第12章", "第12章節", "CH2-1", "CH2-10", "1   P R O L O G U E", "1  Prologue"]
+    found = {p: [i for i, x in enumerate(lines) if spark.sql("select rlike(:a, :b) x", {"a": x, "b": m}).first().x] for p, m in books.MARKERS.items()}
+    assert found == {"english": [0], "chinese-numbered": [2], "chinese-section": [4], "incerto": [6]}
+    # half to even, as plans round
+    assert reading_plans.plan_of(500, 5, "podcast")[1][0] == 2 and spark.range(1).select(F.bround(F.lit(5) * 0.30)).first()[0] == 2
