@@ -35,8 +35,6 @@ from .common import gram_hashes, staged, word_hashes
 
 #: Labelled rows that training takes, those with the smallest hash of their id.
 SAMPLE_ROWS = 24_000
-#: Features that the model keeps, the most significant first.
-FEATURES = 50_000
 #: Weight of the Dirichlet prior, in texts.
 PRIOR = 20.0
 #: Least log-odds in standard errors, and least weight, of a feature that scores.
@@ -131,8 +129,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     return texts.select("text", "toxic").mapInArrow(run, "key long, text string, toxic int").groupBy("key", "toxic").agg(F.min("text").alias("text"))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, features: int = FEATURES) -> Model:
-    """Fit the weights, the extreme-value law and the logistic curve."""
+def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) -> Model:
+    """Fit the weights, the extreme-value law and the logistic curve; every feature that is significant enough is kept, so the sample bounds their number."""
     sample = staged(labelled_sample(docs, labels, rows), "toxic_sample")
     size = {x["toxic"]: x["count"] for x in sample.groupBy("toxic").count().collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
@@ -161,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, featur
     odds = lambda n, total: F.log((n + share) / (F.lit(total + PRIOR) - n - share))
     weighed = counts.withColumn("w", odds(F.col("t"), toxic) - odds(F.col("c"), clean)).withColumn("e", F.sqrt(1 / (F.col("t") + share) + 1 / (F.col("c") + share)))
     weighed = weighed.withColumn("z", F.col("w") / F.col("e")).withColumn("w", F.col("w") - F.col("e"))
-    kept = weighed.where((F.col("z") >= LEAST_Z) & (F.col("w") >= LEAST_WEIGHT) & (F.col("t") >= 3)).orderBy(F.desc("z"), "feature").limit(features).select("feature", "w", "c").collect()
+    kept = weighed.where((F.col("z") >= LEAST_Z) & (F.col("w") >= LEAST_WEIGHT)).orderBy(F.desc("z"), "feature").select("feature", "w", "c").collect()
     model = Model({x["feature"]: x["w"] for x in kept})
     if not kept:
         return model
