@@ -144,4 +144,42 @@ def oracle_sql() -> dict[str, str]:
                    sha256(text) AS restored_sha256
             FROM f
         """,
+        "op3_near_duplicates": r"""
+            WITH RECURSIVE d AS (
+                SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+            s AS MATERIALIZED (
+                SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 4], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+            n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            l AS MATERIALIZED (
+                SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL)
+                JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
+            e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+            r AS (SELECT a AS doc_id, a AS seen FROM e UNION SELECT e.b, r.seen FROM r JOIN e ON e.a = r.doc_id WHERE r.seen < e.b),
+            m AS (SELECT doc_id, min(seen) AS least FROM r GROUP BY doc_id)
+            SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(m.least, d.doc_id), d.doc_id) AS component_id, coalesce(least(m.least, d.doc_id), d.doc_id) = d.doc_id AS kept
+            FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+        """,
+        "op13_spelling_variants": r"""
+            WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (
+                SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i))),
+            r AS (
+                SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+                FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY ALL),
+            b AS (
+                SELECT r.*, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS bytes
+                FROM r),
+            h AS (SELECT run, n, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) AS h FROM b, tab),
+            c AS (SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY ALL),
+            w AS MATERIALIZED (SELECT word, n FROM c WHERE length(word) >= 5 AND n >= 3),
+            d AS MATERIALIZED (SELECT word, i, substring(word, 1, i - 1) || substring(word, i + 1) AS cut FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+            p AS (
+                SELECT d.word AS x, w.word AS y FROM d JOIN w ON d.cut = w.word
+                UNION SELECT w.word, d.word FROM d JOIN w ON d.cut = w.word
+                UNION SELECT a.word, z.word FROM d a JOIN d z ON a.cut = z.cut AND a.i = z.i AND a.word <> z.word),
+            f AS (SELECT x AS word, count(*) AS n_near, arg_min(y, (-w.n, y)) AS best, max(w.n) AS best_n FROM p JOIN w ON w.word = p.y GROUP BY x),
+            g AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * w.n THEN best END AS form, CASE WHEN best_n >= 2 * w.n THEN best_n END AS form_n FROM w LEFT JOIN f USING (word)),
+            s AS (SELECT word, form AS root FROM g WHERE form IS NOT NULL UNION ALL SELECT s.word, g.form FROM s JOIN g ON g.word = s.root WHERE g.form IS NOT NULL),
+            e AS (SELECT s.word, s.root FROM s JOIN g ON g.word = s.root WHERE g.form IS NULL)
+            SELECT g.word, g.form, coalesce(e.root, g.word) AS root, g.n, CAST(g.n_near AS BIGINT) AS n_near, g.form_n FROM g LEFT JOIN e USING (word)
+        """,
     }
