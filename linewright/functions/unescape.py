@@ -76,6 +76,36 @@ def drop_inner_repeats(texts: pd.Series) -> pd.Series:
     return texts.map(without_inner_repeats, na_action="ignore")
 
 
+_WORD_RUN = re.compile("[^ \t\n\x0b\f\r]+")
+
+
+def without_overlap(before: list[str], words: list[str]) -> list[str]:
+    """The words without their longest beginning that ends ``before``.
+
+    One reading of the last words of ``before`` against the table of the beginnings'
+    own borders, so that no word is compared more than twice.
+    """
+    border, k = [0] * len(words), 0
+    for i in range(1, len(words)):
+        while k and words[i] != words[k]:
+            k = border[k - 1]
+        k += words[i] == words[k]
+        border[i] = k
+    k = 0
+    for word in before[-len(words) :] if words else ():
+        while k and (k == len(words) or word != words[k]):
+            k = border[k - 1]
+        k += word == words[k]
+    return words[k:]
+
+
+@F.pandas_udf(StringType())
+def rest_after_overlap(before: pd.Series, texts: pd.Series) -> pd.Series:
+    """Each text's words, but for the longest beginning that ends the text before it; null for null."""
+    find = _WORD_RUN.findall
+    return pd.Series([None if t is None else " ".join(without_overlap(find(b) if b is not None else [], find(t))) for b, t in zip(before, texts, strict=True)], dtype=object)
+
+
 def replace_across(lines: list[str], pairs: list[tuple[str, str]]) -> list[str]:
     """Ordered replacement in a track; a pair of as many words on either side also matches over a line's end."""
     for wrong, correct in pairs:

@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.unescape import drop_inner_repeats
+from ..functions.unescape import drop_inner_repeats, rest_after_overlap
 from .folds import Cue, fold, pieces
 from .scans import scanned
 from .sequences import drop_adjacent_repeats
@@ -85,18 +85,11 @@ def trim_overlaps(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
     A track that this would empty stays as it is.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    rows = df.withColumn("_words", words_of(F.col("text"))).withColumn("_before", F.lag("_words").over(w))
-    most = F.least(F.size("_words"), F.size("_before"))
-    lengths = F.when(F.col("_before").isNotNull() & (most > 0), F.sequence(most, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    # an end of the text before is compared only if it begins with this text's first word
-    starts = F.filter(lengths, lambda k: F.element_at("_before", F.size("_before") - k + 1) == F.element_at("_words", 1))
-    same = F.filter(starts, lambda k: F.slice("_before", F.size("_before") - k + 1, k) == F.slice("_words", F.lit(1), k))
-    cut = F.coalesce(F.get(same, F.lit(0)), F.lit(0))
-    rows = rows.withColumn("_cut", cut).withColumn("_rest", F.array_join(F.slice("_words", F.col("_cut") + 1, F.greatest(F.size("_words") - F.col("_cut"), F.lit(0))), " "))
+    before = F.lag("text").over(Window.partitionBy(*by).orderBy(*order))
+    rows = df.withColumn("_before", before).withColumn("_rest", rest_after_overlap("_before", "text"))
     any_left = F.max(F.col("_rest") != "").over(Window.partitionBy(*by))
     rows = rows.withColumn("_any", any_left).where(~F.col("_any") | (F.col("_rest") != ""))
-    return rows.withColumn("text", F.when(F.col("_any"), F.col("_rest")).otherwise(F.col("text"))).drop("_words", "_before", "_cut", "_rest", "_any")
+    return rows.withColumn("text", F.when(F.col("_any"), F.col("_rest")).otherwise(F.col("text"))).drop("_before", "_rest", "_any")
 
 
 #: When a sentence segment ends (milliseconds and words).

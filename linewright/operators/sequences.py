@@ -52,6 +52,12 @@ def collapse_runs(df: DataFrame, by: list[str], order: list[str], value: str, le
     return runs.withColumns({"_size": size, "_place": place}).where((F.col("_size") < least) | (F.col("_place") == 1)).drop("_value", "_run", "_size", "_place")
 
 
+def run_sizes(df: DataFrame, by: list[str], order: list[str], value: str, least: int = 3) -> DataFrame:
+    """n_in and n_out of each track: its records, and those that :func:`collapse_runs` leaves, by one window and sums over its runs."""
+    runs = _runs(df, by, order, F.col(value)).groupBy(*by, "_run").agg(F.count("*").alias("_n"))
+    return runs.groupBy(*by).agg(F.sum("_n").alias("n_in"), F.sum(F.when(F.col("_n") < least, F.col("_n")).otherwise(1)).alias("n_out"))
+
+
 def drop_adjacent_repeats(df: DataFrame, by: list[str], order: list[str], value: str, chunk: Column | None = None) -> DataFrame:
     """Records equal to the one before them go."""
     if chunk is not None:

@@ -48,9 +48,7 @@ _RUNS = f"""WITH {LINES},
            round(100.0 * count(*) FILTER (size >= 3 AND place > 1) / count(*), 4) AS removed_pct, 1.0 * count(*) FILTER (size >= 3 AND place > 1) / count(*) >= 0.3 AS alarm
     FROM n GROUP BY doc_id""")
 def run_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = lines(spark, sf_dir)
-    kept = S.collapse_runs(every, ["doc_id"], ["pos"], "line").groupBy("doc_id").agg(F.count("*").alias("lines_out"))
-    both = every.groupBy("doc_id").agg(F.count("*").alias("lines_in")).join(kept, "doc_id")
+    both = S.run_sizes(lines(spark, sf_dir), ["doc_id"], ["pos"], "line").withColumnsRenamed({"n_in": "lines_in", "n_out": "lines_out"})
     removed = F.col("lines_in") - F.col("lines_out")
     return both.select("doc_id", "lines_in", "lines_out", removed.alias("removed"), F.round(100 * removed / F.col("lines_in"), 4).alias("removed_pct"), checks.removed_alarm(F.col("lines_in"), F.col("lines_out")).alias("alarm"))
 

@@ -171,3 +171,16 @@ def test_presets_and_halves(spark):
     assert found == {"english": [0], "chinese-numbered": [2], "chinese-section": [4], "incerto": [6]}
     # half to even, as plans round
     assert reading_plans.plan_of(500, 5, "podcast")[1][0] == 2 and spark.range(1).select(F.bround(F.lit(5) * 0.30)).first()[0] == 2
+
+
+def test_overlaps():
+    from linewright.functions.unescape import without_overlap
+
+    rng = random.Random(6)
+    for _ in range(4000):
+        before, words = (rng.choices("ab"[: rng.randrange(1, 3)], k=rng.randrange(9)) for _ in range(2))
+        size = next((k for k in range(min(len(before), len(words)), 0, -1) if before[-k:] == words[:k]), 0)
+        assert without_overlap(before, words) == words[size:]
+    began = time.process_time()
+    assert without_overlap(["a"] * 200_000, ["a"] * 199_999 + ["b"]) == ["b"]
+    assert time.process_time() - began < 3
