@@ -32,10 +32,14 @@ def parse_pairs(df: DataFrame, spec: str = "spec", separators: str = r"[,|;\n]",
 
 
 def checked_pairs(df: DataFrame, spec: str = "spec", separators: str = r"[,|;\n]", by: list[str] | None = None, most: int = 30) -> DataFrame:
-    """:func:`parse_pairs` for lists that are to be applied: a list that has text but no pair is an error, and so is a right side of over ``most`` characters that holds ``;`` or ``|``, as a list cut at the wrong signs has."""
+    """:func:`parse_pairs` for lists that are to be applied, where silence would hide a mistake.
+
+    A list that has text but no pair is an error, and so is a right side of over
+    ``most`` characters that holds ``;`` or ``|``, as a list cut at the wrong signs has.
+    """
     by = by or []
     sign = lambda x: F.when(F.contains(x, F.lit("=")), F.lit("=")).otherwise(F.lit(":"))
-    at = lambda x: F.locate("=", x) if isinstance(x, str) else F.call_function("locate", sign(x), x)
+    at = lambda x: F.call_function("locate", sign(x), x)
     side = lambda x, i: F.trim(F.substr(x, F.lit(1), at(x) - 1)) if i == 0 else F.trim(F.substr(x, at(x) + 1))
     cut = F.transform(F.split(F.col(spec), separators), lambda x, i: F.struct(i.alias("ord"), F.when(at(x) > 0, side(x, 0)).alias("wrong"), F.when(at(x) > 0, side(x, 1)).alias("correct")))
     kept = F.filter(cut, lambda p: F.coalesce((p["wrong"] != "") & (p["correct"] != ""), F.lit(False)))
