@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import decode_entities_once, without_zero_width
 from ..functions.unescape import unescape_html
-from .markup import body_blocks, page_text  # noqa: F401  (blocks are part of this module's interface)
+from .markup import body_blocks, page_text, page_text_ended  # noqa: F401  (blocks are part of this module's interface)
 
 
-def text_of(page: Column, full_entities: bool = True) -> Column:
-    """A page's text: no scripts, styles, head or tags; block tags end lines; blank lines go."""
+def text_of(page: Column, full_entities: bool = True, ended: bool = False) -> Column:
+    """A page's text: no scripts, styles, head or tags; block tags end lines; blank lines go. ``ended``: of entities those that end with a semicolon."""
     if full_entities:
-        return page_text(page)
+        return page_text_ended(page) if ended else page_text(page)
     bare = F.regexp_replace(page, r"(?is)<(script|style|head)\b.*?</\1\s*>", "")
     lined = F.regexp_replace(bare, r"(?i)<(?:br|/?(?:p|div|h[1-6]|li|tr|blockquote))\b[^>]*>", "\n")
     return _trimmed_lines(decode_entities_once(F.regexp_replace(lined, r"(?s)<[^>]+>", "")))

@@ -93,3 +93,13 @@ def test_time_is_linear(unit):
     blocks, nodes, _ = markup.blocks_of(page)
     markup.text_of_page(page)
     assert time.process_time() - began < 5 and len(blocks) <= 40_000 and len(nodes) <= 40_000
+
+
+def test_entities_cut_short(spark):
+    page = "<h1>a&amp;&amp</h1><p>&lt;b&gt; &amplt; &ampx; &#39; &#x27; &copy; &copy &unknown;</p>"
+    texts = ["a&&amp", "<b> &amplt; &ampx; ' ' © &copy &unknown;"]
+    assert [t for _, t in markup.listed(page, ended=True)] == texts
+    assert [t for _, t in markup.listed(page)] == ["a&&", "<b> &lt; &x; ' ' © © &unknown;"]
+    df = spark.createDataFrame([(1, page)], "id long, html string")
+    assert [r.text for r in markup.body_blocks(df, ["id"], ended=True).orderBy("pos").collect()] == texts
+    assert df.select(markup.page_text_ended("html")).first()[0] == "\n".join(texts)
