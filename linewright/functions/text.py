@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .unescape import character_counts
+
 STAMP = r"(?:(\d+):)?(\d{1,2}):(\d{2})[,.](\d{3})"
 
 
@@ -188,15 +190,13 @@ def replace_pairs_column(text: Column, pairs: Column, word_boundary: bool = Fals
 
 def dominant_share(text: Column) -> Column:
     """Share of the most frequent character among those that aren't white space."""
-    plain = F.regexp_replace(text, r"(?U)\s+", "")
-    each = F.array_distinct(F.filter(F.split(plain, ""), lambda c: c != ""))
-    most = F.array_max(F.transform(each, lambda c: F.length(plain) - F.length(F.replace(plain, c, F.lit("")))))
-    return F.when(F.length(plain) > 0, most / F.length(plain)).otherwise(F.lit(0.0))
+    counts = character_counts(text)
+    return F.when(counts["n"] > 0, counts["most"] / counts["n"]).otherwise(F.lit(0.0))
 
 
 def is_stuck_line(text: Column, least: int = 20, share: float = 0.8) -> Column:
     """A long line that one character dominates."""
-    return (F.length(F.regexp_replace(text, r"(?U)\s+", "")) >= least) & (dominant_share(text) >= share)
+    return (character_counts(text)["n"] >= least) & (dominant_share(text) >= share)
 
 
 def han_share(text: Column) -> Column:

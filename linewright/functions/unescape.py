@@ -5,12 +5,13 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 @F.pandas_udf(StringType())
@@ -106,6 +107,25 @@ def rest_after_overlap(before: pd.Series, texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else " ".join(without_overlap(find(b) if b is not None else [], find(t))) for b, t in zip(before, texts, strict=True)], dtype=object)
 
 
+#: White space by Unicode's property.
+_SPACE = frozenset("\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
+def characters(text: str) -> tuple[int, int]:
+    """How many characters aren't white space, and how often the most frequent of them stands there."""
+    counts = Counter(text)
+    for c in _SPACE & counts.keys():
+        del counts[c]
+    return counts.total(), max(counts.values(), default=0)
+
+
+@F.pandas_udf(StructType([StructField("n", LongType()), StructField("most", LongType())]))
+def character_counts(texts: pd.Series) -> pd.DataFrame:
+    """:func:`characters` of each text by one reading; both null for null."""
+    found = [(None, None) if t is None else characters(t) for t in texts]
+    return pd.DataFrame(found, columns=["n", "most"], dtype="Int64")
+
+
 def replace_across(lines: list[str], pairs: list[tuple[str, str]]) -> list[str]:
     """Ordered replacement in a track; a pair of as many words on either side also matches over a line's end."""
     for wrong, correct in pairs:

@@ -184,3 +184,16 @@ def test_overlaps():
     began = time.process_time()
     assert without_overlap(["a"] * 200_000, ["a"] * 199_999 + ["b"]) == ["b"]
     assert time.process_time() - began < 3
+
+
+def test_dominant_characters_of_long_lines(spark):
+    from linewright.functions import text as T
+
+    rng = random.Random(7)
+    line = "".join(chr(0x4E00 + rng.randrange(6000)) for _ in range(100_000)) + "  \x85" * 9 + "中" * 20_000
+    most = max(line.count(c) for c in set(line) if not c.isspace())
+    rows = spark.createDataFrame([(line,), ("a b\x1cb",), (" 　",), (None,)], "line string").repartition(1)
+    began = time.time()
+    found = {r.line: r.share for r in rows.select("line", T.dominant_share(F.col("line")).alias("share")).collect()}
+    assert time.time() - began < 8
+    assert found == {line: most / 120_000, "a b\x1cb": 0.5, " 　": 0.0, None: 0.0}
