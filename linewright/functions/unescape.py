@@ -21,55 +21,97 @@ def unescape_html(texts: pd.Series) -> pd.Series:
 
 
 _BASE, _WORD = 0x9E3779B97F4A7C15, (1 << 64) - 1
+#: Places of one start that are tried one by one, and words compared in vain for each word of a text, before scales are built.
+_FEW, _VAIN = 64, 8
 
 
-def without_inner_repeats(text: str, least_words: int = 6, least_run: int = 3) -> str:
-    """From left to right, words go that repeat the end of what was kept: the longest such run of three or more.
+class _Scales:
+    """For each scale of sizes (3 to 5 words, 6 to 11, and so on) the places where a run of the scale's least size was kept, by its rolling hash.
 
-    For each scale of sizes (3 to 5 words, 6 to 11, and so on) the places are on
-    record where a run of the scale's least size was kept, by its rolling hash.  An
-    end of that scale that the next words repeat begins at such a place, less than
-    two such sizes from the end; since repeats never stay, a run rarely has more than
-    two places there, so a word costs a few lookups for each scale.  Words are
-    compared where hashes agree.
+    An end of a scale that the next words repeat begins at such a place, less than
+    two such sizes from the end; since repeats never stay, a run rarely has more
+    than two places there, so a word costs a few lookups for each scale.
     """
-    words = text.split()
-    if len(words) < least_words:
-        return text
-    n = len(words)
-    numbers = {w: hash((w, _BASE)) & _WORD for w in set(words)}
-    power, ahead = [1] * (n + 1), [0] * (n + 1)
-    for i, w in enumerate(words):
-        power[i + 1] = power[i] * _BASE & _WORD
-        ahead[i + 1] = (ahead[i] * _BASE + numbers[w]) & _WORD
-    scales: list[tuple[int, dict[int, list[int]]]] = []
-    kept: list[str] = []
-    sums = [0]
-    at = 0
-    while at < n:
-        m, repeated = len(kept), 0
-        for size, begun in reversed(scales):
+
+    def __init__(self, words: list[str], kept: list[str], least_run: int) -> None:
+        self.words, self.kept, self.least = words, [], least_run
+        n = len(words)
+        self.numbers = {w: hash((w, _BASE)) & _WORD for w in set(words)}
+        self.power, self.ahead, self.sums = [1] * (n + 1), [0] * (n + 1), [0]
+        for i, w in enumerate(words):
+            self.power[i + 1] = self.power[i] * _BASE & _WORD
+            self.ahead[i + 1] = (self.ahead[i] * _BASE + self.numbers[w]) & _WORD
+        self.scales: list[tuple[int, dict[int, list[int]]]] = []
+        for w in kept:
+            self.keep(w)
+
+    def keep(self, word: str) -> None:
+        self.kept.append(word)
+        m, sums, power = len(self.kept), self.sums, self.power
+        sums.append((sums[-1] * _BASE + self.numbers[word]) & _WORD)
+        if m >= self.least << len(self.scales):
+            self.scales.append((self.least << len(self.scales), {}))
+        for size, begun in self.scales:
+            p = m - size
+            begun.setdefault((sums[m] - sums[p] * power[size]) & _WORD, []).append(p)
+
+    def repeated(self, at: int) -> int:
+        """How many words from ``at`` on repeat the end of what was kept; 0 if none do."""
+        words, kept, sums, power, ahead = self.words, self.kept, self.sums, self.power, self.ahead
+        n, m = len(words), len(kept)
+        for size, begun in reversed(self.scales):
             if at + size > n:
                 continue
             places = begun.get((ahead[at + size] - ahead[at] * power[size]) & _WORD, ())
             for p in places[bisect_left(places, max(m - 2 * size + 1, m - (n - at))) :]:
                 own = m - p
                 if (sums[m] - sums[p] * power[own] - ahead[at + own] + ahead[at] * power[own]) & _WORD == 0 and kept[p:] == words[at : at + own]:
-                    repeated = own
-                    break
-            if repeated:
-                break
-        at += repeated or 1
-        if repeated:
+                    return own
+        return 0
+
+
+def without_inner_repeats(text: str, least_words: int = 6, least_run: int = 3) -> str:
+    """From left to right, words go that repeat the end of what was kept: the longest such run of three or more.
+
+    A repeat begins with three words (``least_run``) that were kept one after the
+    other, so the places where such starts were kept are on record, and most words
+    have none.  Where a start has many places, or many words were compared in vain,
+    the rest of the text is read with :class:`_Scales`.
+    """
+    words = text.split()
+    n = len(words)
+    if n < least_words:
+        return text
+    kept: list[str] = []
+    begun: dict[tuple[str, ...], list[int]] = {}
+    scales, vain, at = None, _VAIN * n, 0
+    for i, start in enumerate(zip(*(words[k:] for k in range(least_run)), strict=False)):
+        if i < at:
+            continue
+        m, found = len(kept), 0
+        if scales is None and (places := begun.get(start)):
+            if len(places) > _FEW or vain < 0:
+                scales = _Scales(words, kept, least_run)
+            else:
+                for p in places[bisect_left(places, m - (n - at)) :]:  # the longest first
+                    own = m - p
+                    if kept[-1] == words[at + own - 1]:
+                        if kept[p:] == words[at : at + own]:
+                            found = own
+                            break
+                        vain -= own
+        if scales is not None:
+            found = scales.repeated(at)
+        if found:
+            at += found
             continue
-        kept.append(words[at - 1])
-        sums.append((sums[-1] * _BASE + numbers[words[at - 1]]) & _WORD)
-        if m + 1 >= least_run << len(scales):
-            scales.append((least_run << len(scales), {}))
-        for size, begun in scales:
-            p = m + 1 - size
-            begun.setdefault((sums[m + 1] - sums[p] * power[size]) & _WORD, []).append(p)
-    return " ".join(kept)
+        kept.append(words[at])
+        at += 1
+        if scales is not None:
+            scales.keep(kept[-1])
+        elif m + 1 >= least_run:
+            begun.setdefault(tuple(kept[-least_run:]), []).append(m + 1 - least_run)
+    return " ".join([*kept, *words[at:]])  # fewer words than a run repeat nothing
 
 
 @F.pandas_udf(StringType())

@@ -197,3 +197,20 @@ def test_dominant_characters_of_long_lines(spark):
     found = {r.line: r.share for r in rows.select("line", T.dominant_share(F.col("line")).alias("share")).collect()}
     assert time.time() - began < 8
     assert found == {line: most / 120_000, "a b\x1cb": 0.5, " 　": 0.0, None: 0.0}
+
+
+def test_inner_repeats_by_either_way(monkeypatch):
+    from linewright.functions import unescape
+
+    rng = random.Random(8)
+    for few, vain in ((64, 8), (0, 8), (2, 0)):
+        monkeypatch.setattr(unescape, "_FEW", few)
+        monkeypatch.setattr(unescape, "_VAIN", vain)
+        for _ in range(1500):
+            text = " ".join(rng.choices("abc"[: rng.randrange(1, 4)], k=rng.randrange(80)))
+            assert without_inner_repeats(text) == slowly(text)
+    monkeypatch.undo()
+    text = " ".join(f"w{rng.randrange(3000)}" for _ in range(200_000))
+    began = time.process_time()
+    without_inner_repeats(text)
+    assert time.process_time() - began < 1.5
