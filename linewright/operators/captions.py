@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.unescape import drop_inner_repeats, rest_after_overlap
 from .folds import Cue, fold, pieces
-from .scans import scanned
+from .scans import lagged, scanned
 from .sequences import drop_adjacent_repeats
 
 
@@ -51,11 +51,7 @@ def _lags(df: DataFrame, by: list[str], order: list[str], n: int, chunk: Column
     if chunk is None:
         w = Window.partitionBy(*by).orderBy(*order)
         return df.withColumns({c: F.lag("text", i).over(w) for i, c in enumerate(names, 1)}), names
-    before = F.col("text")
-    for c in names:  # each looks back one record further
-        df = scanned(df, by, order, chunk, previous={c: before})
-        before = F.col(c)
-    return df, names
+    return lagged(df, by, order, chunk, F.col("text"), names), names
 
 
 def collapse_progressive(df: DataFrame, by: list[str], order: list[str], look_ahead: int = 3, chunk: Column | None = None) -> DataFrame:

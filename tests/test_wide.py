@@ -189,3 +189,25 @@ def test_replacement_over_ends(spark, seed):
         assert [r.text for r in found] == replaced(texts, pairs)
     with pytest.raises(ValueError, match="characters"):
         captions.replace_over_ends(df, ["k"], ["i"], [("\0", "x")])
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 10_000])
+def test_lags_and_run_edges_equal_windows(track, size):
+    chunk = F.floor(F.col("i") / size)
+    w = Window.partitionBy("k").orderBy("i")
+    names = ["a", "b", "c"]
+    found = scans.lagged(track, ["k"], ["i"], chunk, F.col("v"), names)
+    assert rows_of(found) == rows_of(track.withColumns({c: F.lag("v", j).over(w) for j, c in enumerate(names, 1)}))
+    few = track.withColumn("x", F.when(F.col("i") % 60 < 40, F.lit(1)).otherwise(F.col("x")))
+    for rows in (track, few):
+        runs = S.islands(rows, ["k"], ["i"], ~F.col("x").eqNullSafe(F.lag("x").over(w)), "r")
+        wanted = runs.withColumns({"_begins": F.row_number().over(Window.partitionBy("k", "r").orderBy("i")) == 1, "_size": F.count("*").over(Window.partitionBy("k", "r"))}).drop("r")
+        assert rows_of(scans.run_edges(rows, ["k"], ["i"], chunk, F.col("x"))) == rows_of(wanted)
+
+
+@pytest.mark.parametrize(("name", "most"), [("one_track_runs", 8), ("one_track_collapse", 16)])
+def test_one_track_is_shuffled_few_times(spark, name, most):
+    from linewright.plans import catalogue
+
+    plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= most
