@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scans import numbered, scanned
+from .scans import numbered, run_edges, scanned
 
 
 def _window(by: list[str], order: list[str]) -> Window:
@@ -33,19 +33,16 @@ def _runs(df: DataFrame, by: list[str], order: list[str], value: Column) -> Data
     return islands(df.withColumn("_value", value), by, order, ~F.col("_value").eqNullSafe(before), "_run")
 
 
-def _begun(df: DataFrame, by: list[str], order: list[str], value: Column, chunk: Column) -> DataFrame:
-    """``df`` with ``_begins``: whether the value differs from that of the record before, by a scan."""
-    rows = scanned(df.withColumn("_value", value), by, order, chunk, previous={"_before": F.col("_value"), "_any": F.lit(True)})
-    return rows.withColumn("_begins", F.col("_any").isNull() | ~F.col("_value").eqNullSafe(F.col("_before"))).drop("_value", "_before", "_any")
+def mark_changes(df: DataFrame, by: list[str], order: list[str], value: str, name: str, chunk: Column) -> DataFrame:
+    """``df`` with ``name``: whether the value differs from that of the record before, by a scan."""
+    rows = scanned(df, by, order, chunk, previous={"_before": F.col(value), "_any": F.lit(True)})
+    return rows.withColumn(name, F.col("_any").isNull() | ~F.col(value).eqNullSafe(F.col("_before"))).drop("_before", "_any")
 
 
 def collapse_runs(df: DataFrame, by: list[str], order: list[str], value: str, least: int = 3, chunk: Column | None = None) -> DataFrame:
     """Of a run of at least ``least`` equal values the first record stays; shorter runs stay whole."""
     if chunk is not None:
-        runs = scanned(_begun(df, by, order, F.col(value), chunk), by, order, chunk, sums={"_run": F.col("_begins").cast("int")})
-        short = runs.groupBy(*by, "_run").agg(F.count("*").alias("_size")).where(F.col("_size") < least).select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_run").alias("_short"))
-        same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)] + [F.col("_run") == F.col("_short")]
-        return runs.join(short, same, "left").where(F.col("_begins") | F.col("_short").isNotNull()).select(*df.columns)
+        return run_edges(df, by, order, chunk, F.col(value)).where(F.col("_begins") | (F.col("_size") < least)).select(*df.columns)
     runs = _runs(df, by, order, F.col(value))
     size = F.count("*").over(Window.partitionBy(*by, "_run"))
     place = F.row_number().over(Window.partitionBy(*by, "_run").orderBy(*order))
@@ -61,7 +58,7 @@ def run_sizes(df: DataFrame, by: list[str], order: list[str], value: str, least:
 def drop_adjacent_repeats(df: DataFrame, by: list[str], order: list[str], value: str, chunk: Column | None = None) -> DataFrame:
     """Records equal to the one before them go."""
     if chunk is not None:
-        return _begun(df, by, order, F.col(value), chunk).where("_begins").drop("_begins")
+        return mark_changes(df, by, order, value, "_begins", chunk).where("_begins").drop("_begins")
     w = _window(by, order)
     marked = df.withColumns({"_first": F.row_number().over(w) == 1, "_before": F.lag(value).over(w)})
     return marked.where(F.col("_first") | ~F.col(value).eqNullSafe(F.col("_before"))).drop("_first", "_before")

@@ -24,8 +24,7 @@ def _one(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_track_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs over the ends of documents are collapsed, and of what is left each line is compared with the one before it."""
     kept = S.collapse_runs(_one(spark, sf_dir), [], ["place"], "line", chunk=F.col("part"))
-    firsts = S.drop_adjacent_repeats(kept, [], ["place"], "line", chunk=F.col("part")).select("place", F.lit(True).alias("f"))
-    return kept.join(firsts, "place", "left").select("place", "line", F.coalesce("f", F.lit(False)).alias("first"))
+    return S.mark_changes(kept, [], ["place"], "line", "first", F.col("part")).select("place", "line", "first")
 
 
 @_query("""WITH l AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q, l_returnflag, l_partkey, l_suppkey, l_extendedprice FROM lineitem)
