@@ -1,4 +1,8 @@
-"""Functions that need Python: the full entity table, repeats within a text, rewriting across cues, script conversion."""
+"""Functions that need Python: the full entity table, repeats within a text, rewriting across cues, script conversion.
+
+Functions over whole texts read a batch one text at a time and pack results in
+slices, so that a worker holds a batch's texts once, and not also as objects.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +11,36 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
-@F.pandas_udf(StringType())
-def unescape_html(texts: pd.Series) -> pd.Series:
+#: Characters of results that are packed at once.
+_SLICE = 1 << 20
+
+
+def mapped(texts: pa.Array, change: Callable[[str], str]) -> pa.Array:
+    """The changed texts of an Arrow array, null for null, packed in slices."""
+    parts, own, size = [], [], 0
+    for x in texts:
+        y = x.as_py()
+        own.append(None if y is None else change(y))
+        size += len(own[-1] or "")
+        if size >= _SLICE:
+            parts.append(pa.array(own, pa.string()))
+            own, size = [], 0
+    return pa.concat_arrays([*parts, pa.array(own, pa.string())])
+
+
+@F.arrow_udf(StringType())
+def unescape_html(texts: pa.Array) -> pa.Array:
     """All named and numbered entities of HTML."""
-    return texts.map(html.unescape, na_action="ignore")
+    return mapped(texts, html.unescape)
 
 
 _BASE, _WORD = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -114,9 +137,9 @@ def without_inner_repeats(text: str, least_words: int = 6, least_run: int = 3) -
     return " ".join([*kept, *words[at:]])  # fewer words than a run repeat nothing
 
 
-@F.pandas_udf(StringType())
-def drop_inner_repeats(texts: pd.Series) -> pd.Series:
-    return texts.map(without_inner_repeats, na_action="ignore")
+@F.arrow_udf(StringType())
+def drop_inner_repeats(texts: pa.Array) -> pa.Array:
+    return mapped(texts, without_inner_repeats)
 
 
 _WORD_RUN = re.compile("[^ \t\n\x0b\f\r]+")
@@ -180,12 +203,25 @@ def replace_across(lines: list[str], pairs: list[tuple[str, str]]) -> list[str]:
     return lines
 
 
+def _apart(table: dict[str, str]) -> bool:
+    """Whether the entries may be replaced one after the other in any order: no two share a character, and no target has one of a source."""
+    seen = "".join("".join(set(source)) for source in table)
+    loops = any(len(set(source)) < len(source) for source in table)  # it might overlap itself or begin again
+    return not loops and len(set(seen)) == len(seen) and not set(seen) & set("".join(table.values()))
+
+
 def converter(table: dict[str, str]) -> Callable[[Column], Column]:
-    """A column function that replaces the longest entries of a mapping table, from left to right."""
+    """A column function that replaces the longest entries of a mapping table, from left to right.
+
+    Entries that can't meet are replaced by Spark's own function, so no text goes
+    to Python.
+    """
     pattern = re.compile("|".join(map(re.escape, sorted(table, key=len, reverse=True)))) if table else None
+    if "" not in table and _apart(table):
+        return lambda text: reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), table.items(), text)
 
-    @F.pandas_udf(StringType())
-    def convert(texts: pd.Series) -> pd.Series:
-        return texts if pattern is None else texts.map(lambda x: pattern.sub(lambda m: table[m[0]], x), na_action="ignore")
+    @F.arrow_udf(StringType())
+    def convert(texts: pa.Array) -> pa.Array:
+        return mapped(texts, lambda x: pattern.sub(lambda m: table[m[0]], x))
 
     return convert

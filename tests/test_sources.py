@@ -95,3 +95,22 @@ def test_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [r.text for r in spark.table("collapsed").orderBy("pos").collect()] == ["a", "a", "b"]
+
+
+def test_texts_leave_in_slices(monkeypatch, spark):
+    import pyarrow as pa
+
+    from linewright.functions import unescape
+
+    monkeypatch.setattr(unescape, "_SLICE", 5)
+    texts = pa.array(["a", None, "bcdefgh", "", "ij"])
+    assert unescape.mapped(texts, str.upper).to_pylist() == ["A", None, "BCDEFGH", "", "IJ"]
+    assert unescape.mapped(pa.array([], pa.string()), str.upper).to_pylist() == []
+    rows = spark.createDataFrame([("ä ßa",), (None,)], "t string")
+    native = rows.select(unescape.converter({"ä": "ae", "ß": "ss"})(F.col("t")).alias("t"))
+    assert "Python" not in native._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.t for r in native.collect()] == ["ae ssa", None]
+    # entries that may meet are still read from left to right
+    met = rows.select(unescape.converter({"ä": "ß", "ß": "x", "a": "b"})(F.col("t")).alias("t"))
+    assert [r.t for r in met.collect()] == ["ß xb", None]
+    assert not unescape._apart({"ab": "x", "bc": "y"}) and not unescape._apart({"aa": "x"}) and unescape._apart({"ab": "x", "cd": "y"})
