@@ -18,11 +18,13 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from .unescape import mapped
+
 #: The chains of the configurations in use (fixed values): the steps, and the tables of each.
 CONFIGS = {
     "s2t": [("phrases_st", "characters_st")],
@@ -99,12 +101,19 @@ def convert_script(df: DataFrame, table: DataFrame, config: str, text: str = "te
     steps = [[(r["source"], r["target"]) for r in rows if r["step"] == s] for s in sorted({r["step"] for r in rows})]
     name, shared = uuid.uuid4().hex, df.sparkSession.sparkContext.broadcast(steps)
 
-    @F.pandas_udf(_RESULT)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        automata = _automata(name, shared.value)
-        after = [None if x is None else converted(x, automata) for x in texts]
-        changed = [None if x is None else changed_characters(x, y) for x, y in zip(texts, after, strict=True)]
-        return pd.DataFrame({"text": pd.Series(after, dtype=object), "changed": pd.Series(changed, dtype="Int64")})
+    @F.arrow_udf(_RESULT)
+    def run(texts: pa.Array) -> pa.Array:
+        automata, changed = _automata(name, shared.value), []
+
+        def one(x: str) -> str:
+            y = converted(x, automata)
+            changed.append(changed_characters(x, y))
+            return y
+
+        after = mapped(texts, one)
+        counts = iter(changed)
+        numbers = pa.array([next(counts) if valid.as_py() else None for valid in after.is_valid()], pa.int64())
+        return pa.StructArray.from_arrays([after, numbers], ["text", "changed"])
 
     out = df.withColumn("_c", run(F.col(text)))
     return out.withColumns({text: F.col("_c.text"), "changed_chars": F.col("_c.changed")}).drop("_c")
