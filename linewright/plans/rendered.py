@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -128,8 +128,8 @@ _CONTENTS = """<navPoint><navLabel><text>First</text></navLabel><content src="on
 <navPoint><navLabel><text>Last &amp; &eacute;</text></navLabel><content src="one%20a.xhtml"/></navPoint>"""
 
 
-@F.pandas_udf(BinaryType())
-def _archive(first: pd.Series, second: pd.Series) -> pd.Series:
+@F.arrow_udf(BinaryType())
+def _archive(first: pa.Array, second: pa.Array) -> pa.Array:
     """A small archive for each two pages."""
 
     def made(a: str, b: str) -> bytes:
@@ -139,7 +139,7 @@ def _archive(first: pd.Series, second: pd.Series) -> pd.Series:
                 z.writestr(name, text)
         return out.getvalue()
 
-    return pd.Series([made(a, b) for a, b in zip(first, second, strict=True)])
+    return pa.array((made(a.as_py(), b.as_py()) for a, b in zip(first, second, strict=True)), pa.binary(), size=len(first))
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:

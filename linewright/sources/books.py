@@ -6,7 +6,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +15,8 @@ from ..functions.unescape import unescape_html
 from ..operators.sequences import section_texts
 from .html import text_of
 
+#: Characters of members that leave a worker at once.
+_SLICE = 1 << 20
 #: Text members of an archive that are read.
 TEXT_MEMBERS = (".opf", ".ncx", ".xml", ".xhtml", ".html", ".htm")
 
@@ -26,23 +28,35 @@ def members(files: DataFrame, content: str = "content") -> DataFrame:
     ``unreadable``; a damaged member has no text and the status ``damaged``.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def texts_of(path: str, data: bytes) -> Iterator[tuple]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                for name in z.namelist():
+                    if name.lower().endswith(TEXT_MEMBERS):
+                        try:
+                            yield path, name, z.read(name).decode("utf-8", "replace"), "ok"
+                        except (zipfile.BadZipFile, OSError, ValueError, NotImplementedError, RuntimeError):
+                            yield path, name, None, "damaged"
+        except (zipfile.BadZipFile, OSError, ValueError):
+            yield path, None, None, "unreadable"
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["path", "member", "text", "status"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
-            rows = []
-            for path, data in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        for name in z.namelist():
-                            if name.lower().endswith(TEXT_MEMBERS):
-                                try:
-                                    rows.append((path, name, z.read(name).decode("utf-8", "replace"), "ok"))
-                                except (zipfile.BadZipFile, OSError, ValueError, NotImplementedError, RuntimeError):
-                                    rows.append((path, name, None, "damaged"))
-                except (zipfile.BadZipFile, OSError, ValueError):
-                    rows.append((path, None, None, "unreadable"))
-            yield pd.DataFrame(rows, columns=["path", "member", "text", "status"])
-
-    return files.select("path", F.col(content).alias("content")).mapInPandas(run, "path string, member string, text string, status string")
+            for path, data in zip(*batch.columns, strict=True):
+                for row in texts_of(path.as_py(), data.as_py()):
+                    rows.append(row)
+                    size += len(row[2] or "") + 100
+                    if size >= _SLICE:  # so that a worker holds a slice, however many archives a batch has
+                        yield packed(rows)
+                        rows, size = [], 0
+        if rows:
+            yield packed(rows)
+
+    return files.select("path", F.col(content).alias("content")).mapInArrow(run, "path string, member string, text string, status string")
 
 
 def read_books(spark: SparkSession, path: str) -> DataFrame:
