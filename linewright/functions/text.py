@@ -14,9 +14,11 @@ STAMP = r"(?:(\d+):)?(\d{1,2}):(\d{2})[,.](\d{3})"
 
 def stamp_to_ms(stamp: Column) -> Column:
     """``[HH:]MM:SS,mmm`` (comma or point) as milliseconds; null if it doesn't parse."""
-    part = lambda i: F.regexp_extract(stamp, STAMP, i)
-    number = lambda i: F.coalesce(F.try_to_number(F.nullif(part(i), F.lit("")), F.lit("9999999")), F.lit(0)).cast("long")
-    return F.when(stamp.rlike(STAMP), ((number(1) * 60 + number(2)) * 60 + number(3)) * 1000 + number(4))
+    # one match for all four numbers, bound as the element of an array of one; hours of more than seven digits count as none
+    parts = F.split(F.regexp_replace(stamp, rf"(?s)\A.*?{STAMP}.*\z", "$1:$2:$3:$4"), ":")
+    number = lambda p, i: F.when(F.length(p[i]).between(1, 7), p[i].cast("long")).otherwise(F.lit(0))
+    sums = F.transform(F.array(parts), lambda p: ((number(p, 0) * 60 + number(p, 1)) * 60 + number(p, 2)) * 1000 + number(p, 3))
+    return F.when(stamp.rlike(STAMP), F.get(sums, F.lit(0)))
 
 
 def ms_to_stamp(ms: Column, sep: str = ",") -> Column:

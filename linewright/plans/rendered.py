@@ -48,7 +48,9 @@ _KEPT = {
 @_query(f"WITH {_TRACKS} " + " UNION ALL ".join(f"SELECT '{d}' AS dialect, track_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY no) AS INT) AS pos, CAST(idx AS INT) AS idx, s AS start_ms, e AS end_ms, {t} AS text FROM r WHERE {w}" for d, (t, w) in _KEPT.items()))
 def parse_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every dialect of the parser on the same tracks."""
-    tracks, out = _tracks(spark, sf_dir), None
+    # tracks are rendered once for all dialects; by a number of their own (the same one would be planned away), as
+    # adaptive execution reads so small a shuffle in a task or two, and the union does all dialects in those
+    tracks, out = _tracks(spark, sf_dir).repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "track_id"), None
     for dialect in _KEPT:
         found = subtitles.parse(tracks, ["track_id"], dialect=dialect).select(F.lit(dialect).alias("dialect"), "track_id", "pos", "idx", "start_ms", "end_ms", "text")
         out = found if out is None else out.unionByName(found)

@@ -50,29 +50,43 @@ def parse(df: DataFrame, by: list[str], text: str = "text", dialect: str | Diale
     """track columns, pos, idx, start_ms, end_ms, text and lines of every cue."""
     d = DIALECTS[dialect] if isinstance(dialect, str) else dialect
     cut = df.select(*by, F.posexplode(blocks(F.col(text), d.blank_separator)).alias("block_no", "block"))
-    cut = cut.withColumn("_lines", _lines(F.col("block")))
-    at = F.array_position(F.transform("_lines", lambda x: F.contains(x, F.lit("-->"))), True)
-    cut = cut.withColumn("_at", at.cast("int"))
-    stamps = F.split(F.get("_lines", F.col("_at") - 1), "-->")
-    index = F.when(F.col("_at") > 1, F.get("_lines", F.col("_at") - 2))
-    kept = F.filter(F.slice("_lines", F.col("_at") + 1, F.size("_lines")), lambda x: x != "")
-    if d.drop_numeric_lines:
-        kept = F.filter(kept, lambda x: ~x.rlike(r"^\d+$"))
+    # each step's values are bound in an array of one and filtered there: filters on columns would be
+    # pushed below the steps and do all of their work again, for each use of a value
+    step = F.transform(F.array("block"), _lines)
+    step = F.transform(step, lambda x: F.struct(x.alias("lines"), F.array_position(F.transform(x, lambda y: F.contains(y, F.lit("-->"))), True).cast("int").alias("at")))
+    step = F.transform(step, lambda x: F.struct(
+        F.size(F.filter(x["lines"], lambda y: y != "")).alias("n"),
+        F.when(x["at"] > 1, F.get(x["lines"], x["at"] - 2)).alias("index"),
+        F.split(F.get(x["lines"], x["at"] - 1), "-->").alias("stamps"),
+        F.filter(F.slice(x["lines"], x["at"] + 1, F.size(x["lines"])), lambda y: (y != "") & ~y.rlike(r"^\d+$") if d.drop_numeric_lines else y != "").alias("lines"),
+    ))
+    step = F.transform(step, lambda x: F.struct(
+        F.when(x["index"].rlike(r"^\d+$"), x["index"].cast("int")).alias("idx"),
+        stamp_to_ms(F.get(x["stamps"], F.lit(0))).alias("start_ms"),
+        stamp_to_ms(F.get(x["stamps"], F.lit(1))).alias("end_ms"),
+        # of captions tags go before entities are decoded, so that decoded signs stay
+        F.array_join(F.transform(x["lines"], without_tags), "\n").alias("text") if d.clean_markup else F.array_join(x["lines"], d.joiner).alias("text"),
+        *([] if d.clean_markup else [x["lines"].alias("lines")]),
+        x["n"].alias("n"),
+        F.slice(x["stamps"], 1, 2).alias("stamps"),
+    ))
+
+    def kept(x: Column) -> Column:
+        found = x["start_ms"].isNotNull() & x["end_ms"].isNotNull()
+        if not d.point_stamps:
+            found &= F.forall(x["stamps"], lambda y: F.contains(y, F.lit(",")))
+        if d.needs_index:
+            found &= x["idx"].isNotNull()
+        if d.least_lines:
+            found &= x["n"] >= d.least_lines
+        return found if d.keep_empty else found & (x["text"] != "")
+
+    cues = cut.select(*by, "block_no", F.inline(F.filter(step, kept)))
     if d.clean_markup:
-        # tags go before entities are decoded, so that decoded signs stay
-        decoded = unescape_html(F.array_join(F.transform(kept, without_tags), "\n"))
-        kept = F.filter(F.transform(F.split(decoded, "\n"), without_speaker_marks), lambda x: ~x.rlike(r"^(?:Kind|Language):") & (x != ""))
-    cues = cut.select(*by, "block_no", F.size(F.filter("_lines", lambda x: x != "")).alias("_n"), F.when(index.rlike(r"^\d+$"), index.cast("int")).alias("idx"), F.get(stamps, F.lit(0)).alias("_from"), F.get(stamps, F.lit(1)).alias("_to"), kept.alias("lines"))
-    cues = cues.withColumns({"start_ms": stamp_to_ms(F.col("_from")), "end_ms": stamp_to_ms(F.col("_to")), "text": F.array_join("lines", d.joiner)})
-    cues = cues.where("start_ms is not null and end_ms is not null")
-    if not d.point_stamps:
-        cues = cues.where(F.col("_from").contains(",") & F.col("_to").contains(","))
-    if d.needs_index:
-        cues = cues.where("idx is not null")
-    if d.least_lines:
-        cues = cues.where(F.col("_n") >= d.least_lines)
-    if not d.keep_empty:
-        cues = cues.where("text <> ''")
+        cues = cues.withColumn("_decoded", unescape_html("text"))
+        step = F.transform(F.array("_decoded"), lambda x: F.filter(F.transform(F.split(x, "\n"), without_speaker_marks), lambda y: ~y.rlike(r"^(?:Kind|Language):") & (y != "")))
+        step = F.transform(step, lambda x: F.struct(F.array_join(x, d.joiner).alias("text"), x.alias("lines")))
+        cues = cues.select(*by, "block_no", "idx", "start_ms", "end_ms", F.inline(step if d.keep_empty else F.filter(step, lambda x: x["text"] != "")))
     return cues.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy("block_no"))).select(*by, "pos", "idx", "start_ms", "end_ms", "text", "lines")
 
 

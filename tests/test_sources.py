@@ -8,6 +8,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from linewright.functions.text import stamp_to_ms
 from linewright.sources import books, html, sinks, specs, subtitles
 from linewright.streaming import runs
 
@@ -25,6 +26,17 @@ def test_dialects(spark):
     assert parsed(spark, "patch") == [(1, 1000, "<i>Hi</i> &amp; bye\n42")]
 
 
+def test_parse_does_each_step_once(spark):
+    tracks = spark.createDataFrame([("t", TRACK)], "track string, text string")
+    for dialect in subtitles.DIALECTS:
+        plan = subtitles.parse(tracks, ["track"], dialect=dialect)._jdf.queryExecution().optimizedPlan().toString()
+        # blocks, lines, a stamp line, two stamps, decoded lines
+        assert plan.count("split(") <= 6
+    stamps = ["1:02:03,004 x", "12345678:00:01.000", "02:03,5", " 99:59:59.999", "a 1:2:03:04,005"]
+    found = spark.createDataFrame([(i, x) for i, x in enumerate(stamps)], "i int, s string").select("i", stamp_to_ms(F.col("s")).alias("ms")).orderBy("i").collect()
+    assert [r.ms for r in found] == [3_723_004, 1000, None, 359_999_999, 7_384_005]
+
+
 def test_round_trip(spark, tmp_path):
     cues = spark.createDataFrame([("t", 0, 0, 900, "a"), ("t", 1, 1000, 3_600_000, "b")], "track_id string, pos int, start_ms long, end_ms long, text string")
     subtitles.write_tracks(cues, ["track_id"], ["pos"], str(tmp_path / "out"))
