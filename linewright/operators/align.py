@@ -61,24 +61,48 @@ def positional_join(master: DataFrame, other: DataFrame, by: list[str], order: l
     return numbered(master).join(right, [*by, "_i", "_n"]).drop("_i", "_n")
 
 
-def overlap_join(master: DataFrame, other: DataFrame, by: list[str], pos: str = "pos", text: str = "text", width_ms: int = 60_000, placeholder: str | None = None) -> DataFrame:
+#: Units of time within which partners that can't be best are found.
+_PRUNED = 16
+
+
+def _eligible(df: DataFrame, by: list[str], width_ms: int) -> DataFrame:
+    """``df`` (_os, _oe, _opos, _text) without records that lie within an earlier one (by ``_opos``): that overlaps whatever they do as long or longer.
+
+    Equal intervals come first.  Then a record goes if of those before it, by start
+    and in the same stretch of time, the one that ends last is an earlier record
+    and ends no sooner; so of dense tracks some records for each stretch remain,
+    however many there are.
+    """
+    equal = df.groupBy(*by, "_os", "_oe").agg(F.min("_opos").alias("_opos"), F.min_by("_text", "_opos").alias("_text"))
+    before = Window.partitionBy(*by, F.floor(F.col("_os") / (_PRUNED * width_ms))).orderBy("_os", F.desc("_oe")).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.struct(F.col("_oe").alias("end"), (-F.col("_opos")).alias("minus"))).over(before)
+    within = (F.col("_last")["end"] >= F.col("_oe")) & (-F.col("_last")["minus"] < F.col("_opos"))
+    return equal.withColumn("_last", last).where(~F.coalesce(within, F.lit(False))).drop("_last")
+
+
+def overlap_join(master: DataFrame, other: DataFrame, by: list[str], pos: str = "pos", text: str = "text", width_ms: int = 60_000, placeholder: str | None = None, empty: bool = False) -> DataFrame:
     """Each master record with the text that overlaps it longest, the earliest of equals, or the placeholder.
 
     Two intervals overlap where one begins in the other, so each side comes as
     bins and as points, and bins of one meet points of the other: a pair is met
-    once.  Only the best partner of a record leaves the join.
+    once.  Equal intervals of the master are met once, the others' side keeps those
+    that may be best (:func:`_eligible`), and only the best partner leaves the join.
+    Records without length have no partner and are none; with ``empty`` they meet
+    what they stand within, by an overlap of zero.
     """
-    left = master.select(*by, F.col(pos).alias("_pos"), F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e")).where("_s < _e")
-    right = other.select(*by, F.col(pos).alias("_opos"), F.col("start_ms").alias("_os"), F.col("end_ms").alias("_oe"), F.col(text).alias("_text")).where("_os < _oe")
+    left = master.select(*by, F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e")).where(F.lit(empty) | F.expr("_s < _e")).distinct()
+    right = other.select(*by, F.col(pos).alias("_opos"), F.col("start_ms").alias("_os"), F.col("end_ms").alias("_oe"), F.col(text).alias("_text")).where(F.lit(empty) | F.expr("_os < _oe"))
+    right = _eligible(right, by, width_ms)
     both = lambda df, s, e, levels, role: _spread(df, s, e, width_ms).withColumn("_role", F.lit(role)).unionByName(_placed(df, s, width_ms, levels).withColumn("_role", F.lit(1 - role)))
     left_rows = both(left, "_s", "_e", _levels(right, "_os", "_oe", width_ms), 0)
     right_rows = both(right, "_os", "_oe", _levels(left, "_s", "_e", width_ms), 1)
     # role 0: the other begins within this one; role 1: this one begins within the other, or with it
     within = F.when(F.col("_role") == 0, (F.col("_s") < F.col("_os")) & (F.col("_os") < F.col("_e"))).otherwise((F.col("_os") <= F.col("_s")) & (F.col("_s") < F.col("_oe")))
-    met = left_rows.join(right_rows, [*by, "_role", "_level", "_node"]).where(within)
+    met = left_rows.join(right_rows, [*by, "_role", "_level", "_node"]).where(within & (F.col("_os") < F.col("_e")) & (F.col("_s") < F.col("_oe")))
     overlap = F.least("_e", "_oe") - F.greatest("_s", "_os")
-    best = met.groupBy(*by, "_pos").agg(F.max_by("_text", F.struct(overlap, -F.col("_opos"))).alias("other_text"))
-    return master.join(best.withColumnRenamed("_pos", pos), [*by, pos], "left").withColumn("other_text", F.coalesce("other_text", F.lit(placeholder)))
+    best = met.groupBy(*by, "_s", "_e").agg(F.max_by("_text", F.struct(overlap, -F.col("_opos"))).alias("other_text")).withColumnsRenamed({"_s": "start_ms", "_e": "end_ms"})
+    joined = master.join(best, [*by, "start_ms", "end_ms"], "left")
+    return joined.select(*by, pos, *(c for c in master.columns if c not in (*by, pos)), F.coalesce("other_text", F.lit(placeholder)).alias("other_text"))
 
 
 def align_tracks(master: DataFrame, other: DataFrame, by: list[str], order: list[str], pos: str = "pos", placeholder: str | None = None) -> DataFrame:

@@ -40,6 +40,29 @@ def cues(rng, n, longest=400):
     return [*out, (0, n, -50, 10**9, "whole"), (3, n + 1, 0, 5, "alone")]
 
 
+def test_eligible_partners(spark):
+    rng = random.Random(3)
+    rows = [(i % 2, i, s, s + rng.randrange(1, 60), f"t{i}") for i, s in enumerate(sorted(rng.randrange(2000) for _ in range(3000)))]
+    rows += [(k, i + 3000, s, e, f"u{i}") for k, i, s, e, _ in rows]
+    other = spark.createDataFrame(rows, "k long, _opos long, _os long, _oe long, _text string")
+    kept = align._eligible(other, ["k"], 16).collect()
+    # neither copies nor dense records grow what is left: some records for each stretch
+    assert len(kept) < 1000 and all(r._text[0] == "t" for r in kept)
+    for k, pos, s, e, _ in rng.sample(rows, 200):
+        best = lambda some: max((min(e, r[3]) - max(s, r[2]), -r[1], r[4]) for r in some if r[0] == k)  # noqa: B023, E731
+        assert best(rows) == best([(r.k, r._opos, r._os, r._oe, r._text) for r in kept])
+
+
+def test_empty_intervals(spark):
+    rng = random.Random(4)
+    ours, theirs = cues(rng, 150), cues(rng, 150)
+    make = lambda rows: spark.createDataFrame(rows, "k long, pos long, start_ms long, end_ms long, text string")
+    found = {(r.k, r.pos): r.other_text for r in align.overlap_join(make(ours), make(theirs[:-2]), ["k"], width_ms=16, placeholder="-", empty=True).collect()}
+    for k, pos, s, e, _ in ours:
+        met = [(min(e, oe) - max(s, os), -op, t) for ok, op, os, oe, t in theirs[:-2] if ok == k and os < e and s < oe]
+        assert found[k, pos] == (max(met)[2] if met else "-")
+
+
 def test_interval_joins(spark):
     rng = random.Random(2)
     ours, theirs = cues(rng, 150), cues(rng, 150)
